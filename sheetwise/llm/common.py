@@ -143,3 +143,16 @@ def gathered(batches: Iterator[pa.RecordBatch], at_least: int, column: str = "te
             held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def drop_written(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None:
+    """Delete a table that written() made, once nothing reads it any more."""
+    if isinstance(df_or_path, str):
+        paths = [df_or_path]
+    else:
+        spark = df_or_path.sparkSession
+        paths = sorted({f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()})
+    for path in paths:
+        if "sheetwise-" in path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

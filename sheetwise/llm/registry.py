@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .mixing import op2_mixing
+from .warc import op9_warc
+from .simhash import op8_simhash
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
+    "op8_simhash": op8_simhash,
+    "op9_warc": op9_warc,
 }
 ORACLE_SQL: dict[str, str] = {}
