@@ -156,3 +156,18 @@ def drop_written(df_or_path: DataFrame | str, spark: SparkSession | None = None)
         if "sheetwise-" in path:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def let(value: Column, body) -> Column:
+    """body(v) with v bound to value, so that lambdas inside body don't compute value again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def labelled_sample(labels: DataFrame, label: str, bound: int, where: Column | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, label) of labelled rows, at most about ``bound`` (less by 4 standard deviations): those of least hash. The same rows each time; a repeated key counts once."""
+    rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    rows = (rows.where(where) if where is not None else rows).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
+    n = rows.count()
+    if n > bound:
+        rows = rows.where((F.shiftrightunsigned(F.xxhash64(key, F.lit("sample")), 1) / float(1 << 63)) < (bound - 4 * bound**0.5) / n)
+    return rows
