@@ -129,18 +129,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], at_least: int, column: str = "text") -> Iterator[pa.Table]:
-    """Batches joined until their text has at_least bytes, so that vectorised work has long arrays and memory stays bounded."""
+def gathered(batches: Iterator[pa.RecordBatch], about: int, column: str = "text") -> Iterator[pa.Table]:
+    """The rows in tables of about so many bytes of text (one long text may be more): long arrays for vectorised work, in bounded memory."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        held.append(batch)
-        size += batch.column(batch.schema.get_field_index(column)).nbytes
-        if size >= at_least:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
+        _, ends = text_buffer(batch.column(batch.schema.get_field_index(column)))
+        begin = 0
+        while begin < batch.num_rows:
+            stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] + about - size, side="right")) - 1)
+            stop = min(stop, batch.num_rows)
+            held.append(batch.slice(begin, stop - begin))
+            size += int(ends[stop] - ends[begin])
+            begin = stop
+            if size >= about or begin < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

@@ -77,6 +77,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def _bin(value: Column, edges: list[float]) -> Column:
+    """How many edges are at most value."""
+    return F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e <= value))
+
+
 @dataclass(frozen=True)
 class Condition:
     name: str
@@ -110,11 +115,11 @@ def learn(rows: DataFrame) -> list[list[Condition]]:
     """The decision list from measured() rows with ``_label`` (0: junk): conjunctions, in order; what one covers is junk."""
     stats = statistics()
     names = list(stats)
-    cuts = rows.agg(*(F.percentile_approx(c, [(i + 0.5) / CUTS for i in range(CUTS)], 10_000).alias(f"a{i}") for i, c in enumerate(stats.values())), *(F.percentile_approx(F.when(F.col("_label") == 0, c), [(i + 0.5) / CUTS for i in range(CUTS)], 10_000).alias(f"j{i}") for i, c in enumerate(stats.values()))).first()
+    cuts = rows.agg(*(F.percentile_approx(c, [(i + 0.5) / CUTS for i in range(CUTS)], 10_000).alias(f"a{i}") for i, c in enumerate(stats.values())), *(F.percentile_approx(F.when(F.col("_label") == 0, c), [i / CUTS for i in range(CUTS + 1)], 10_000).alias(f"j{i}") for i, c in enumerate(stats.values()))).first()
     edges = [sorted({*(cuts[f"a{i}"] or []), *(cuts[f"j{i}"] or [])}) for i in range(len(names))]
     if not all(edges):
         return []
-    bins = F.array(*(F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges[i])), lambda e, c=c: e <= c)) for i, c in enumerate(stats.values())))
+    bins = F.array(*(_bin(c, edges[i]) for i, c in enumerate(stats.values())))
     left = written(rows.select(bins.alias("bins"), "_label", (F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3)) == 0).alias("prune")), "binned")
     found: list[list[Condition]] = []
     covered = F.lit(False)
