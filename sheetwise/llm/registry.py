@@ -8,6 +8,7 @@ from .linededup import op7_line_dedup
 from .mixing import op2_mixing
 from .vectors import op10_top_k
 from .warc import op9_warc
+from .quality import op6_classifier
 from .rules import op5_rules
 from .simhash import op8_simhash
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
     "op5_rules": op5_rules,
+    "op6_classifier": op6_classifier,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
