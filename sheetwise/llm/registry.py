@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .hmm import op4_hmm
 from .linededup import ORACLE as LINES
 from .linededup import op7_line_dedup
 from .mixing import op2_mixing
@@ -15,6 +16,7 @@ from .simhash import op8_simhash
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op4_hmm": op4_hmm,
     "op5_rules": op5_rules,
     "op6_classifier": op6_classifier,
     "op7_line_dedup": op7_line_dedup,
