@@ -10,12 +10,14 @@ from .mixing import op2_mixing
 from .vectors import op10_top_k
 from .warc import op9_warc
 from .quality import op6_classifier
+from .substrings import op3_substrings
 from .rules import op5_rules
 from .simhash import op8_simhash
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op3_substrings": op3_substrings,
     "op4_hmm": op4_hmm,
     "op5_rules": op5_rules,
     "op6_classifier": op6_classifier,
