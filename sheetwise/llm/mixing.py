@@ -95,8 +95,8 @@ def _source_table(spark: SparkSession, sources: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "n int, source string, source_size long, target double, blocks long, slots long")
 
 
-def mix(df: DataFrame, repeats: int = 3, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, size, source, source_size, target, taken) for each row."""
+def mix(df: DataFrame, repeats: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", with_order: bool = False) -> DataFrame:
+    """(key, size, source, source_size, target, taken) for each row; with_order: and the hash that shuffles texts."""
     spark = df.sparkSession
     sized = written(df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"), F.xxhash64(key, text).alias("_order")), "sized")
     sources = plan(sized, repeats)
@@ -115,7 +115,16 @@ def mix(df: DataFrame, repeats: int = 3, key: str = "doc_id", text: str = "text"
     parts = parts.select("n", "row", "block", (F.least("end", edge(F.col("block") + 1)) - F.greatest("begin", edge(F.col("block")))).alias("words"))
     taken = parts.join(used, ["n", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     out = placed.join(taken, "row", "left")
-    return out.select(F.col("key").alias(key), "size", F.col("source").alias(source), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(F.col("key").alias(key), "size", F.col("source").alias(source), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["_order"] if with_order else []))
+
+
+def repeated(df: DataFrame, repeats: int = 3, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each row of df as often as the mix takes its words, to the nearest whole number; equal rows are taken alike."""
+    taken = mix(df, repeats, key, text, source, with_order=True).groupBy(F.col(key).alias("_sw_key"), F.col("_order").alias("_sw_order"))
+    times = taken.agg(F.avg(F.col("taken") / F.greatest("size", F.lit(1))).alias("_sw_times")).select("_sw_key", "_sw_order", F.floor(F.col("_sw_times") + 0.5).cast("int").alias("_sw_times")).where("_sw_times > 0")
+    rows = df.withColumn("_sw_order", F.xxhash64(key, text))
+    joined = rows.join(times, (rows["_sw_order"] == times["_sw_order"]) & rows[key].eqNullSafe(times["_sw_key"]))
+    return joined.select(*(df.columns), F.explode(F.sequence(F.lit(1), F.col("_sw_times"))).alias("_sw_copy")).drop("_sw_copy")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
