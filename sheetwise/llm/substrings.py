@@ -4,8 +4,8 @@ A paragraph is PARAGRAPH consecutive five-word shingles. Where paragraphs begin
 hash begins one. Any passage of PARAGRAPH + WINDOW + 3 (51) words therefore holds the same paragraph wherever it stands, in the middle of a line too.
 
 Bands of MinHash values are tuned for recall at the similarity threshold. First, band keys alone are counted over all texts. Keys that repeat are put into a
-bit map of bounded size, and in a second pass only paragraphs with a key in it are written (a wrong hit costs a row, not a result). Equal paragraphs become one
-class; classes that share a band key are compared, by exact Jaccard. A band list of more than LIGHT classes isn't paired: two sets of PARAGRAPH shingles reach the threshold
+bit map of bounded size, and in a second pass only paragraphs with a key in it are written (a wrong hit costs a row, not a result). A document counts once for each key,
+so that paragraphs of one text that overlap don't count as repeats. Equal paragraphs become one class; classes that share a band key are compared, by exact Jaccard. A band list of more than LIGHT classes isn't paired: two sets of PARAGRAPH shingles reach the threshold
 exactly if they agree in all but a few (two), so every class is listed under each of its subsets without two shingles, and any two classes with one subset in common are linked.
 Components of links are groups of repeats; each keeps its first occurrence, by (key, position), and the spans of the others are removed.
 
@@ -21,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,13 +90,13 @@ def paragraphs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def counted(sets: np.ndarray) -> np.ndarray:
-    """Shingles in rising order, the second of equal ones made different from the first, and so on: sets of the same size."""
-    out = np.sort(sets, axis=1)
+    """Shingles, 32 bits of each, in rising order, the second of equal ones made different from the first, and so on: sets of the same size."""
+    out = np.sort(sets >> np.uint64(32), axis=1)
     for _ in range(PARAGRAPH - 1):
         same = out[:, 1:] == out[:, :-1]
         if not same.any():
             break
-        out[:, 1:][same] = mix(out[:, 1:][same] + np.uint64(1))
+        out[:, 1:][same] = mix(out[:, 1:][same] + np.uint64(1)) >> np.uint64(32)
         out.sort(axis=1)
     return out
 
@@ -107,7 +108,7 @@ def band_keys(sets: np.ndarray) -> np.ndarray:
     for b in range(BANDS):
         key = np.full(len(sets), b + 1, dtype=np.uint64)
         for r in range(ROWS):
-            key = mix(key + ((sets ^ (sets >> np.uint64(29))) * factors[b * ROWS + r]).min(axis=1))
+            key = mix(key + mix(sets * factors[b * ROWS + r]).min(axis=1))
         out[:, b] = key
     return out
 
@@ -128,13 +129,15 @@ def _hits(bit_map: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, begin, class, bands, shingles) of all paragraphs with a band key that another paragraph seems to have."""
+    """(key, begin, class, shingles) of all paragraphs with a band key that another document seems to have; shingles are null for most of equal ones."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in gathered(batches, BLOCK):
-            _, _, sets = paragraphs(t.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(band_keys(counted(sets)).ravel().view(np.int64))], names=["key"])
+            doc, _, sets = paragraphs(t.column("text"))
+            bands = band_keys(counted(sets)).ravel()
+            once = np.unique(mix(bands + mix(np.repeat(doc, BANDS).astype(np.uint64) + np.uint64(1))), return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(bands[once].view(np.int64))], names=["key"])
 
     repeated = written(rows.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
     sent = df.sparkSession.sparkContext.broadcast(_bit_map(repeated))
@@ -149,15 +152,32 @@ def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 classes = np.zeros(len(at), dtype=np.uint64)
                 for k in range(PARAGRAPH):
                     classes = mix(classes + sets[at, k])
-                lists = lambda x, width: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().view(np.int64)), width).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks().take(pa.array(doc[at])), pa.array(begin[at].astype(np.int32)), pa.array(classes.view(np.int64)), lists(bands[at], BANDS), lists(sets[at], PARAGRAPH)], names=["key", "begin", "class", "bands", "shingles"])
+                lone = np.zeros(len(at), dtype=bool)  # of equal paragraphs of a block, one carries the shingles
+                lone[np.unique(classes, return_index=True)[1]] = True
+                shingles = pa.FixedSizeListArray.from_arrays(pa.array(sets[at].astype(np.uint32).view(np.int32).ravel()), PARAGRAPH).cast(pa.list_(pa.int32()))
+                shingles = pc.if_else(pa.array(lone), shingles, pa.nulls(len(at), shingles.type))
+                yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks().take(pa.array(doc[at])), pa.array(begin[at].astype(np.int32)), pa.array(classes.view(np.int64)), shingles], names=["key", "begin", "class", "shingles"])
 
-    return rows.mapInArrow(found, "key long, begin int, class long, bands array<long>, shingles array<long>")
+    return rows.mapInArrow(found, "key long, begin int, class long, shingles array<int>")
+
+
+def _with_bands(classes: DataFrame) -> DataFrame:
+    """(class, shingles) with ``band``, one row for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 4000):
+                batch = whole.slice(a, 4000)
+                sets = batch.column(1).flatten().to_numpy().view(np.uint32).astype(np.uint64).reshape(-1, PARAGRAPH)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(band_keys(sets).ravel().view(np.int64))], names=["class", "shingles", "band"])
+
+    return classes.select("class", "shingles").mapInArrow(run, "class long, shingles array<int>, band long")
 
 
 def links(classes: DataFrame, light: int = LIGHT) -> DataFrame:
-    """classes (class, bands, shingles) -> (u, v): classes of a Jaccard similarity of SIMILARITY or more, enough of them to connect what meets in a band."""
-    listed = classes.select("class", "shingles", F.explode("bands").alias("band"))
+    """classes (class, shingles) -> (u, v): classes of a Jaccard similarity of SIMILARITY or more, enough of them to connect what meets in a band."""
+    listed = _with_bands(classes)
     sizes = listed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     listed = written(listed.join(sizes, "band"), "band-lists")
     lists = listed.where(F.col("n") <= light).groupBy("band").agg(F.collect_list(F.struct("class", "shingles")).alias("list"))
@@ -170,7 +190,7 @@ def links(classes: DataFrame, light: int = LIGHT) -> DataFrame:
         for whole in batches:
             for a in range(0, whole.num_rows, 2000):
                 batch = whole.slice(a, 2000)
-                sets = mix(batch.column(1).flatten().to_numpy().astype(np.int64).view(np.uint64).reshape(-1, PARAGRAPH))
+                sets = mix(batch.column(1).flatten().to_numpy().view(np.uint32).astype(np.uint64).reshape(-1, PARAGRAPH))
                 rest = sets.sum(axis=1, dtype=np.uint64)[:, None] - sets[:, left].sum(axis=2, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), len(left))), pa.array(rest.ravel().view(np.int64))], names=["class", "subset"])
 
@@ -184,7 +204,7 @@ def links(classes: DataFrame, light: int = LIGHT) -> DataFrame:
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each paragraph that other documents have too: key, begin and end (word numbers), component, first (does this occurrence stay)."""
     found = written(candidates(df, key, text), "paragraphs")
-    classes = found.groupBy("class").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    classes = written(found.where("shingles is not null").groupBy("class").agg(F.first("shingles").alias("shingles")), "paragraph-classes")
     groups = connected_components(links(classes)).withColumnRenamed("node", "class")
     named = found.select("key", "begin", "class").join(groups, "class", "left").select("key", "begin", F.coalesce("component", "class").alias("component"))
     named = written(named, "named")
