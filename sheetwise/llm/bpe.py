@@ -145,7 +145,7 @@ def piece_starts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Codec:
     """Encoder and decoder for one rank file. cache_pieces bounds the memory of the piece cache; older pieces are merged again when met."""
 
-    def __init__(self, ranks: dict[bytes, int], cache_pieces: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], cache_pieces: int = 200_000):
         self.ranks = ranks
         self.text_of = {str(i): token for token, i in ranks.items()}
         self.cache = Pieces(ranks, cache_pieces)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -129,6 +131,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the machine: Python workers live on, and what one query held counts against the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], about: int, column: str = "text") -> Iterator[pa.Table]:
     """The rows in tables of about so many bytes of text (one long text may be more): long arrays for vectorised work, in bounded memory."""
     held: list[pa.RecordBatch] = []
@@ -145,8 +154,11 @@ def gathered(batches: Iterator[pa.RecordBatch], about: int, column: str = "text"
             if size >= about or begin < batch.num_rows:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
+                release_memory()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+        held = []
+    release_memory()
 
 
 def drop_written(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None:
