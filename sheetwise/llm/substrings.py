@@ -5,8 +5,8 @@ hash begins one. Any passage of PARAGRAPH + WINDOW + 3 (51) words therefore hold
 
 Bands of MinHash values are tuned for recall at the similarity threshold. First, band keys alone are counted over all texts. Keys that repeat are put into a
 bit map of bounded size, and in a second pass only paragraphs with a key in it are written (a wrong hit costs a row, not a result). A document counts once for each key,
-so that paragraphs of one text that overlap don't count as repeats. Equal paragraphs become one class; classes that share a band key are compared, by exact Jaccard. A band list of more than LIGHT classes isn't paired: two sets of PARAGRAPH shingles reach the threshold
-exactly if they agree in all but a few (two), so every class is listed under each of its subsets without two shingles, and any two classes with one subset in common are linked.
+so that paragraphs of one text that overlap don't count as repeats. Equal paragraphs become one class; classes that share a band key are compared, by exact Jaccard. A band list of more than LIGHT classes isn't paired: two sets of PARAGRAPH shingles reach the threshold exactly if they agree in all but two. So its classes are listed by pairs of six buckets of their shingles,
+of which similar ones share a pair, and what is in a long list again, under each of its subsets without two shingles: any two classes with one subset in common are linked.
 Components of links are groups of repeats; each keeps its first occurrence, by (key, position), and the spans of the others are removed.
 
 Defined cases: a null, blank or short text (under 24 words) has no paragraph; rows without key take no part; rows with equal key count as one document; a group within one document is no repeat;
@@ -25,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, gathered, mix, table, written
+from .common import Words, gathered, mix, release_memory, table, written
 from .components import connected_components
 
 #: Words in a shingle, shingles in a paragraph, shingles of which one begins a paragraph, least Jaccard similarity, classes that are compared in pairs, most bits of the map.
 SHINGLE, PARAGRAPH, WINDOW, SIMILARITY, LIGHT, MOST_BITS = 5, 20, 28, 0.8, 24, 1 << 25
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -161,44 +161,57 @@ def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return rows.mapInArrow(found, "key long, begin int, class long, shingles array<int>")
 
 
-def _with_bands(classes: DataFrame) -> DataFrame:
-    """(class, shingles) with ``band``, one row for each."""
+def _listed(rows: DataFrame, light: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """rows (class, shingles, post) -> (u, v) of similar classes in lists of at most ``light``, and the classes of longer lists."""
+    sizes = rows.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
+    listed = written(rows.join(sizes, "post"), label)
+    lists = listed.where(F.col("n") <= light).groupBy("post").agg(F.collect_list(F.struct("class", "shingles")).alias("list"))
+    pairs = lists.select("list", F.explode("list").alias("u")).select("u", F.explode(F.filter("list", lambda v: v["class"] > F.col("u.class"))).alias("v"))
+    near = pairs.where(F.size(F.array_intersect("u.shingles", "v.shingles")) >= COMMON).select(F.col("u.class").alias("u"), F.col("v.class").alias("v"))
+    return near, written(listed.where(F.col("n") > light).select("class", "shingles").dropDuplicates(["class"]), f"{label}-long")
+
+
+def _posted(classes: DataFrame, keys, with_shingles: bool = True) -> DataFrame:
+    """A row (class, shingles, post) for each of the keys (matrix of numbers) that ``keys`` makes of each class's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 4000):
-                batch = whole.slice(a, 4000)
-                sets = batch.column(1).flatten().to_numpy().view(np.uint32).astype(np.uint64).reshape(-1, PARAGRAPH)
-                at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(band_keys(sets).ravel().view(np.int64))], names=["class", "shingles", "band"])
+            for a in range(0, whole.num_rows, 2000):
+                batch = whole.slice(a, 2000)
+                posts = keys(batch.column(1).flatten().to_numpy().view(np.uint32).astype(np.uint64).reshape(-1, PARAGRAPH))
+                at = pa.array(np.repeat(np.arange(batch.num_rows), posts.shape[1]))
+                columns = [batch.column(0).take(at), *([batch.column(1).take(at)] if with_shingles else []), pa.array(posts.ravel().view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["class", *(["shingles"] if with_shingles else []), "post"])
+        release_memory()
 
-    return classes.select("class", "shingles").mapInArrow(run, "class long, shingles array<int>, band long")
+    return classes.select("class", "shingles").mapInArrow(run, f"class long, {'shingles array<int>, ' if with_shingles else ''}post long")
 
 
-def links(classes: DataFrame, light: int = LIGHT) -> DataFrame:
-    """classes (class, shingles) -> (u, v): classes of a Jaccard similarity of SIMILARITY or more, enough of them to connect what meets in a band."""
-    listed = _with_bands(classes)
-    sizes = listed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    listed = written(listed.join(sizes, "band"), "band-lists")
-    lists = listed.where(F.col("n") <= light).groupBy("band").agg(F.collect_list(F.struct("class", "shingles")).alias("list"))
-    pairs = lists.select("list", F.explode("list").alias("u")).select("u", F.explode(F.filter("list", lambda v: v["class"] > F.col("u.class"))).alias("v"))
-    near = pairs.where(F.size(F.array_intersect("u.shingles", "v.shingles")) >= COMMON).select(F.col("u.class").alias("u"), F.col("v.class").alias("v"))
-    heavy = listed.where(F.col("n") > light).select("class", "shingles").dropDuplicates(["class"])
+def bucket_keys(sets: np.ndarray) -> np.ndarray:
+    """Shingles fall into buckets by their hash. Sets that differ in D shingles on each side differ in 2 D buckets at most; with two more buckets than that, they agree in two: a key for each pair of buckets."""
+    n = 2 * (PARAGRAPH - COMMON) + 2
+    mixed, bucket = mix(sets), sets % np.uint64(n)
+    sums = np.stack([np.where(bucket == np.uint64(k), mixed, np.uint64(0)).sum(axis=1, dtype=np.uint64) for k in range(n)], axis=1)
+    return np.stack([mix(mix(sums[:, a] + np.uint64(n * a + b)) + sums[:, b]) for a, b in combinations(range(n), 2)], axis=1)
 
-    def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = np.array(list(combinations(range(PARAGRAPH), PARAGRAPH - COMMON)), dtype=np.int64)
-        for whole in batches:
-            for a in range(0, whole.num_rows, 2000):
-                batch = whole.slice(a, 2000)
-                sets = mix(batch.column(1).flatten().to_numpy().view(np.uint32).astype(np.uint64).reshape(-1, PARAGRAPH))
-                rest = sets.sum(axis=1, dtype=np.uint64)[:, None] - sets[:, left].sum(axis=2, dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), len(left))), pa.array(rest.ravel().view(np.int64))], names=["class", "subset"])
-
-    under = heavy.select("class", "shingles").mapInArrow(subsets, "class long, subset long")
-    under = written(under, "subsets")
-    least = under.groupBy("subset").agg(F.min("class").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = under.join(least, "subset").where("u <> class").select("u", F.col("class").alias("v"))
-    return near.unionAll(stars).distinct()
+
+def subset_keys(sets: np.ndarray) -> np.ndarray:
+    """A key for each subset of COMMON shingles."""
+    out = np.array(list(combinations(range(PARAGRAPH), PARAGRAPH - COMMON)), dtype=np.int64)
+    mixed = mix(sets)
+    return mixed.sum(axis=1, dtype=np.uint64)[:, None] - mixed[:, out].sum(axis=2, dtype=np.uint64)
+
+
+def links(classes: DataFrame, light: int = LIGHT) -> DataFrame:
+    """classes (class, shingles) -> (u, v): classes of a Jaccard similarity of SIMILARITY or more, enough of them to connect what meets in a band.
+
+    Classes of long band lists are listed again by pairs of buckets, which anything similar agrees in; those of lists that are still long, by subsets."""
+    near, long_ = _listed(_posted(classes, band_keys), light, "bands")
+    closer, longer = _listed(_posted(long_, bucket_keys), light, "buckets")
+    under = written(_posted(longer, subset_keys, with_shingles=False), "subsets")
+    least = under.groupBy("post").agg(F.min("class").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = under.join(least, "post").where("u <> class").select("u", F.col("class").alias("v"))
+    return near.unionAll(closer).unionAll(stars).distinct()
 
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
