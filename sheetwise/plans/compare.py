@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from ..config import Config
 from ..functions import geometry as g
 from ..functions.text import normalized
 from ..operators import clusters, defects, matching, raster, registration, report, tables, zones
+from ..session import settled as keep
 
 KEYS = ["pair_id", "page"]
 
@@ -53,9 +53,8 @@ def with_center_map(df: DataFrame, regs: DataFrame) -> DataFrame:
 
 
 def compare(inputs: Inputs, config: Config | None = None) -> Comparison:
-    """All records of all pairs. The frames that several detectors read are kept on the executors' disks, as they may be larger than memory."""
+    """All records of all pairs. Frames that several detectors read are computed once, into the shared folder, which also keeps plans short."""
     config = config or Config()
-    keep = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
     ref, cand = keep(prepared(inputs.ref, config)), keep(prepared(inputs.cand, config))
     regs = keep(registration.registrations(inputs.pages, registration.models(registration.anchors(ref, cand), config)))
     grids = keep(zones.grids(inputs.pages, zones.labels(cand, inputs.pages, config)))

@@ -60,15 +60,15 @@ cand AS ({_numbered(f'''SELECT page, ok AS block, CAST(ln AS INTEGER) AS line,
 
 ANCHORS = """
 anchors AS (
-    SELECT 'A' AS pair_id, a.page, a.norm, a.ref_idx, a.ax, a.ay, b.bx, b.by
+    SELECT 'A' AS pair_id, a.page, a.norm, a.ref_idx, a.ax, a.ay, b.bx, b.b_y AS "by"
     FROM (SELECT page, norm, min(run_idx) AS ref_idx, min(cx) AS ax, min(cy) AS ay FROM ref WHERE norm <> '' GROUP BY page, norm HAVING count(*) = 1) a
-    JOIN (SELECT page, norm, min(cx) AS bx, min(cy) AS by FROM cand WHERE norm <> '' GROUP BY page, norm HAVING count(*) = 1) b USING (page, norm))"""
+    JOIN (SELECT page, norm, min(cx) AS bx, min(cy) AS b_y FROM cand WHERE norm <> '' GROUP BY page, norm HAVING count(*) = 1) b USING (page, norm))"""
 
 FIT = """
-means AS (SELECT page, avg(ax) AS ma, avg(ay) AS mb, avg(bx) AS mc, avg(by) AS md, count(*) AS n_anchors FROM anchors GROUP BY page),
+means AS (SELECT page, avg(ax) AS ma, avg(ay) AS mb, avg(bx) AS mc, avg("by") AS md, count(*) AS n_anchors FROM anchors GROUP BY page),
 sums AS (
     SELECT page, ma, mb, mc, md, n_anchors, sum((ax - ma) * (ax - ma)) AS uu, sum((ax - ma) * (ay - mb)) AS uv, sum((ay - mb) * (ay - mb)) AS vv,
-        sum((ax - ma) * (bx - mc)) AS up, sum((ay - mb) * (bx - mc)) AS vp, sum((ax - ma) * (by - md)) AS uq, sum((ay - mb) * (by - md)) AS vq
+        sum((ax - ma) * (bx - mc)) AS up, sum((ay - mb) * (bx - mc)) AS vp, sum((ax - ma) * ("by" - md)) AS uq, sum((ay - mb) * ("by" - md)) AS vq
     FROM anchors JOIN means USING (page) GROUP BY page, ma, mb, mc, md, n_anchors),
 linear AS (
     SELECT *, CASE WHEN abs(uu * vv - uv * uv) > 1e-9 THEN uu * vv - uv * uv END AS det FROM sums),
@@ -78,17 +78,17 @@ fit AS (
 
 GRID = """
 seen AS (
-    SELECT page, CASE WHEN regexp_matches(text, '^\\d{1,3}$') THEN 'col' ELSE 'row' END AS axis, upper(text) AS label, CASE WHEN regexp_matches(text, '^\\d{1,3}$') THEN cx ELSE cy END AS at, run_idx
+    SELECT page, CASE WHEN regexp_matches(text, '^\\d{1,3}$') THEN 'col' ELSE 'row' END AS axis, upper(text) AS label, CASE WHEN regexp_matches(text, '^\\d{1,3}$') THEN cx ELSE cy END AS place, run_idx
     FROM cand WHERE (regexp_matches(text, '^\\d{1,3}$') AND (cy < 36 OR cy > 564) AND NOT (cx < 48 OR cx > 752)) OR (regexp_matches(text, '^[A-Za-z]$') AND (cx < 48 OR cx > 752) AND NOT (cy < 36 OR cy > 564))),
-labels_ AS (SELECT page, axis, label, median(at) AS at, min(run_idx) AS first FROM seen GROUP BY page, axis, label),
+labels_ AS (SELECT page, axis, label, median(place) AS place, min(run_idx) AS first FROM seen GROUP BY page, axis, label),
 cells_ AS (
-    SELECT page, axis, label, CASE axis WHEN 'col' THEN 48 ELSE 36 END + (row_number() OVER (PARTITION BY page, axis ORDER BY at, first) - 0.5) * (CASE axis WHEN 'col' THEN 704.0 ELSE 528.0 END / count(*) OVER (PARTITION BY page, axis)) AS center FROM labels_),
+    SELECT page, axis, label, CASE axis WHEN 'col' THEN 48 ELSE 36 END + (row_number() OVER (PARTITION BY page, axis ORDER BY place, first) - 0.5) * (CASE axis WHEN 'col' THEN 704.0 ELSE 528.0 END / count(*) OVER (PARTITION BY page, axis)) AS center FROM labels_),
 grid AS (SELECT page, count(*) FILTER (WHERE axis = 'col') >= 2 AND count(*) FILTER (WHERE axis = 'row') >= 2 AS valid FROM cells_ GROUP BY page)"""
 
 
 def zone(x: str, y: str, page: str) -> str:
     near = lambda axis, v: f"(SELECT label FROM cells_ c WHERE c.page = {page} AND c.axis = '{axis}' ORDER BY abs(c.center - {v}), c.center LIMIT 1)"
-    return f"""CASE WHEN {x} > 800 * 0.67 AND {y} > 600 * 0.67 THEN 'title-block' WHEN {x} < 48 OR {x} > 752 OR {y} < 36 OR {y} > 564 THEN 'border'
+    return f"""CASE WHEN {x} > 800 * (1 - CAST(0.33 AS DOUBLE)) AND {y} > 600 * (1 - CAST(0.33 AS DOUBLE)) THEN 'title-block' WHEN {x} < 48 OR {x} > 752 OR {y} < 36 OR {y} > 564 THEN 'border'
         WHEN (SELECT valid FROM grid g WHERE g.page = {page}) THEN {near('row', y)} || {near('col', x)} END"""
 
 
@@ -105,7 +105,7 @@ free_ref AS (SELECT * FROM ref r WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e
 free_cand AS (SELECT * FROM cand r WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.page = r.page AND e.cand_idx = r.run_idx))"""
 
 OVERLAPS = f"""
-overlaps AS (
+collisions AS (
     SELECT page, ratio, texts, x0, y0, x1, y1, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM (
         SELECT a.page, {overlap(box('a.'), box('b.'))} AS ratio, a.text || ' / ' || b.text AS texts, least(a.x0, b.x0) AS x0, least(a.y0, b.y0) AS y0, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1,
             least(a.y1 - a.y0, b.y1 - b.y0) AS h, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS dy, greatest(a.x0, b.x0) - least(a.x1, b.x1) AS gap
@@ -116,7 +116,7 @@ FINDINGS = f"""
 findings AS (
     SELECT page, 'missing_text' AS class, 0.5 AS confidence, {zone('cx', 'cy', 'r.page')} AS zone, text AS ref_text, CAST(NULL AS VARCHAR) AS cand_text, x0, y0, x1, y1, cx, cy FROM free_ref r
     UNION ALL SELECT * FROM (SELECT page, 'added_text', 1.0, {zone('cx', 'cy', 'r.page')} AS zone, NULL, text, x0, y0, x1, y1, cx, cy FROM free_cand r WHERE length(trim(text)) > 1 AND NOT (cx < 48 OR cx > 752 OR cy < 36 OR cy > 564)) WHERE zone IS DISTINCT FROM 'title-block'
-    UNION ALL SELECT page, 'text_overlap', least(1.0, ratio / 0.3), {zone('cx', 'cy', 'r.page')}, NULL, texts, x0, y0, x1, y1, cx, cy FROM overlaps r)"""
+    UNION ALL SELECT page, 'text_overlap', least(1.0, ratio / 0.3), {zone('cx', 'cy', 'r.page')}, NULL, texts, x0, y0, x1, y1, cx, cy FROM collisions r)"""
 
 SYMBOLS = r"[Øø⌀φф°±¼½¾]|\bDIA\b|\bDEG\b|\bRAD\b|GD&T|\bSYMBOL\b"
 DIMENSIONS = r"(\d+/\d+|\d+\.\d+|\b\d+\b|±|ø|DIA|MM|INCH|DEG|RAD|°|UNITS)"
@@ -242,7 +242,7 @@ ORACLE_SQL = {
     "min_ref_cost": f"{RUNS}, {COSTS} SELECT {_n}, page, ref_idx, round(min(cost), 6) AS min_cost FROM costs GROUP BY page, ref_idx",
     "residual_exact": f"{RUNS}, {EXACT} SELECT {_n}, page, ref_idx, cand_idx FROM exact",
     "unmatched_runs": f"{RUNS}, {EXACT} SELECT 'ref' AS side, {_n}, page, run_idx, text FROM free_ref UNION ALL SELECT 'cand', 'A', page, run_idx, text FROM free_cand",
-    "text_overlap": f"{RUNS}, {GRID}, {OVERLAPS} SELECT {_n}, page, {zone('cx', 'cy', 'r.page')} AS zone, texts AS cand_text, round(least(1.0, ratio / 0.3), 6) AS confidence, x0, y0, x1, y1 FROM overlaps r",
+    "text_overlap": f"{RUNS}, {GRID}, {OVERLAPS} SELECT {_n}, page, {zone('cx', 'cy', 'r.page')} AS zone, texts AS cand_text, round(least(1.0, ratio / 0.3), 6) AS confidence, x0, y0, x1, y1 FROM collisions r",
     "stack_edges": f"{RUNS}, {STACKS} SELECT {_n}, page, i, j FROM stacks",
     "leader_edges": f"{RUNS}, {LEADERS} SELECT {_n}, page, i, j FROM leaders",
     "annotation_clusters": f"{RUNS}, {STACKS}, {LEADERS}, {reach('SELECT * FROM stacks UNION ALL SELECT * FROM leaders')}",
@@ -289,7 +289,7 @@ ORACLE_SQL = {
     "pending_jobs": f"{JOBS} SELECT count(*) FILTER (WHERE status IN ('queued', 'running')) AS pending FROM jobs",
     "mean_abs_diff": f"{GREY} SELECT id, round(list_sum(list_transform(list_zip(a, b), lambda p: abs(p[1] - p[2]))) / 64.0 / 255.0, 9) AS diff FROM p",
     "nested_runs": f"{RUNS} SELECT {_n}, page, block, line, text, x0, y0, x1, y1 FROM ref",
-    "drawing_segments": """WITH o AS (SELECT CAST(o_orderkey // 10 + 1 AS INTEGER) AS page, o_orderkey AS item, CAST(60 + (17 * o_orderkey) % 640 AS DOUBLE) AS ax, CAST(60 + (29 * o_orderkey) % 460 AS DOUBLE) AS ay, CAST(60 + (41 * o_orderkey + 31) % 640 AS DOUBLE) AS bx, CAST(60 + (23 * o_orderkey + 11) % 460 AS DOUBLE) AS by FROM orders)
-        SELECT 'A' AS pair_id, page, item, 'l' AS kind, 0 AS edge, ax, ay, bx, by FROM o
-        UNION ALL SELECT 'A', page, item, 're', e, CASE WHEN e IN (0, 3) THEN ax ELSE bx END, CASE WHEN e IN (0, 1) THEN ay ELSE by END, CASE WHEN e IN (0, 1) THEN bx ELSE ax END, CASE WHEN e IN (1, 2) THEN by ELSE ay END FROM o, (SELECT unnest([0, 1, 2, 3]) AS e) WHERE item % 3 = 0""",
+    "drawing_segments": """WITH o AS (SELECT CAST(o_orderkey // 10 + 1 AS INTEGER) AS page, o_orderkey AS item, CAST(60 + (17 * o_orderkey) % 640 AS DOUBLE) AS ax, CAST(60 + (29 * o_orderkey) % 460 AS DOUBLE) AS ay, CAST(60 + (41 * o_orderkey + 31) % 640 AS DOUBLE) AS bx, CAST(60 + (23 * o_orderkey + 11) % 460 AS DOUBLE) AS b_y FROM orders)
+        SELECT 'A' AS pair_id, page, item, 'l' AS kind, 0 AS edge, ax, ay, bx, b_y AS "by" FROM o
+        UNION ALL SELECT 'A', page, item, 're', e, CASE WHEN e IN (0, 3) THEN ax ELSE bx END, CASE WHEN e IN (0, 1) THEN ay ELSE b_y END, CASE WHEN e IN (0, 1) THEN bx ELSE ax END, CASE WHEN e IN (1, 2) THEN b_y ELSE ay END FROM o, (SELECT unnest([0, 1, 2, 3]) AS e) WHERE item % 3 = 0""",
 }
