@@ -264,7 +264,7 @@ ORACLE_SQL = {
     "ignore_regions": f"{SLICE} SELECT {_n}, page, class, count(*) AS n FROM findings WHERE class = 'missing_text' AND NOT ((cx BETWEEN 100 AND 300 AND cy BETWEEN 100 AND 250) OR (cx BETWEEN 500 AND 560 AND cy BETWEEN 300 AND 420)) OR class <> 'missing_text' AND NOT ((cx BETWEEN 100 AND 300 AND cy BETWEEN 100 AND 250) OR (cx BETWEEN 500 AND 560 AND cy BETWEEN 300 AND 420)) GROUP BY page, class",
     "defect_filters": f"""{SLICE}, {WORDS.replace('WITH ', '', 1).strip()}, tables_ AS (SELECT page, min(x0) AS tx0, min(y0) AS ty0, max(x1) AS tx1, max(y1) AS ty1 FROM kept WHERE side = 'cand' GROUP BY page)
         SELECT {_n}, page, class, count(*) AS n FROM findings f WHERE zone IS DISTINCT FROM 'border' AND NOT EXISTS (SELECT 1 FROM tables_ t WHERE t.page = f.page AND cx BETWEEN tx0 AND tx1 AND cy BETWEEN ty0 AND ty1) GROUP BY page, class""",
-    "defect_records": f"{SLICE} SELECT {_n}, page, class, severity, status, zone, ref_text, cand_text, message, cause, fix, round(round(confidence, 3), 2) AS confidence FROM records",
+    "defect_records": f"{SLICE} SELECT {_n}, page, class, severity, status, zone, ref_text, cand_text, message, cause, fix FROM records",
     "defect_ids": f"""{SLICE} SELECT {_n}, printf('D-%03d', row_number() OVER (ORDER BY page, round(y0, 1), round(x0, 1), CASE class WHEN 'missing_text' THEN 0 WHEN 'text_overlap' THEN 2 ELSE 99 END, text)) AS id, page, class, text
         FROM (SELECT *, coalesce(nullif(cand_text, ''), ref_text, '') AS text FROM records)""",
     "audit_categories": f"{SLICE} SELECT {_n}, page, class, category, count(*) AS n FROM categorised GROUP BY page, class, category",

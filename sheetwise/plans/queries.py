@@ -283,7 +283,7 @@ def ignore_regions(spark: SparkSession, d: str) -> DataFrame:
 
 def defect_records(spark: SparkSession, d: str) -> DataFrame:
     _, rows = _slice(spark, d)
-    return _rounded(rows.select(*KEYS, "class", "severity", "status", "zone", "ref_text", "cand_text", "message", "cause", "fix", "confidence"), "confidence", digits=2)
+    return rows.select(*KEYS, "class", "severity", "status", "zone", "ref_text", "cand_text", "message", "cause", "fix")
 
 
 def defect_ids(spark: SparkSession, d: str) -> DataFrame:
