@@ -29,7 +29,7 @@ from .common import Words, gathered, mix, release_memory, table, written
 from .components import connected_components
 
 #: Words in a shingle, shingles in a paragraph, shingles of which one begins a paragraph, least Jaccard similarity, classes that are compared in pairs, most bits of the map.
-SHINGLE, PARAGRAPH, WINDOW, SIMILARITY, LIGHT, MOST_BITS = 5, 20, 28, 0.8, 24, 1 << 25
+SHINGLE, PARAGRAPH, WINDOW, SIMILARITY, LIGHT, MOST_BITS = 5, 20, 28, 0.8, 24, 1 << 27
 BLOCK = 4_000_000
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -115,7 +115,7 @@ def band_keys(sets: np.ndarray) -> np.ndarray:
 
 def _bit_map(keys: DataFrame) -> np.ndarray:
     """A bit map of bounded size that has a bit for each key (long)."""
-    bits = 1 << max(16, min(MOST_BITS.bit_length() - 1, (16 * keys.count()).bit_length()))
+    bits = 1 << max(16, min(MOST_BITS.bit_length() - 1, (64 * keys.count()).bit_length()))
     place = F.col("key").bitwiseAND(F.lit(bits - 1))
     words = keys.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((key & {bits - 1}) & 63 as int))")).alias("mask")).toArrow()
     out = np.zeros(bits // 64, dtype=np.int64)
