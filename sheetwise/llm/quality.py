@@ -87,7 +87,7 @@ def train(labels: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.nda
     share = float(labels.mean()) if n else 0.5
     deviation = dense.std(axis=0) if n else np.ones(DENSE)
     m = Machine(0.0, np.zeros(width), rng.normal(0, 0.05, (width, FACTORS)), dense.mean(axis=0) if n else np.zeros(DENSE), 1 / np.where(deviation > 1e-9, deviation, 1.0))
-    if not 0 < share < 1:
+    if not n or not 0 < share < 1:
         m.vectors[:] = 0
         m.bias = 30.0 if share == 1 else -30.0 if share == 0 else 0.0
         return m
