@@ -306,6 +306,47 @@ def test_near_texts(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i] == i}
 
 
+def near_labels(rows):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words_of(t)) else set() for t in rows]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    label = list(range(len(rows)))
+    while any(label[a] != label[b] for a, b in pairs):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return dict(enumerate(label)), pairs
+
+
+@pytest.mark.parametrize("light, chunk", [(10, 512), (4, 16)])
+def test_near_texts_of_stars_and_chains(spark, monkeypatch, light, chunk):
+    """Copies that are similar to their original only, and texts that are similar to the next one only."""
+    monkeypatch.setattr(neartext, "LIGHT", light)
+    monkeypatch.setattr(neartext, "CHUNK", chunk)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    original = [word() for _ in range(100)]
+    places = [(a, b) for a in range(5, 45) for b in range(55, 95)]
+    star = [" ".join(word() if k in at else w for k, w in enumerate(original)) for at in rng.sample(places, 60)]
+    long = [word() for _ in range(500)]
+    chain = [" ".join(long[k : k + 100]) for k in range(0, 400, 9)]
+    rng.shuffle(chain)
+    rows = star[:30] + [" ".join(original)] + star[30:] + chain
+    want, pairs = near_labels(rows)
+    assert len(set(want.values())) == 2 and sum(a < 61 and b < 61 and 30 not in (a, b) for a, b in pairs) < 300
+    assert {r["doc_id"]: r["keeper"] for r in neartext.keepers(frame(spark, rows)).collect()} == want
+
+
+def test_near_texts_at_the_threshold(spark):
+    """Every pair counts at a similarity just over 0.8, and a sentence that one text repeats counts once."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    base = [[word() for _ in range(100)] for _ in range(150)]
+    close = [" ".join(word() if k in (20, 70) else w for k, w in enumerate(b)) for b in base]
+    rows = [" ".join(b) for b in base] + close + [" ".join(b[:-30] + b[-30:] * 40) for b in base[:10]]
+    want, _ = near_labels(rows)
+    assert all(want[150 + k] == k for k in range(150)) and all(want[300 + k] == k for k in range(10))
+    assert {r["doc_id"]: r["keeper"] for r in neartext.keepers(frame(spark, rows)).collect()} == want
+
+
 def test_warc(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "a\r\nb", "x" * 200_000), (4, "q", "x" * 200_000), (4, "q", "x" * 200_000), (None, "n", "x" * 200_000), (5, "z", "é" * 50_000), (6, "z", "WARC/1.1\r\n\r\n")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("sha", F.lit(1))
