@@ -4,8 +4,8 @@ A text is a sequence of words and one end token. Hidden states emit word classes
 their own, other words share a class with those that end alike. A word of a shared class then has its smoothed share of the class's training tokens, with room for
 one unseen word; so the model is a distribution over texts, and the likelihood of a text is exact: scaled forward recursion over its classes, times the words' shares.
 
-Learning: all training tokens are counted (in Arrow blocks first, then by shuffle). Start values come from a few rounds of Baum-Welch on at most SAMPLE texts; then expected counts
-of states and classes over all training texts are taken in each task and added up over tasks, ROUNDS times. Counts of states and classes are some ten thousand rows at any size.
+Learning: all training tokens are counted (in Arrow blocks first, then by shuffle). Start values come from a few rounds of Baum-Welch on the beginnings of some SAMPLE texts; then expected counts
+of states and classes over all training texts are taken in each task and added up over tasks, until a round raises the log-likelihood by less than SETTLED of it. Counts of states and classes are some ten thousand rows at any size.
 
 Scoring: counts of frequent words (LOOKUP at most) are sent to every task; they cover most tokens, and without them no word is frequent enough to be a hot key. The other words of each text are joined with
 the table of counts, which may be of any size.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import Words, gathered, held_out, mix, table, written
 
-#: Words with a class of their own, words whose counts every task gets, shared classes (a power of two), states, texts for the start values, their rounds, rounds over all training texts.
-OWN, LOOKUP, SHARED_BITS, STATES, SAMPLE, START_ROUNDS, ROUNDS = 8192, 131_072, 10, 8, 600, 12, 1
+#: Words with a class of their own, words whose counts every task gets, shared classes (a power of two), states, texts for the start values, characters of each, their rounds, least gain of a round over all training texts, rounds after which something is wrong.
+OWN, LOOKUP, SHARED_BITS, STATES, SAMPLE, START_CHARS, START_ROUNDS, SETTLED, MOST_ROUNDS = 8192, 131_072, 10, 8, 600, 16_000, 12, 1e-4, 200
 SHARED, HASH_BITS, END = 1 << SHARED_BITS, 63 - SHARED_BITS, -1
 #: Bytes of text that a task works on at once.
 BLOCK = 8_000_000
@@ -161,8 +161,8 @@ def forward(m: Model, laid: np.ndarray, first: np.ndarray, keep: bool = False, k
     return scale, kept, emit
 
 
-def expected(m: Model, laid: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of Baum-Welch over the texts: starts, moves, and emissions by class and state."""
+def expected(m: Model, laid: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of Baum-Welch over the texts: starts, moves, and emissions by class and state; the log-likelihood of the texts."""
     scale, a, emit = forward(m, laid, first, keep=True, kind=np.float32)
     move = m.move.astype(np.float32)
     moves = np.zeros(m.move.shape)
@@ -178,7 +178,7 @@ def expected(m: Model, laid: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
         b = here
         a[i:j] *= b
     emissions = np.stack([np.bincount(laid, a[:, s], len(m.emit)) for s in range(len(m.start))], axis=1)
-    return a[: first[1]].sum(axis=0, dtype=np.float64), moves * m.move, emissions
+    return a[: first[1]].sum(axis=0, dtype=np.float64), moves * m.move, emissions, float(np.log(scale, dtype=np.float64).sum())
 
 
 def maximised(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, share: np.ndarray) -> Model:
@@ -212,8 +212,8 @@ def _laid(t: pa.Table, v: Vocabulary, text: str) -> tuple:
     return w, ids, count, classes, hit, sequences(classes, w.per_doc, v.size - 1)
 
 
-def baum_welch(texts: DataFrame, v: Vocabulary, m: Model, share: np.ndarray, text: str = "text") -> Model:
-    """One round over all texts; expected counts are added up in each task, then over tasks."""
+def baum_welch(texts: DataFrame, v: Vocabulary, m: Model, share: np.ndarray, text: str = "text") -> tuple[Model, float]:
+    """One round over all texts: the next model, and the log-likelihood under m. Expected counts are added up in each task, then over tasks."""
     spark, states = texts.sparkSession, len(m.start)
     sent = spark.sparkContext.broadcast((v, m))
     names = [f"s{k}" for k in range(states)]
@@ -226,10 +226,10 @@ def baum_welch(texts: DataFrame, v: Vocabulary, m: Model, share: np.ndarray, tex
             found = expected(m, laid, first)
             total = found if total is None else tuple(a + b for a, b in zip(total, found, strict=True))
         if total is not None:
-            starts, moves, emissions = total
+            starts, moves, emissions, log = total
             used = np.flatnonzero(emissions.any(axis=1))
-            index = np.concatenate((used, [-1], -2 - np.arange(states)))
-            values = np.vstack((emissions[used], starts, moves))
+            index = np.concatenate((used, [-1], -2 - np.arange(states), [-2 - states]))
+            values = np.vstack((emissions[used], starts, moves, np.full(states, log)))
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), *(pa.array(values[:, k]) for k in range(states))], names=["index", *names])
 
     sums = texts.select(text).mapInArrow(run, "index long, " + ", ".join(f"{n} double" for n in names)).groupBy("index").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
@@ -238,8 +238,20 @@ def baum_welch(texts: DataFrame, v: Vocabulary, m: Model, share: np.ndarray, tex
     starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((v.size, states))
     emissions[index[index >= 0]] = values[index >= 0]
     starts += values[index == -1].sum(axis=0)
-    moves[-2 - index[index < -1]] = values[index < -1]
-    return maximised(starts, moves, emissions, share)
+    inner = (index < -1) & (index >= -1 - states)
+    moves[-2 - index[inner]] = values[inner]
+    return maximised(starts, moves, emissions, share), float(values[index == -2 - states].sum() / states)
+
+
+def settled(texts: DataFrame, v: Vocabulary, m: Model, share: np.ndarray, text: str = "text") -> tuple[Model, list[float]]:
+    """Rounds over all texts until the log-likelihood settles: (model, log-likelihood before each round)."""
+    logs: list[float] = []
+    while len(logs) < MOST_ROUNDS:
+        m, log = baum_welch(texts, v, m, share, text)
+        logs.append(log)
+        if len(logs) > 1 and logs[-1] - logs[-2] <= SETTLED * abs(logs[-2]):
+            return m, logs
+    raise RuntimeError("the likelihood did not settle")
 
 
 def train(texts: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Vocabulary, DataFrame, int, Model]:
@@ -248,14 +260,13 @@ def train(texts: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Vo
     v, weight = vocabulary(counts)
     n = counts.where(F.col("id") == END).agg(F.sum("c")).first()[0] or 0
     share = class_shares(v, n)
-    rows = texts.where((F.shiftrightunsigned(F.xxhash64(key, F.lit("start")), 1) / float(1 << 63)) < (1.0 if n <= SAMPLE else (SAMPLE - 4 * SAMPLE**0.5) / n)).select(key, text).toArrow().sort_by(key)
+    rows = texts.where((F.shiftrightunsigned(F.xxhash64(key, F.lit("start")), 1) / float(1 << 63)) < (1.0 if n <= SAMPLE else (SAMPLE - 4 * SAMPLE**0.5) / n)).select(key, F.substring(text, 1, START_CHARS).alias(text)).limit(2 * SAMPLE).toArrow().sort_by(key)
     m = start_model(share)
     if rows.num_rows:
         laid, first, _, _ = _laid(rows, v, text)[-1]
         for _ in range(START_ROUNDS):
-            m = maximised(*expected(m, laid, first), share)
-    for _ in range(ROUNDS):
-        m = baum_welch(texts, v, m, share, text)
+            m = maximised(*expected(m, laid, first)[:3], share)
+    m, _ = settled(texts, v, m, share, text)
     return v, counts, weight, m
 
 

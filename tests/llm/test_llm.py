@@ -197,6 +197,17 @@ def test_expected_counts_by_all_paths():
     assert np.allclose(got[0], starts, atol=1e-5) and np.allclose(got[1], moves, atol=1e-5) and np.allclose(got[2], emissions, atol=1e-5)
 
 
+def test_hmm_settles_over_all_texts(spark, monkeypatch):
+    """A start sample of few texts: another round over all texts must not gain any more."""
+    monkeypatch.setattr(hmm, "SAMPLE", 20)
+    rows = texts(200, 12, (20, 60)) + [" ".join(["red", "blue"] * 20 + ["one", "two", "three"] * 15)] * 60
+    v, counts, weight, m = hmm.train(frame(spark, rows))
+    laid, first, _, _ = hmm._laid(pa.table({"text": rows}), v, "text")[-1]
+    log = lambda m: float(np.log(hmm.forward(m, laid, first)[0]).sum())
+    after = hmm.maximised(*hmm.expected(m, laid, first)[:3], hmm.class_shares(v, len(rows)))
+    assert log(after) - log(m) <= 2e-4 * abs(log(m))
+
+
 def junky(n=400):
     rng = random.Random(9)
     return [" ".join(w + rng.choice(["$$$", "%%%", "###"]) * (i % 3 == 0) for w in t.split()) for i, t in enumerate(texts(n, 3, (30, 80))[:n])]
