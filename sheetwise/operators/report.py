@@ -76,9 +76,14 @@ def numbered(records: DataFrame) -> DataFrame:
     """records with ``id`` in the report's order: page, place from the top and the left, class, text. A pair is one person's report; ids run within it."""
     rank = F.coalesce(*(F.when(F.col("class") == c, i) for i, c in enumerate(CLASS_ORDER)), F.lit(99))
     text = F.when(F.coalesce("cand_text", F.lit("")) != "", F.col("cand_text")).otherwise(F.coalesce("ref_text", F.lit("")))
-    order = Window.partitionBy("pair_id").orderBy("page", F.bround(_place(1), 1), F.bround(_place(0), 1), rank, text)
+    order = Window.partitionBy("pair_id", "page").orderBy(F.bround(_place(1), 1), F.bround(_place(0), 1), rank, text)
     boxes = [F.transform(b, lambda v: F.bround(v, 2)).alias(b) for b in ("ref_box", "cand_box")]
-    return records.withColumn("id", F.format_string("D-%03d", F.row_number().over(order))).select("id", *(c for c in records.columns if c not in ("ref_box", "cand_box")), *boxes)
+    # Ranks within the page, and a row for each page with the findings of the pages before it.
+    before = Window.partitionBy("_pair").orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = records.groupBy(F.col("pair_id").alias("_pair"), F.col("page").alias("_page")).agg(F.count("*").alias("_n"))
+    pages = pages.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ranked = records.withColumn("_rank", F.row_number().over(order)).join(pages, F.col("pair_id").eqNullSafe(F.col("_pair")) & F.col("page").eqNullSafe(F.col("_page")))
+    return ranked.withColumn("id", F.format_string("D-%03d", F.col("_before") + F.col("_rank"))).select("id", *(c for c in records.columns if c not in ("ref_box", "cand_box")), *boxes)
 
 
 def weights(spark: SparkSession) -> DataFrame:

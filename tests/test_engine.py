@@ -200,3 +200,14 @@ def test_config(tmp_path):
     assert c.match_max_cost == 10 and not c.zone.row_first
     with pytest.raises(ValueError):
         Config.from_dict({"confidence_threshold": 2})
+
+
+def test_ids_run_over_pages_that_are_ranked_apart(spark):
+    box = [0.0, 0.0, 1.0, 1.0]
+    rows = [("P", page, "x", f"t{k}", None, box, [float(k), float(k), k + 1.0, k + 1.0]) for page in range(12) for k in range(page % 4)]
+    df = spark.createDataFrame(rows, "pair_id string, page int, class string, ref_text string, cand_text string, ref_box array<double>, cand_box array<double>")
+    out = report.numbered(df)
+    got = sorted((r["id"], r["page"], r["ref_text"]) for r in out.collect())
+    assert got == [(f"D-{n:03d}", r[1], r[3]) for n, r in enumerate(rows, 1)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("row_number" in x and "[pair_id" in x and "page" not in x.split("[pair_id", 1)[1].split("]")[0] for x in plan.splitlines())
