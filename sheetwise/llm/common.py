@@ -26,18 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it names none (tests), a folder of this machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local session that names none (tests) gets a folder of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sheetwise-"))
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="sheetwise-"))
     return context.getCheckpointDir()
 
 
+#: Tables of the scratch blocks that are open, the innermost last.
+_scratch: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/sheetwise-{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark).rstrip('/')}/sheetwise-{label}-{uuid.uuid4().hex[:12]}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -48,6 +56,33 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def path(self, label: str) -> str:
+        return fresh_path(self.spark, label)
+
+    def kept(self, df: DataFrame, label: str) -> DataFrame:
+        """df as a table that outlives the block (it is the enclosing block's, if there is one)."""
+        mine = _scratch.pop()
+        try:
+            return written(df, label)
+        finally:
+            _scratch.append(mine)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Everything that is written within the block is deleted at its end, but for kept() results: a query leaves its result in the shared folder, not its intermediate tables."""
+    _scratch.append([])
+    try:
+        yield Scratch(spark)
+    finally:
+        for path in _scratch.pop():
+            drop_written(path, spark)
+
+
 def word_array(text: Column) -> Column:
     """The words of a text (null: none), in order, as DataFrame expressions only."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
@@ -174,6 +209,26 @@ def drop_written(df_or_path: DataFrame | str, spark: SparkSession | None = None)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bits of a bit map at most.
+MOST_BITS = 1 << 27
+
+
+def bit_map(keys: DataFrame) -> np.ndarray:
+    """A bit map of bounded size (16 MB at most, 64 bits a key before that) that has a bit for each key (long)."""
+    bits = 1 << max(16, min(MOST_BITS.bit_length() - 1, (64 * keys.count()).bit_length()))
+    place = F.col("key").bitwiseAND(F.lit(bits - 1))
+    words = keys.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((key & {bits - 1}) & 63 as int))")).alias("mask")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    return out.view(np.uint8)
+
+
+def hits(map_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys have their bit."""
+    place = keys & np.uint64(8 * len(map_) - 1)
+    return (map_[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def let(value: Column, body) -> Column:
     """body(v) with v bound to value, so that lambdas inside body don't compute value again for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], int(row["h"] or 0)
+def _stated(edges: DataFrame, label: str) -> tuple[DataFrame, tuple[int, int]]:
+    """edges as a table, and what tells whether a round changes it: the number of rows and a sum of their hashes, observed while it is written."""
+    seen = Observation()
+    table = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)")).alias("h")), label)
+    return table, (seen.get["n"], int(seen.get["h"] or 0))
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -20,8 +22,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     and hangs the node's larger neighbours, then its smaller ones, below it; the number of rounds grows with the logarithm of the longest path.
     A node with very many neighbours is one row on one side of a join, whose other side Spark can split."""
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("child"), F.least("u", "v").alias("parent")).distinct()
-    now = written(pairs, "edges")
-    state = _state(now)
+    now, state = _stated(pairs, "edges")
     for _ in range(most_rounds):
         if not state[0]:
             break
@@ -31,10 +32,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         first = written(large, "edges")
         under = first.groupBy("child").agg(F.min("parent").alias("least"))
         small = first.join(under, "child").where("parent <> least").select(F.col("parent").alias("child"), F.col("least").alias("parent")).unionAll(under.select("child", F.col("least").alias("parent"))).distinct()
-        after = written(small, "edges")
+        before, last = state, now
+        now, state = _stated(small, "edges")
         drop_written(first)
-        drop_written(now)
-        now, before, state = after, state, _state(after)
+        drop_written(last)
         if state == before:
             break
     else:
