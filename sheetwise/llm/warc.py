@@ -9,7 +9,8 @@ the total length, and takes the payload out of the chunked framing, verifying it
 
 Defined cases: null html is the empty payload; an empty payload is one chunk of size zero; a null url gives a record without target; pages with equal payloads
 (of ``least`` bytes or more) have one response, that of the greatest page_id, and revisits that name it; a row without page_id takes no part in that and is always a response; repeated rows
-(same page_id and payload) are written once each: one of them is the response. Other columns are not read.
+(same page_id and payload) are written once each: one of them is the response; rows with the same page_id and other payloads are pages of their own. Of several equal urls
+or rows, which one is the response makes no difference to the result. A payload of any length is written whole, in segments; an empty table gives empty archives. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, fresh_path, table
+from .common import scratch, table
 
 #: Bytes of block in one record at most; of a transfer chunk; of an archive file, about.
 SEGMENT_BYTES, CHUNK_BYTES, FILE_BYTES = 32_768, 8_192, 8_000_000
@@ -71,13 +72,18 @@ def record_id(number: str, segment: int = 1) -> str:
     return f"<urn:page:{number}>" if segment == 1 else f"<urn:page:{number}:{segment}>"
 
 
+def response_number(page_id: int, sha: str) -> str:
+    """What names the response of a page with this payload; a revisit can tell it without a look at the response."""
+    return f"{page_id}-{sha}"
+
+
 def records(number: str, url: str | None, payload: bytes, sha: str, refers_to: int | None, page_id: int | None) -> Iterator[bytes]:
-    """The WARC records of one page, without the two line ends that close a record."""
+    """The WARC records of one page, without the two line ends that close a record. number: no other page's record in the archives has it."""
     name = record_id(number)
     shared = [("WARC-Target-URI", _clean(url)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{sha}"), ("X-Page-Id", page_id)]
     if refers_to is not None:
         http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), *shared, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("X-Refers-To-Page", refers_to)]
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), *shared, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(response_number(refers_to, sha))), ("X-Refers-To-Page", refers_to)]
         yield header([*fields, ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(http))]) + http
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + framed(payload)
@@ -139,9 +145,9 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, key: str = "page
             out: list[bytes] = []
             size = 0
             for page, link, payload, sha, refers, number in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "payload", "sha", "refers_to", "number")), strict=True):
-                # The response has the plain page id for its name, so that revisits can refer to it.
+                # Of a page and a payload of ``least`` bytes or more there is one response at most: page and digest name it. Other records have a number of their own.
                 sha32 = base64.b32encode(bytes.fromhex(sha)).decode("ascii")
-                out += records(str(page) if refers is None and page is not None else number, link, payload, sha32, refers, page)
+                out += records(response_number(page, sha32) if refers is None and page is not None and len(payload) >= least else number, link, payload, sha32, refers, page)
                 size += len(payload)
                 if size > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
@@ -174,8 +180,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         rows.append((f["warc-record-id"], 0, None, None, _fields(f), _told(f, block)))
                 yield from pa.Table.from_pylist([dict(zip(SEGMENT.names, r, strict=True)) for r in rows], schema=SEGMENT).to_batches()
 
-    fields = "struct<record_type string, url string, digest string, refers_to long, page_id long>"
-    segments = parts.mapInArrow(run, f"origin string, number int, total long, block binary, fields {fields.replace('struct<', 'struct<').replace(' string', ':string').replace(' long', ':long')}, told struct<payload_bytes:long,payload_digest:string>")
+    fields = "struct<record_type:string, url:string, digest:string, refers_to:long, page_id:long>"
+    segments = parts.mapInArrow(run, f"origin string, number int, total long, block binary, fields {fields}, told struct<payload_bytes:long,payload_digest:string>")
     whole = segments.where("number = 0").select(F.col("told.payload_bytes").alias("payload_bytes"), F.col("told.payload_digest").alias("payload_digest"), "fields.record_type", "fields.refers_to", F.col("origin").alias("record_id"), "fields.url", "fields.page_id")
     joined = segments.where("number > 0").groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"), F.first("fields", True).alias("fields"), F.count("total").alias("lasts"))
 
@@ -224,9 +230,10 @@ def _told(f: dict[str, str], block: bytes) -> dict:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with scratch(spark) as tables:
+        path = tables.path("warc")
+        write_archives(table(spark, sf_dir, "pages"), path)
+        return tables.kept(read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "pages-told")
 
 
-__all__ = ["digest", "drop_written", "framed", "marked", "op9_warc", "parsed", "read_archives", "records", "unframed", "write_archives"]
+__all__ = ["digest", "framed", "marked", "op9_warc", "parsed", "read_archives", "records", "unframed", "write_archives"]
