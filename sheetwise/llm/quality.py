@@ -4,8 +4,8 @@ A row's features are its words' log counts (hashed to BUCKETS columns, unit leng
 features interact through vectors of FACTORS numbers; with s_f = sum of v_if * x_i and q_f = sum of (v_if * x_i)^2, the pairs' part of the score is half the sum of s_f^2 - q_f,
 so a row costs as much as it has features. The model is fitted by Adagrad on at most SAMPLE labelled rows, chosen by hash from the training fold; it is a few hundred kB whatever the input, and is sent to every task.
 
-Defined cases: a null or blank text has no words and gets the score of its statistics; a null n_chars counts as 0; rows without doc_id or label teach nothing, a repeated doc_id in labels counts once;
-repeated rows score alike; without labels of both kinds the score is the share of label 1 (0.5 without any). Labels, lang, source and doc_id are never inputs; other columns are not read.
+Defined cases: a null or blank text has no words and gets the score of its statistics; a null n_chars counts as 0; rows without doc_id or label teach nothing, a repeated doc_id in labels counts once, with its greatest label; a row without doc_id is scored and
+not held out; texts of any length are read whole; repeated rows score alike, and a score of 0.5 counts as label 1; an empty table gives an empty result; without labels of both kinds the score is the share of label 1 (0.5 without any). Labels, lang, source and doc_id are never inputs; other columns are not read.
 """
 
 from __future__ import annotations
@@ -169,4 +169,4 @@ def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield from t.select(["doc_id"]).append_column("score", pa.array(m.score(*features(t)))).to_batches()
 
     rows = documents.select("doc_id", "text", "n_chars").mapInArrow(run, "doc_id long, score double")
-    return rows.select("doc_id", held_out(F.col("doc_id"), 3).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id"), 3), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
