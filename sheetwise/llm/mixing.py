@@ -3,7 +3,8 @@
 Sources, in code point order with null last, weigh 1, 2, 3 and again 1, 2, 3. Targets are shares of all words, held at ``repeats`` times a
 source's size; what is held back goes to the others by weight until nothing is above.
 
-A source's texts, in an order shuffled by hash, are one stream that is cut into blocks of equal size. A source needs so many slots as blocks
+A source's texts, in an order shuffled by hash, are one stream that is cut into blocks of equal size (to within a word). A block has BLOCK_WORDS words, or fewer in a
+source whose target would give fewer than LEAST_SLOTS slots; so a small source has small blocks, and doesn't make those of others small. A source needs so many slots as blocks
 make up its target. The schedule is the van der Corput sequence over 2^m points: slot i belongs to the source whose stretch of the cumulative
 slot counts has the point. As those stretches have whole numbers of points, each source gets its number of slots exactly, evenly spread.
 The r-th slot of a source takes block r, and begins again after the last block. Slots are ranked by counts of fixed spans of the schedule and
@@ -11,7 +12,8 @@ running numbers within a span, texts are placed the same way by spans of their h
 
 Only one row for each source reaches the driver (its name and size).
 
-Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its own; repeated rows are rows of their own
+Defined cases: a null or blank text has size 0 and is never taken; a text of any length is counted whole and may lie in many blocks; texts with the same hash follow one another by key and size;
+a row without key is a row like others; a null source is a source of its own; repeated rows are rows of their own
 (equal rows share what is taken in an order that doesn't matter); an empty table gives an empty result; other columns pass ``slots`` unread.
 """
 
@@ -22,9 +24,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_array, written
+from .common import scratch, table, word_array, written
 
-#: Words in a block at most, and slots that the least-weighted source should have at least where there is that much text.
+#: Words in a block at most, and slots that a source should have at least where there is that much text.
 BLOCK_WORDS, LEAST_SLOTS = 4096, 2000
 #: Rows that one running count holds, of the schedule and of a source's texts.
 SLOT_SPAN, TEXT_SPAN = 1 << 12, 1000
@@ -63,11 +65,10 @@ def plan(sized: DataFrame, repeats: int = 3) -> list[dict]:
     sizes, weights = [int(r["size"] or 0) for r in rows], [1 + i % 3 for i in range(len(rows))]
     total = sum(sizes)
     targets = water_fill(sizes, weights, total, repeats)
-    least = min((t for t in targets if t > 0), default=1.0)
-    words = max(1, min(BLOCK_WORDS, math.floor(least / LEAST_SLOTS)))
     out, first = [], 0
     for n, (row, size, target) in enumerate(zip(rows, sizes, targets, strict=True)):
-        blocks = max(1, math.ceil(size / words)) if size else 0
+        words = max(1, min(BLOCK_WORDS, math.floor(target / LEAST_SLOTS)))
+        blocks = -(-size // words)
         slots = min(repeats * blocks, round(target * blocks / size)) if size else 0
         out.append({"n": n, "source": row["source"], "size": size, "target": target, "blocks": blocks, "slots": slots, "first": first})
         first += slots
@@ -95,6 +96,21 @@ def _source_table(spark: SparkSession, sources: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "n int, source string, source_size long, target double, blocks long, slots long")
 
 
+def block_begin(b: Column) -> Column:
+    """Where block b begins in its source's stream, whole numbers throughout; the first r blocks have q + 1 words, the others q."""
+    return b * F.col("q") + F.least(b, F.col("r"))
+
+
+def block_of(at: Column) -> Column:
+    """The block that has place ``at`` of the stream."""
+    long_ = F.col("r") * (F.col("q") + 1)
+    return F.when(at < long_, _div(at, F.col("q") + 1)).otherwise(F.col("r") + _div(at - long_, F.col("q")))
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
 def mix(df: DataFrame, repeats: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", with_order: bool = False) -> DataFrame:
     """(key, size, source, source_size, target, taken) for each row; with_order: and the hash that shuffles texts."""
     spark = df.sparkSession
@@ -107,12 +123,9 @@ def mix(df: DataFrame, repeats: int = 3, key: str = "doc_id", text: str = "text"
     placed = _running(placed, ["n"], "span", "size", [F.col("_order"), F.col("key"), F.col("size")], "begin")
     used = schedule(spark, sources).join(names.select("n", "blocks"), "n").groupBy("n", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("uses"))
     placed = written(placed.withColumn("row", F.monotonically_increasing_id()), "placed")
-    # Block b is [b * size div blocks, (b + 1) * size div blocks) of the stream.
-    edge = lambda b: F.floor((b.cast("decimal(38,0)") * F.col("source_size").cast("decimal(38,0)")) / F.col("blocks")).cast("long")
-    of = lambda at: F.floor(((at + 1).cast("decimal(38,0)") * F.col("blocks") - 1) / F.col("source_size")).cast("long")
-    parts = placed.where("size > 0").select("n", "row", "begin", (F.col("begin") + F.col("size")).alias("end"), "source_size", "blocks")
-    parts = parts.select("*", F.explode(F.sequence(of(F.col("begin")), of(F.col("end") - 1))).alias("block"))
-    parts = parts.select("n", "row", "block", (F.least("end", edge(F.col("block") + 1)) - F.greatest("begin", edge(F.col("block")))).alias("words"))
+    parts = placed.where("size > 0").select("n", "row", "begin", (F.col("begin") + F.col("size")).alias("end"), F.expr("source_size div blocks").alias("q"), F.expr("source_size % blocks").alias("r"))
+    parts = parts.select("*", F.explode(F.sequence(block_of(F.col("begin")), block_of(F.col("end") - 1))).alias("block"))
+    parts = parts.select("n", "row", "block", (F.least("end", block_begin(F.col("block") + 1)) - F.greatest("begin", block_begin(F.col("block")))).alias("words"))
     taken = parts.join(used, ["n", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     out = placed.join(taken, "row", "left")
     return out.select(F.col("key").alias(key), "size", F.col("source").alias(source), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["_order"] if with_order else []))
@@ -128,4 +141,5 @@ def repeated(df: DataFrame, repeats: int = 3, key: str = "doc_id", text: str = "
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    with scratch(spark) as tables:
+        return tables.kept(mix(table(spark, sf_dir, "documents")).drop("source"), "mix")
