@@ -2,13 +2,14 @@
 
 Vectors are turned into whole numbers, floor(scale * x). The approximation file holds, for every vector, the cell of each component among
 ``cells`` equal cells between that component's least and greatest value over all rows, one byte each; the exact numbers stand beside it in columns of their own.
-Queries are taken in blocks of bounded size. For each block, a first scan reads cells only: cell edges bound each score from both sides, and the k-th
-greatest lower bound over all rows is what a result must reach at least. A second scan skips vectors whose upper bound is below that, reads the
-exact numbers of the others in falling order of their bound, and stops when the k-th exact score is above the next bound. What is left, a few rows for each query, is ranked.
+Queries are taken in blocks of bounded size. For each block, a first scan reads cells only: cell edges bound each score from below, and the k-th
+greatest lower bound over all rows is what a result must reach at least. A second scan takes the upper bounds: a task goes through its rows in tiles, keeps the k best exact scores of each query so far, and
+multiplies exact numbers only of pairs whose bound reaches what is needed, in falling order of that bound, until no pair left can be among the k best. What is left, k rows for each query and task, is ranked.
+Rows are tiled so that bounds of all queries of a block and all rows of a tile take TILE numbers at most.
 
 Defined cases: vectors that are null or hold a null or non-finite component, and rows without vec_id, take no part; vectors of different lengths are
 compared as if the shorter ones went on with zeros; components beyond 2^28 after scaling count as 2^28; ties go to the smaller vec_id; all rows with the query's
-vec_id are its own; with fewer than k candidates all are returned; tables without rows or without queries give no rows.
+vec_id are its own; with fewer than k candidates all are returned; of repeated rows of one vec_id each is a candidate, and one is the query; tables without rows or without queries give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import scratch, table, written
 
 MOST = 1 << 28
 NONE = np.iinfo(np.int64).min
+#: Bounds (queries by rows) that are held at once; exact products that are taken at once; the first and later numbers of a query's pairs in a tile that are taken before bounds are looked at again.
+TILE, PAIRS, STEPS = 1 << 22, 1 << 15, (8, 32, 128)
 
 
 def whole_numbers(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,13 +70,35 @@ class Grid:
     def cell(self, numbers: np.ndarray) -> np.ndarray:
         return ((numbers - self.low) // self.step).astype(np.uint8)
 
-    def bounds(self, queries: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest score of each query with anything in each row's cells."""
+    def bounds(self, queries: np.ndarray, cells: np.ndarray, upper: bool) -> np.ndarray:
+        """The least (or, upper, the greatest) score of each query with anything in each row's cells."""
         near = self.low + cells.astype(np.int64) * self.step
         far = np.minimum(near + self.step - 1, self.high)
-        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        signed = np.hstack((plus, minus))
-        return product(signed, np.hstack((near, far))), product(signed, np.hstack((far, near)))
+        signed = np.hstack((np.maximum(queries, 0), np.minimum(queries, 0)))
+        return product(signed, np.hstack((far, near) if upper else (near, far)))
+
+
+class Best:
+    """The k greatest scores of each query so far, ties to the smaller vec_id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.names = k, np.full((n, k), NONE), np.zeros((n, k), dtype=np.int64)
+
+    def add(self, q: np.ndarray, names: np.ndarray, scores: np.ndarray) -> None:
+        touched = np.unique(q)
+        q = np.concatenate((q, np.repeat(touched, self.k)))
+        names, scores = np.concatenate((names, self.names[touched].ravel())), np.concatenate((scores, self.scores[touched].ravel()))
+        order = np.lexsort((names, -scores.astype(np.float64) if np.abs(scores[scores > NONE]).max(initial=0) < 1 << 53 else _falling(scores), q))
+        q, names, scores = q[order], names[order], scores[order]
+        begin = np.flatnonzero(np.diff(q, prepend=-1))
+        place = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))
+        keep = place < self.k  # every touched query has k at least
+        self.scores[touched], self.names[touched] = scores[keep].reshape(-1, self.k), names[keep].reshape(-1, self.k)
+
+
+def _falling(scores: np.ndarray) -> np.ndarray:
+    """Whole numbers that fall where scores rise."""
+    return -np.unique(scores, return_inverse=True)[1]
 
 
 def _prepared(df: DataFrame, scale: float, key: str, vector: str) -> DataFrame:
@@ -127,16 +152,18 @@ def _search_block(file: DataFrame, grid: Grid, ids: np.ndarray, queries: np.ndar
     spark, width = file.sparkSession, len(grid.low)
     sent = spark.sparkContext.broadcast((ids, queries))
 
+    tile = max(1, TILE // max(1, len(ids)))
+
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = sent.value
         best = np.full((len(ids), k), NONE)
-        for batch in batches:
-            if batch.num_rows:
-                low, _ = grid.bounds(queries, _cells(batch, width))
+        for whole in batches:
+            for batch in (whole.slice(a, tile) for a in range(0, whole.num_rows, tile)):
+                low = grid.bounds(queries, _cells(batch, width), upper=False)
                 low[ids[:, None] == batch.column(0).to_numpy()[None, :]] = NONE
                 if low.shape[1] > k:
-                    low = -np.partition(-low, k - 1, axis=1)[:, :k] if low.min() > NONE else np.sort(low, axis=1)[:, -k:]
-                best = np.sort(np.hstack((best, low)), axis=1)[:, -k:]
+                    low.partition(low.shape[1] - k, axis=1)
+                best = np.sort(np.hstack((best, low[:, -k:])), axis=1)[:, -k:]
         row, _ = np.nonzero(best > NONE)
         yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best[best > NONE])], names=["query_id", "low"])
 
@@ -145,30 +172,30 @@ def _search_block(file: DataFrame, grid: Grid, ids: np.ndarray, queries: np.ndar
     floor = spark.sparkContext.broadcast(np.array([reach.get(int(i), NONE) for i in ids], dtype=np.int64))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (ids, queries), least = sent.value, floor.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column(0).to_numpy()
-            _, high = grid.bounds(queries, _cells(batch, width))
-            open_ = (high >= least[:, None]) & (ids[:, None] != names[None, :])
-            numbers, out = None, []
-            for q in np.flatnonzero(open_.any(axis=1)):
-                if numbers is None:
-                    numbers = _unpacked(batch, width)
-                at = np.flatnonzero(open_[q])
-                at = at[np.argsort(-high[q, at], kind="stable")]
-                scores = np.zeros(0, dtype=np.int64)
-                for a in range(0, len(at), 32):
-                    if len(scores) >= k and np.partition(scores, len(scores) - k)[-k] > high[q, at[a]]:
-                        break
-                    scores = np.concatenate((scores, product(queries[q : q + 1], numbers[at[a : a + 32]])[0]))
-                at = at[: len(scores)]
-                keep = np.flatnonzero(scores >= least[q])
-                keep = keep[np.lexsort((names[at[keep]], -scores[keep]))][:k]
-                out.append((np.full(len(keep), ids[q]), names[at[keep]], scores[keep]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+        (ids, queries), best = sent.value, Best(len(sent.value[0]), k)
+        for whole in batches:
+            for batch in (whole.slice(a, tile) for a in range(0, whole.num_rows, tile)):
+                names = batch.column(0).to_numpy()
+                high = grid.bounds(queries, _cells(batch, width), upper=True)
+                q, at = np.nonzero((high >= np.maximum(floor.value, best.scores[:, -1])[:, None]) & (ids[:, None] != names[None, :]))
+                if not len(q):
+                    continue
+                bound, numbers = high[q, at], _unpacked(batch, width)
+                order = np.lexsort((_falling(bound), q))  # a query's pairs in falling order of bounds
+                q, at, bound = q[order], at[order], bound[order]
+                steps = iter(STEPS)
+                take = next(steps)
+                while len(q):
+                    begin = np.flatnonzero(np.diff(q, prepend=-1))
+                    now = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q)))) < take
+                    for a in range(0, int(now.sum()), PAIRS):
+                        some = np.flatnonzero(now)[a : a + PAIRS]
+                        best.add(q[some], names[at[some]], np.einsum("ij,ij->i", queries[q[some]], numbers[at[some]]))
+                    left = ~now & (bound >= np.maximum(floor.value, best.scores[:, -1])[q])
+                    q, at, bound = q[left], at[left], bound[left]
+                    take = next(steps, STEPS[-1])
+        row, _ = np.nonzero(best.scores > NONE)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best.names[best.scores > NONE]), pa.array(best.scores[best.scores > NONE])], names=["query_id", "vec_id", "score"])
 
     return file.select("vec_id", "cells", "length", "numbers").mapInArrow(exact, "query_id long, vec_id long, score long")
 
@@ -194,4 +221,5 @@ def top_k(df: DataFrame, is_query: str, k: int = 5, scale: float = 256.0, cells:
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+    with scratch(spark) as tables:
+        return tables.kept(top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0"), "nearest")
