@@ -4,14 +4,15 @@ A text is a sequence of words and one end token. Hidden states emit word classes
 their own, other words share a class with those that end alike. A word of a shared class then has its smoothed share of the class's training tokens, with room for
 one unseen word; so the model is a distribution over texts, and the likelihood of a text is exact: scaled forward recursion over its classes, times the words' shares.
 
-Learning: all training tokens are counted (in Arrow blocks first, then by shuffle). Start values come from a few rounds of Baum-Welch on the beginnings of some SAMPLE texts; then expected counts
-of states and classes over all training texts are taken in each task and added up over tasks, until a round raises the log-likelihood by less than SETTLED of it. Counts of states and classes are some ten thousand rows at any size.
+Learning: all training tokens are counted (in Arrow blocks first, then by shuffle). Start values come from a few rounds of Baum-Welch on the beginnings of some SAMPLE texts. Then the classes of all
+training texts are written once, two bytes a token, and in each round expected counts of states and classes over all of them are taken in each task and added up over tasks, until a round raises the
+log-likelihood by less than SETTLED of it. Counts of states and classes are some ten thousand rows at any size.
 
 Scoring: counts of frequent words (LOOKUP at most) are sent to every task; they cover most tokens, and without them no word is frequent enough to be a hot key. The other words of each text are joined with
 the table of counts, which may be of any size.
 
 Defined cases: a null, empty or blank text is the end token alone; texts of any length are scored whole; rows without doc_id are scored, their fold is the one of an empty id (not held out); repeated rows are scored each; without
-training rows every token has the base probability 1 and states are uniform; other columns are not read.
+training rows every token has the base probability 1 and states are uniform; of words that are equally frequent all or none have a class of their own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, gathered, held_out, mix, table, written
+from .common import Words, drop_written, gathered, held_out, mix, release_memory, scratch, table, text_buffer, written
 
 #: Words with a class of their own, words whose counts every task gets, shared classes (a power of two), states, texts for the start values, characters of each, their rounds, least gain of a round over all training texts, rounds after which something is wrong.
 OWN, LOOKUP, SHARED_BITS, STATES, SAMPLE, START_CHARS, START_ROUNDS, SETTLED, MOST_ROUNDS = 8192, 131_072, 10, 8, 600, 16_000, 12, 1e-4, 200
 SHARED, HASH_BITS, END = 1 << SHARED_BITS, 63 - SHARED_BITS, -1
 #: Bytes of text that a task works on at once.
 BLOCK = 8_000_000
+#: Tokens that a task of a round holds as packed classes, and works on at once.
+HELD, AT_ONCE = 16_000_000, 1_000_000
 
 
 def word_ids(w: Words) -> np.ndarray:
@@ -76,6 +79,11 @@ class Vocabulary:
     def size(self) -> int:
         return self.own + SHARED + 1
 
+    @property
+    def number(self) -> np.dtype:
+        """What holds the number of a class."""
+        return np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+
     @property
     def base_total(self) -> float:
         return self.tokens + 0.5 * (self.words + 1)
@@ -144,41 +152,70 @@ def sequences(classes: np.ndarray, per_doc: np.ndarray, end: int) -> tuple[np.nd
     return out, first, rank, order
 
 
-def forward(m: Model, laid: np.ndarray, first: np.ndarray, keep: bool = False, kind=np.float64) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    """(scales, scaled forward probabilities if kept, emissions) by index; the product of a text's scales is its likelihood."""
-    emit, move = m.emit.astype(kind)[laid], m.move.astype(kind)
-    scale = np.empty(len(laid), dtype=kind)
-    kept = np.empty_like(emit) if keep else None
-    a = np.empty((0, len(m.start)), dtype=kind)
-    for t in range(len(first) - 1):
-        i, j = first[t], first[t + 1]
-        a = (m.start.astype(kind) if t == 0 else a[: j - i] @ move) * emit[i:j]
-        s = a.sum(axis=1)
-        a /= s[:, None]
-        scale[i:j] = s
-        if keep:
-            kept[i:j] = a
-    return scale, kept, emit
+def _relative(m: Model, kind: type) -> tuple[np.ndarray, np.ndarray, int]:
+    """(mean emission of each class over the states, emissions relative to it, positions from one scaling to the next).
+
+    A position changes a sum of relative forward probabilities by a factor from the least relative emission up to the number of states; scaling is as seldom as ``kind`` holds the product of such factors."""
+    level = m.emit.mean(axis=1)
+    ratio = m.emit / level[:, None]
+    most = max(np.log10(len(m.start)), -np.log10(max(float(ratio.min(initial=1.0)), 1e-300)), 1e-9)
+    return level, ratio.astype(kind), max(1, min(64, int((20 if kind == np.float32 else 200) / most)))
+
+
+def _ends(first: np.ndarray) -> np.ndarray:
+    """Index of the last position of each rank."""
+    alive = np.diff(first)
+    length = np.searchsorted(-alive, -np.arange(1, alive[0] + 1), side="right") if len(alive) else np.zeros(0, np.int64)
+    return first[length - 1] + np.arange(len(length))
+
+
+def forward(m: Model, laid: np.ndarray, first: np.ndarray, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, list[np.ndarray | None]]:
+    """(natural log-likelihood by rank, scaled forward probabilities by index, what each position was multiplied by). Probabilities are relative to the classes' mean emissions until the end."""
+    level, ratio, every = _relative(m, kind)
+    a, move, ones = np.take(ratio, laid, axis=0), m.move.astype(kind), np.ones(len(m.start), dtype=kind)
+    at = first.tolist()
+    log, scales = np.zeros(at[1] if len(at) > 1 else 0), [None] * max(len(at) - 1, 0)
+    a[: len(log)] *= m.start.astype(kind)
+    for t in range(1, len(at) - 1):
+        i, j = at[t], at[t + 1]
+        here = a[i:j]
+        here *= a[at[t - 1] : at[t - 1] + j - i] @ move
+        if t % every == 0:
+            s = here @ ones
+            scales[t] = (1 / s)[:, None]
+            here *= scales[t]
+            log[: j - i] += np.log(s)
+    if len(log):
+        place = np.arange(len(laid)) - np.repeat(first[:-1], np.diff(first))  # ranks
+        log += np.log((a[_ends(first)] @ ones).astype(np.float64)) + np.bincount(place, np.log(level)[laid], len(log))
+    return log, a, scales
 
 
 def expected(m: Model, laid: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts of Baum-Welch over the texts: starts, moves, and emissions by class and state; the log-likelihood of the texts."""
-    scale, a, emit = forward(m, laid, first, keep=True, kind=np.float32)
-    move = m.move.astype(np.float32)
-    moves = np.zeros(m.move.shape)
-    b = np.ones((0, len(m.start)), dtype=np.float32)
-    for t in range(len(first) - 2, -1, -1):
-        i, j = first[t], first[t + 1]
-        here = np.ones((j - i, len(m.start)), dtype=np.float32)
-        if len(b):
-            k = first[t + 2]
-            x = b * emit[j:k] / scale[j:k, None]
-            moves += a[i : i + k - j].T @ x
-            here[: k - j] = x @ move.T
-        b = here
-        a[i:j] *= b
-    emissions = np.stack([np.bincount(laid, a[:, s], len(m.emit)) for s in range(len(m.start))], axis=1)
-    return a[: first[1]].sum(axis=0, dtype=np.float64), moves * m.move, emissions, float(np.log(scale, dtype=np.float64).sum())
+    states = len(m.start)
+    if not len(laid):
+        return np.zeros(states), np.zeros((states, states)), np.zeros((len(m.emit), states)), 0.0
+    log, a, scales = forward(m, laid, first, np.float32)
+    back, x, at = np.ascontiguousarray(m.move.T.astype(np.float32)), np.take(_relative(m, np.float32)[1], laid, axis=0), first.tolist()
+    b, ends = np.empty_like(a), _ends(first)
+    b[ends] = 1 / a[ends].sum(axis=1, keepdims=True)  # so that forward times backward is a distribution at each index
+    for t in range(len(at) - 3, -1, -1):
+        j, k = at[t + 1], at[t + 2]
+        there = x[j:k]
+        there *= b[j:k]
+        if scales[t + 1] is not None:
+            there *= scales[t + 1]
+        np.matmul(there, back, out=b[at[t] : at[t] + k - j])
+    moves, alive = np.zeros((states, states)), np.diff(first)
+    before = np.arange(at[1], len(laid)) - np.repeat(alive[:-1], alive[1:])
+    for i in range(0, len(before), 1 << 16):
+        some = before[i : i + (1 << 16)]
+        moves += np.take(a, some, axis=0).T @ x[at[1] + i : at[1] + i + len(some)]
+    a *= b
+    by_state = np.ascontiguousarray(a.T)
+    emissions = np.stack([np.bincount(laid, row, len(m.emit)) for row in by_state], axis=1)
+    return a[: at[1]].sum(axis=0, dtype=np.float64), moves * m.move, emissions, float(log.sum())
 
 
 def maximised(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, share: np.ndarray) -> Model:
@@ -212,19 +249,52 @@ def _laid(t: pa.Table, v: Vocabulary, text: str) -> tuple:
     return w, ids, count, classes, hit, sequences(classes, w.per_doc, v.size - 1)
 
 
-def baum_welch(texts: DataFrame, v: Vocabulary, m: Model, share: np.ndarray, text: str = "text") -> tuple[Model, float]:
-    """One round over all texts: the next model, and the log-likelihood under m. Expected counts are added up in each task, then over tasks."""
-    spark, states = texts.sparkSession, len(m.start)
+def packed(texts: DataFrame, v: Vocabulary, text: str = "text") -> DataFrame:
+    """(classes binary): the classes of each text's words, without its end, as little-endian numbers of two bytes (four if there are so many classes). What the rounds read, so that none tokenises again."""
+    sent = texts.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
+        for t in gathered(batches, BLOCK, text):
+            w = Words(t.column(text))
+            raw = v.look(word_ids(w))[1].astype(v.number)
+            ends = pa.array(w.first * v.number.itemsize, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.LargeBinaryArray.from_buffers(pa.large_binary(), t.num_rows, [None, ends.buffers()[1], pa.py_buffer(raw)]).cast(pa.binary())], names=["classes"])
+
+    return texts.select(text).mapInArrow(run, "classes binary")
+
+
+def like_lengths(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(classes, tokens by text) of about AT_ONCE tokens from packed rows, texts of like length together: long texts don't make every block have many positions."""
+    width = v.number.itemsize
+    for t in gathered(batches, HELD * width, "classes"):
+        flat, offsets = text_buffer(t.column("classes"))
+        flat, offsets = flat.view(v.number), offsets // width
+        size = np.diff(offsets)
+        order = np.argsort(-size, kind="stable")
+        filled = np.cumsum(size[order] + 1)
+        begin = 0
+        while begin < len(order):
+            stop = max(begin + 1, int(np.searchsorted(filled, (filled[begin - 1] if begin else 0) + AT_ONCE, side="right")))
+            some = order[begin:stop]
+            n = size[some]
+            yield flat[np.repeat(offsets[some] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))].astype(np.int64), n
+            begin = stop
+
+
+def baum_welch(sequences_of: DataFrame, v: Vocabulary, m: Model, share: np.ndarray) -> tuple[Model, float]:
+    """One round over all packed texts: the next model, and the log-likelihood under m. Expected counts are added up in each task, then over tasks."""
+    spark, states = sequences_of.sparkSession, len(m.start)
     sent = spark.sparkContext.broadcast((v, m))
     names = [f"s{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = sent.value
         total = None
-        for t in gathered(batches, BLOCK, text):
-            laid, first, _, _ = _laid(t, v, text)[-1]
-            found = expected(m, laid, first)
+        for classes, per_doc in like_lengths(batches, v):
+            found = expected(m, *sequences(classes, per_doc, v.size - 1)[:2])
             total = found if total is None else tuple(a + b for a, b in zip(total, found, strict=True))
+        release_memory()
         if total is not None:
             starts, moves, emissions, log = total
             used = np.flatnonzero(emissions.any(axis=1))
@@ -232,7 +302,8 @@ def baum_welch(texts: DataFrame, v: Vocabulary, m: Model, share: np.ndarray, tex
             values = np.vstack((emissions[used], starts, moves, np.full(states, log)))
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), *(pa.array(values[:, k]) for k in range(states))], names=["index", *names])
 
-    sums = texts.select(text).mapInArrow(run, "index long, " + ", ".join(f"{n} double" for n in names)).groupBy("index").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    sums = sequences_of.mapInArrow(run, "index long, " + ", ".join(f"{n} double" for n in names)).groupBy("index").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    sent.unpersist()
     index = sums.column("index").to_numpy()
     values = np.stack([sums.column(n).to_numpy() for n in names], axis=1) if len(index) else np.zeros((0, states))
     starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((v.size, states))
@@ -243,11 +314,11 @@ def baum_welch(texts: DataFrame, v: Vocabulary, m: Model, share: np.ndarray, tex
     return maximised(starts, moves, emissions, share), float(values[index == -2 - states].sum() / states)
 
 
-def settled(texts: DataFrame, v: Vocabulary, m: Model, share: np.ndarray, text: str = "text") -> tuple[Model, list[float]]:
-    """Rounds over all texts until the log-likelihood settles: (model, log-likelihood before each round)."""
+def settled(sequences_of: DataFrame, v: Vocabulary, m: Model, share: np.ndarray) -> tuple[Model, list[float]]:
+    """Rounds over all packed texts until the log-likelihood settles: (model, log-likelihood before each round)."""
     logs: list[float] = []
     while len(logs) < MOST_ROUNDS:
-        m, log = baum_welch(texts, v, m, share, text)
+        m, log = baum_welch(sequences_of, v, m, share)
         logs.append(log)
         if len(logs) > 1 and logs[-1] - logs[-2] <= SETTLED * abs(logs[-2]):
             return m, logs
@@ -266,7 +337,9 @@ def train(texts: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Vo
         laid, first, _, _ = _laid(rows, v, text)[-1]
         for _ in range(START_ROUNDS):
             m = maximised(*expected(m, laid, first)[:3], share)
-    m, _ = settled(texts, v, m, share, text)
+    rows = written(packed(texts, v, text), "sequences")
+    m, _ = settled(rows, v, m, share)
+    drop_written(rows)
     return v, counts, weight, m
 
 
@@ -283,9 +356,7 @@ def score(texts: DataFrame, v: Vocabulary, counts: DataFrame, weight: int, m: Mo
         for t in gathered(batches, BLOCK, text):
             w, ids, count, classes, hit, (laid, first, rank, order) = _laid(t, v, text)
             n = t.num_rows
-            scale, _, _ = forward(m, laid, first)
-            place = np.arange(len(laid)) - np.repeat(first[:-1], np.diff(first))  # ranks
-            by_rank = np.bincount(place, np.log10(scale), n)
+            by_rank = forward(m, laid, first)[0] / np.log(10)
             log = np.log10(count[hit] + 0.5)
             base_sum = np.bincount(w.doc[hit], log - base, n) + np.log10(ends + 0.5) - base
             shared = hit & (classes >= v.own)
@@ -321,6 +392,7 @@ def score(texts: DataFrame, v: Vocabulary, counts: DataFrame, weight: int, m: Mo
 def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.coalesce(held_out(F.col("doc_id"), 5), F.lit(False))
-    v, counts, weight, m = train(documents.where(~fold))
-    out = score(documents, v, counts, weight, m)
-    return out.select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    with scratch(spark) as tables:
+        v, counts, weight, m = train(documents.where(~fold))
+        out = score(documents, v, counts, weight, m)
+        return tables.kept(out.select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", "score"), "scores")
