@@ -9,7 +9,8 @@ under the 65 values within one bit of each: two of them share a value exactly if
 fingerprints. Both ways lose no link. Equal fingerprints are one row from the start, so exact copies cost nothing.
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any other; a text of fewer words than a shingle is one
-shingle; a row without doc_id gets the component of its fingerprint; repeated rows keep their rows; other columns are not read.
+shingle; texts of any length are hashed whole; a bit that exactly half of the shingles have is 0; a row without doc_id gets the component of its fingerprint (null if no row of it has a doc_id);
+repeated rows keep their rows; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, gathered, table, written
+from .common import Words, gathered, scratch, table, written
 from .components import connected_components
 
 SEED = 42
@@ -104,5 +105,6 @@ def near_duplicates(df: DataFrame, words: int = 3, key: str = "doc_id", text: st
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    with scratch(spark) as tables:
+        found = near_duplicates(table(spark, sf_dir, "documents"))
+        return tables.kept(found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"), "near")

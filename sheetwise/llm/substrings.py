@@ -25,11 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, gathered, mix, release_memory, table, written
+from .common import Words, bit_map, gathered, hits, mix, release_memory, scratch, table, written
 from .components import connected_components
 
-#: Words in a shingle, shingles in a paragraph, shingles of which one begins a paragraph, least Jaccard similarity, classes that are compared in pairs, most bits of the map.
-SHINGLE, PARAGRAPH, WINDOW, SIMILARITY, LIGHT, MOST_BITS = 5, 20, 28, 0.8, 24, 1 << 27
+#: Words in a shingle, shingles in a paragraph, shingles of which one begins a paragraph, least Jaccard similarity, classes that are compared in pairs.
+SHINGLE, PARAGRAPH, WINDOW, SIMILARITY, LIGHT = 5, 20, 28, 0.8, 24
 BLOCK = 4_000_000
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -113,21 +113,6 @@ def band_keys(sets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bit_map(keys: DataFrame) -> np.ndarray:
-    """A bit map of bounded size that has a bit for each key (long)."""
-    bits = 1 << max(16, min(MOST_BITS.bit_length() - 1, (64 * keys.count()).bit_length()))
-    place = F.col("key").bitwiseAND(F.lit(bits - 1))
-    words = keys.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((key & {bits - 1}) & 63 as int))")).alias("mask")).toArrow()
-    out = np.zeros(bits // 64, dtype=np.int64)
-    out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
-    return out.view(np.uint8)
-
-
-def _hits(bit_map: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys & np.uint64(8 * len(bit_map) - 1)
-    return (bit_map[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, begin, class, shingles) of all paragraphs with a band key that another document seems to have; shingles are null for most of equal ones."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -140,14 +125,14 @@ def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(bands[once].view(np.int64))], names=["key"])
 
     repeated = written(rows.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
-    sent = df.sparkSession.sparkContext.broadcast(_bit_map(repeated))
+    sent = df.sparkSession.sparkContext.broadcast(bit_map(repeated))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in gathered(batches, BLOCK):
             doc, begin, sets = paragraphs(t.column("text"))
             sets = counted(sets)
             bands = band_keys(sets)
-            at = np.flatnonzero(_hits(sent.value, bands).any(axis=1))
+            at = np.flatnonzero(hits(sent.value, bands).any(axis=1))
             if len(at):
                 classes = np.zeros(len(at), dtype=np.uint64)
                 for k in range(PARAGRAPH):
