@@ -203,7 +203,7 @@ def test_hmm_settles_over_all_texts(spark, monkeypatch):
     rows = texts(200, 12, (20, 60)) + [" ".join(["red", "blue"] * 20 + ["one", "two", "three"] * 15)] * 60
     v, counts, weight, m = hmm.train(frame(spark, rows))
     laid, first, _, _ = hmm._laid(pa.table({"text": rows}), v, "text")[-1]
-    log = lambda m: float(np.log(hmm.forward(m, laid, first)[0]).sum())
+    log = lambda m: float(hmm.forward(m, laid, first)[0].sum())
     after = hmm.maximised(*hmm.expected(m, laid, first)[:3], hmm.class_shares(v, len(rows)))
     assert log(after) - log(m) <= 2e-4 * abs(log(m))
 
@@ -312,7 +312,7 @@ def test_near_texts(spark):
         for a, b in itertools.combinations(got, 2):
             if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 label[a] = label[b] = min(label[a], label[b])
-    assert sum(got[i] != label[i] for i in got) <= 3 and all(got[i] >= label[i] for i in got)
+    assert got == label
     kept = neartext.deduplicated(frame(spark, rows))
     assert {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i] == i}
 
