@@ -5,7 +5,7 @@ their own, other words share a class with those that end alike. A word of a shar
 one unseen word; so the model is a distribution over texts, and the likelihood of a text is exact: scaled forward recursion over its classes, times the words' shares.
 
 Learning: all training tokens are counted (in Arrow blocks first, then by shuffle). Start values come from a few rounds of Baum-Welch on the beginnings of some SAMPLE texts. Then the classes of all
-training texts are written once, two bytes a token, and in each round expected counts of states and classes over all of them are taken in each task and added up over tasks, until a round raises the
+training texts are written once, two bytes a token, and in each round expected counts of states and classes over all of them are taken in each task and added up over tasks, with over-relaxed steps, until a round raises the
 log-likelihood by less than SETTLED of it. Counts of states and classes are some ten thousand rows at any size.
 
 Scoring: counts of frequent words (LOOKUP at most) are sent to every task; they cover most tokens, and without them no word is frequent enough to be a hot key. The other words of each text are joined with
@@ -31,6 +31,8 @@ from .common import Words, drop_written, gathered, held_out, mix, release_memory
 #: Words with a class of their own, words whose counts every task gets, shared classes (a power of two), states, texts for the start values, characters of each, their rounds, least gain of a round over all training texts, rounds after which something is wrong.
 OWN, LOOKUP, SHARED_BITS, STATES, SAMPLE, START_CHARS, START_ROUNDS, SETTLED, MOST_ROUNDS = 8192, 131_072, 10, 8, 600, 16_000, 12, 1e-4, 200
 SHARED, HASH_BITS, END = 1 << SHARED_BITS, 63 - SHARED_BITS, -1
+#: How much longer each step is than the one before, and a step's length at most.
+STRETCH, MOST_STRETCH = 1.4, 6.0
 #: Bytes of text that a task works on at once.
 BLOCK = 8_000_000
 #: Tokens that a task of a round holds as packed classes, and works on at once.
@@ -314,14 +316,34 @@ def baum_welch(sequences_of: DataFrame, v: Vocabulary, m: Model, share: np.ndarr
     return maximised(starts, moves, emissions, share), float(values[index == -2 - states].sum() / states)
 
 
+def stretched(m: Model, estimate: Model, step: float) -> Model:
+    """The model ``step`` times as far from m as the estimate, in logarithms."""
+
+    def part(old: np.ndarray, new: np.ndarray, axis: int) -> np.ndarray:
+        log = np.log(old) + step * (np.log(new) - np.log(old))
+        x = np.exp(log - log.max(axis=axis, keepdims=True))
+        return x / x.sum(axis=axis, keepdims=True)
+
+    return Model(part(m.start, estimate.start, 0), part(m.move, estimate.move, 1), part(m.emit, estimate.emit, 0))
+
+
 def settled(sequences_of: DataFrame, v: Vocabulary, m: Model, share: np.ndarray) -> tuple[Model, list[float]]:
-    """Rounds over all packed texts until the log-likelihood settles: (model, log-likelihood before each round)."""
+    """Rounds over all packed texts until the log-likelihood settles: (model, log-likelihood before each round).
+
+    Steps are over-relaxed: while the likelihood rises, the next model is ever further on the way from the last one to the round's estimate; a step that loses likelihood is taken back to the plain estimate."""
     logs: list[float] = []
+    best, plain, step = -np.inf, m, 1.0
     while len(logs) < MOST_ROUNDS:
-        m, log = baum_welch(sequences_of, v, m, share)
+        estimate, log = baum_welch(sequences_of, v, m, share)
         logs.append(log)
-        if len(logs) > 1 and logs[-1] - logs[-2] <= SETTLED * abs(logs[-2]):
-            return m, logs
+        if log < best and step > 1.0:
+            m, step = plain, 1.0
+            continue
+        if log - best <= SETTLED * abs(log):
+            return estimate, logs
+        best, plain = log, estimate
+        m = estimate if len(logs) == 1 else stretched(m, estimate, step)
+        step = min(step * STRETCH, MOST_STRETCH)
     raise RuntimeError("the likelihood did not settle")
 
 
