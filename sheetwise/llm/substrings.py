@@ -1,22 +1,24 @@
-"""Substring dedup: MinHash banding over content-defined paragraphs.
+"""Substring dedup: MinHash banding over paragraphs, and over content-defined windows for passages inside them.
 
-A paragraph is PARAGRAPH consecutive five-word shingles. Where paragraphs begin follows from the words alone: in every window of WINDOW shingles the one of least
-hash begins one. Any passage of PARAGRAPH + WINDOW + 3 (51) words therefore holds the same paragraph wherever it stands, in the middle of a line too.
+Units are of two kinds. A paragraph is a line of at least PARAGRAPH + SHINGLE - 1 (24) words, as the set of its five-word shingles, whatever its length. A window is PARAGRAPH consecutive shingles;
+where windows begin follows from the words alone: in every stretch of WINDOW shingles the one of least hash begins one. Any passage of PARAGRAPH + WINDOW + 3 (51) words therefore holds the same
+window wherever it stands, in the middle of a line too.
 
 Bands of MinHash values are tuned for recall at the similarity threshold. First, band keys alone are counted over all texts. Keys that repeat are put into a
-bit map of bounded size, and in a second pass only paragraphs with a key in it are written (a wrong hit costs a row, not a result). A document counts once for each key,
-so that paragraphs of one text that overlap don't count as repeats. Equal paragraphs become one class; classes that share a band key are compared, by exact Jaccard. A band list of more than LIGHT classes isn't paired: two sets of PARAGRAPH shingles reach the threshold exactly if they agree in all but two. So its classes are listed by pairs of six buckets of their shingles,
-of which similar ones share a pair, and what is in a long list again, under each of its subsets without two shingles: any two classes with one subset in common are linked.
-Components of links are groups of repeats; each keeps its first occurrence, by (key, position), and the spans of the others are removed.
-
-Defined cases: a null, blank or short text (under 24 words) has no paragraph; rows without key take no part; rows with equal key count as one document; a group within one document is no repeat;
-ties follow (key, position); other columns are not read; an empty table gives an empty result.
+bit map of bounded size, and in a second pass only units with a key in it are written (a wrong hit costs a row, not a result). A document counts once for each key,
+so that units of one text that overlap don't count as repeats. Equal units become one class; classes that share a band key are compared, by exact Jaccard over 32-bit hashes of shingles.
+Paragraphs in band lists of any length are compared by ``setjoin``. A band list of more than LIGHT windows isn't paired: two sets of PARAGRAPH shingles reach the threshold exactly if they agree in all but
+two. So its classes are listed by pairs of six buckets of their shingles, of which similar ones share a pair, and what is in a long list again, under each of its subsets without two shingles: any two classes
+with one subset in common are linked. Components of links are groups of repeats; each keeps its first occurrence, by (key, position), and the spans of the others are removed.
+
+Defined cases: a null, blank or short text (under 24 words) has no unit; a text or line of any length is read whole; rows without key take no part; rows with equal key count as one document; a group within one
+document is no repeat; ties follow (key, position); other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,10 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import setjoin
 from .common import Words, bit_map, gathered, hits, mix, release_memory, scratch, table, written
 from .components import connected_components
+from .setjoin import distinct, set_classes, short
 
-#: Words in a shingle, shingles in a paragraph, shingles of which one begins a paragraph, least Jaccard similarity, classes that are compared in pairs.
+#: Words in a shingle, shingles in a window and in a paragraph at least, shingles of which one begins a window, least Jaccard similarity, windows that are compared in pairs.
 SHINGLE, PARAGRAPH, WINDOW, SIMILARITY, LIGHT = 5, 20, 28, 0.8, 24
 BLOCK = 4_000_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -40,7 +44,7 @@ def tuned(similarity: float, recall: float = 0.98, rows: int = 2) -> int:
 
 
 BANDS, ROWS = tuned(SIMILARITY), 2
-#: Shingles that two paragraphs must share.
+#: Shingles that two windows must share.
 COMMON = math.ceil(2 * PARAGRAPH * SIMILARITY / (1 + SIMILARITY) - 1e-9)
 
 
@@ -49,18 +53,50 @@ def _factors(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def paragraphs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, number of the first word, hashes of the PARAGRAPH shingles) of each paragraph of a block of texts."""
+def shingled(column: pa.Array) -> tuple[Words, np.ndarray]:
+    """The words of a block of texts, and the hash of the five words from each word on (over ends of texts too)."""
     w = Words(column)
-    n = len(w) - SHINGLE + 1
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PARAGRAPH), np.uint64)
-    if n < PARAGRAPH:
-        return none
-    words = w.hashes()
-    shingles = np.zeros(n, dtype=np.uint64)
+    n = max(len(w) - SHINGLE + 1, 0)
+    words, shingles = w.hashes(), np.zeros(n, dtype=np.uint64)
     for k in range(SHINGLE):
         shingles = mix(shingles + words[k : k + n] + np.uint64(k))
-    starts = np.maximum(w.per_doc - (PARAGRAPH + SHINGLE - 2), 0)  # places in each text where a paragraph fits
+    return w, shingles
+
+
+def lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number of the first word in it, words, first word in the block) of each line that is a paragraph."""
+    line = np.searchsorted(np.flatnonzero(w.low[:-8] == 10), w.starts)
+    cut = np.flatnonzero((np.diff(line, prepend=-1) != 0) | (np.diff(w.doc, prepend=-1) != 0))
+    size = np.diff(np.append(cut, len(w)))
+    cut, size = cut[size >= PARAGRAPH + SHINGLE - 1], size[size >= PARAGRAPH + SHINGLE - 1]
+    return w.doc[cut], cut - w.first[w.doc[cut]], size, cut
+
+
+def line_shingles(shingles: np.ndarray, cut: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of lines, one line after another; their number by line)"""
+    count = size - SHINGLE + 1
+    return shingles[np.repeat(cut - np.cumsum(count) + count, count) + np.arange(int(count.sum()))], count
+
+
+def line_bands(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """BANDS keys of each line, from 32 bits of its shingles (repeats don't matter); none is a window's key."""
+    out = np.empty((len(count), BANDS), dtype=np.uint64)
+    if len(count):
+        factors, begin = _factors(BANDS * ROWS), np.cumsum(count) - count
+        for b in range(BANDS):
+            key = np.full(len(count), BANDS + b + 1, dtype=np.uint64)
+            for r in range(ROWS):
+                key = mix(key + np.minimum.reduceat(mix(values * factors[b * ROWS + r]), begin))
+            out[:, b] = key
+    return out
+
+
+def paragraphs(w: Words, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number of the first word, hashes of the PARAGRAPH shingles) of each window of a block of texts."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PARAGRAPH), np.uint64)
+    if len(shingles) < PARAGRAPH:
+        return none
+    starts = np.maximum(w.per_doc - (PARAGRAPH + SHINGLE - 2), 0)  # places in each text where a window fits
     keep = np.flatnonzero(starts)
     if not len(keep):
         return none
@@ -113,37 +149,55 @@ def band_keys(sets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _units(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable]]:
+    """For windows, then for paragraphs: (text, first word, words, band keys, what gives classes and 32-bit sets of some of them)."""
+    w, shingles = shingled(t.column("text"))
+    doc, begin, sets = paragraphs(w, shingles)
+    sets = counted(sets)
+
+    def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        classes = np.zeros(len(at), dtype=np.uint64)
+        for k in range(PARAGRAPH):
+            classes = mix(classes + sets[at, k])
+        return (classes & ~np.uint64(1)).view(np.int64), sets[at].astype(np.uint32).ravel(), np.full(len(at), PARAGRAPH)
+
+    yield doc, begin, np.full(len(doc), PARAGRAPH + SHINGLE - 1), band_keys(sets), windows
+    doc, begin, size, cut = lines(w)
+    values, count = line_shingles(shingles, cut, size)
+
+    def whole(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        some, n = distinct(*line_shingles(shingles, cut[at], size[at]))
+        return set_classes(some, n) | 1, short(some, n), n
+
+    yield doc, begin, size, line_bands(values >> np.uint64(32), count), whole
+
+
 def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, begin, class, shingles) of all paragraphs with a band key that another document seems to have; shingles are null for most of equal ones."""
+    """(key, begin, words, class, shingles) of all units with a band key that another document seems to have; classes of windows are even, of paragraphs odd; shingles are null for most of equal ones."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in gathered(batches, BLOCK):
-            doc, _, sets = paragraphs(t.column("text"))
-            bands = band_keys(counted(sets)).ravel()
-            once = np.unique(mix(bands + mix(np.repeat(doc, BANDS).astype(np.uint64) + np.uint64(1))), return_index=True)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(bands[once].view(np.int64))], names=["key"])
+            for doc, _, _, bands, _ in _units(t):
+                once = np.unique(mix(bands.ravel() + mix(np.repeat(doc, BANDS).astype(np.uint64) + np.uint64(1))), return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()[once].view(np.int64))], names=["key"])
 
     repeated = written(rows.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
     sent = df.sparkSession.sparkContext.broadcast(bit_map(repeated))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in gathered(batches, BLOCK):
-            doc, begin, sets = paragraphs(t.column("text"))
-            sets = counted(sets)
-            bands = band_keys(sets)
-            at = np.flatnonzero(hits(sent.value, bands).any(axis=1))
-            if len(at):
-                classes = np.zeros(len(at), dtype=np.uint64)
-                for k in range(PARAGRAPH):
-                    classes = mix(classes + sets[at, k])
-                lone = np.zeros(len(at), dtype=bool)  # of equal paragraphs of a block, one carries the shingles
-                lone[np.unique(classes, return_index=True)[1]] = True
-                shingles = pa.FixedSizeListArray.from_arrays(pa.array(sets[at].astype(np.uint32).view(np.int32).ravel()), PARAGRAPH).cast(pa.list_(pa.int32()))
-                shingles = pc.if_else(pa.array(lone), shingles, pa.nulls(len(at), shingles.type))
-                yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks().take(pa.array(doc[at])), pa.array(begin[at].astype(np.int32)), pa.array(classes.view(np.int64)), shingles], names=["key", "begin", "class", "shingles"])
-
-    return rows.mapInArrow(found, "key long, begin int, class long, shingles array<int>")
+            for doc, begin, size, bands, of in _units(t):
+                at = np.flatnonzero(hits(sent.value, bands).any(axis=1))
+                if len(at):
+                    classes, flat, count = of(at)
+                    lone = np.zeros(len(at), dtype=bool)  # of equal units of a block, one carries the shingles
+                    lone[np.unique(classes, return_index=True)[1]] = True
+                    shingles = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(flat.view(np.int32)))
+                    shingles = pc.if_else(pa.array(lone), shingles, pa.nulls(len(at), shingles.type))
+                    yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks().take(pa.array(doc[at])), pa.array(begin[at].astype(np.int32)), pa.array(size[at].astype(np.int32)), pa.array(classes), shingles], names=["key", "begin", "words", "class", "shingles"])
+
+    return rows.mapInArrow(found, "key long, begin int, words int, class long, shingles array<int>")
 
 
 def _listed(rows: DataFrame, light: int, label: str) -> tuple[DataFrame, DataFrame]:
@@ -199,16 +253,36 @@ def links(classes: DataFrame, light: int = LIGHT) -> DataFrame:
     return near.unionAll(closer).unionAll(stars).distinct()
 
 
+def line_groups(classes: DataFrame) -> DataFrame:
+    """classes (class, shingles) of paragraphs -> (node, component) of those that are connected by a similarity of SIMILARITY or more, among what meets in a band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(a, 2000) for a in range(0, whole.num_rows, 2000)):
+                sets = batch.column(1)
+                posts = line_bands(sets.flatten().to_numpy().view(np.uint32).astype(np.uint64), sets.value_lengths().to_numpy().astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS))), pa.array(posts.ravel().view(np.int64))], names=["id", "post"])
+        release_memory()
+
+    posted = classes.select("class", "shingles").mapInArrow(run, "id long, post long")
+    sizes = posted.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
+    listed = written(posted.join(sizes, "post"), "line-lists")
+    members = listed.where(F.col("n") <= setjoin.LIGHT).groupBy("post").agg(F.collect_list("id").alias("list"))
+    pairs = members.select("list", F.explode("list").alias("u")).select("u", F.explode(F.filter("list", lambda v: v > F.col("u"))).alias("v")).distinct()
+    return setjoin.linked(pairs, listed.where(F.col("n") > setjoin.LIGHT), classes.select(F.col("class").alias("id"), "shingles"), SIMILARITY)
+
+
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each paragraph that other documents have too: key, begin and end (word numbers), component, first (does this occurrence stay)."""
-    found = written(candidates(df, key, text), "paragraphs")
-    classes = written(found.where("shingles is not null").groupBy("class").agg(F.first("shingles").alias("shingles")), "paragraph-classes")
-    groups = connected_components(links(classes)).withColumnRenamed("node", "class")
-    named = found.select("key", "begin", "class").join(groups, "class", "left").select("key", "begin", F.coalesce("component", "class").alias("component"))
+    """One row for each unit that other documents have too: key, begin and end (word numbers), component, first (does this occurrence stay)."""
+    found = written(candidates(df, key, text), "units")
+    classes = written(found.where("shingles is not null").groupBy("class").agg(F.first("shingles").alias("shingles")), "unit-classes")
+    groups = connected_components(links(classes.where("class & 1 = 0"))).unionAll(line_groups(classes.where("class & 1 = 1"))).withColumnRenamed("node", "class")
+    named = found.select("key", "begin", "words", "class").join(groups, "class", "left").select("key", "begin", "words", F.coalesce("component", "class").alias("component"))
     named = written(named, "named")
-    kept = named.groupBy("component").agg(F.min(F.struct("key", "begin")).alias("_first"), F.max("key").alias("_last")).where("_first.key <> _last")
+    # A row for each component, written, so that the rows of a very common one can be dealt to many tasks in the join.
+    kept = written(named.groupBy("component").agg(F.min(F.struct("key", "begin")).alias("_first"), F.max("key").alias("_last")).where("_first.key <> _last"), "firsts")
     out = named.join(kept, "component")
-    return out.select(F.col("key").alias(key), "begin", (F.col("begin") + PARAGRAPH + SHINGLE - 1).alias("end"), "component", (F.struct("key", "begin") == F.col("_first")).alias("first"))
+    return out.select(F.col("key").alias(key), "begin", (F.col("begin") + F.col("words")).alias("end"), "component", (F.struct("key", "begin") == F.col("_first")).alias("first"))
 
 
 def merged(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -239,4 +313,5 @@ def merged(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merged(repeats(table(spark, sf_dir, "documents")))
+    with scratch(spark) as tables:
+        return tables.kept(merged(repeats(table(spark, sf_dir, "documents"))), "substrings")
