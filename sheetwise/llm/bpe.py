@@ -8,7 +8,7 @@ block from its known entry state. A piece starts wherever the replayed step says
 Pieces then go through a bounded cache in front of the pair merging; offsets of pieces are kept, so that any id range can be decoded and
 traced to its place in the text.
 
-Defined cases: a null text is the empty text (no ids, the digest of no bytes); white space only, texts of any length and repeated rows
+Defined cases: a null text is the empty text (no ids, the digest of no bytes); pairs of equal rank merge from the left; white space only, texts of any length and repeated rows
 are encoded as they are; an empty table gives an empty result; columns beside the key and the text pass ``encode`` unread, and one named like an output column is replaced by it.
 """
 
@@ -159,21 +159,26 @@ class Codec:
         starts = piece_starts(codes, begins)
         return joined, starts, np.searchsorted(starts, bounds)
 
-    def encode(self, texts: list[str]) -> list[str]:
-        """The ids of each text in decimal, joined by one space."""
+    def merged(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(ids of each piece in decimal, the code point at which it starts in all texts in a row, for each text the number of its first piece and the number of pieces at last)"""
         joined, starts, first = self.split(texts)
         cuts = [*starts.tolist(), len(joined)]
         pieces = [joined[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         self.cache.learn({*pieces}.difference(self.cache))
-        merged = list(map(self.cache.__getitem__, pieces))
+        out = list(map(self.cache.__getitem__, pieces))
         self.cache.trim()
+        return out, starts, first
+
+    def encode(self, texts: list[str]) -> list[str]:
+        """The ids of each text in decimal, joined by one space."""
+        merged, _, first = self.merged(texts)
         return [" ".join(merged[a:b]) for a, b in zip(first, first[1:], strict=False)]
 
-    def offsets(self, text: str) -> list[tuple[int, list[int]]]:
-        """(code point at which a piece starts, its ids) for each piece."""
-        joined, starts, _ = self.split([text])
-        cuts = [*starts.tolist(), len(joined)]
-        return [(a, [int(i) for i in self.cache[joined[a:b]].split(" ")]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    def offsets(self, texts: list[str]) -> list[list[tuple[int, list[int]]]]:
+        """For each text (code point at which a piece starts in it, its ids) of each piece."""
+        merged, starts, first = self.merged(texts)
+        begin = np.cumsum([0, *map(len, texts)])
+        return [[(int(starts[k] - at), [int(i) for i in merged[k].split(" ")]) for k in range(a, b)] for a, b, at in zip(first, first[1:], begin, strict=False)]
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.text_of.__getitem__, ids.split(" "))) if ids else b""
@@ -327,10 +332,10 @@ def encode(df: DataFrame, rank_file: str, text: str = "text") -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             ids, places = [], []
-            for t in texts:
-                pieces = c.offsets(t)
-                ids.append([i for _, x in pieces for i in x])
-                places.append([a for a, _ in pieces])
+            for a, b in _chunks(texts):
+                for pieces in c.offsets(texts[a:b]):
+                    ids.append([i for _, x in pieces for i in x])
+                    places.append([p for p, _ in pieces])
             columns = [batch.column(batch.schema.get_field_index(k)) for k in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32()))], names=[*kept, "ids", "piece_starts"])
 

@@ -6,8 +6,8 @@ of (key, line); the lines that its later occurrences cover are removed, overlapp
 Windows are counted before they are shuffled, only windows that repeat are joined back, and the join's large side can be split, so a passage
 that a third of the texts share is no hot spot.
 
-Defined cases: a null text stays null, a text of one or two lines stays as it is; rows without key come first in the order; rows with equal key and text are
-one document and are treated alike; all other columns pass unchanged, whatever their names; an empty table gives an empty result.
+Defined cases: a null text stays null, a text of one or two lines stays as it is, a text of any length is windowed whole; rows without key come first in the order; rows with equal key and text are
+one document (the same one, read twice) and are treated alike, so its lines aren't repeats of themselves; rows with equal key and other texts follow one another by a hash of the text; all other columns pass unchanged, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,13 +60,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-    WITH lines AS (
-        SELECT doc_id, i, string_split(text, chr(10)) AS l FROM documents, LATERAL (SELECT unnest(range(len(string_split(text, chr(10))))) AS i)),
+    WITH texts AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS t, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents)),
+    lines AS (
+        SELECT t, doc_id, i, string_split(text, chr(10)) AS l FROM texts, LATERAL (SELECT unnest(range(len(string_split(text, chr(10))))) AS i)),
     windows AS (
-        SELECT doc_id, i, l[i + 1] AS a, l[i + 2] AS b, l[i + 3] AS c FROM lines
+        SELECT t, doc_id, i, l[i + 1] AS a, l[i + 2] AS b, l[i + 3] AS c FROM lines
         WHERE i + 2 < len(l) AND trim(l[i + 1] || l[i + 2] || l[i + 3], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
-    ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS r FROM windows),
-    gone AS (SELECT DISTINCT doc_id, i + k AS i FROM ranked, (SELECT unnest(range(3)) AS k) WHERE r > 1)
-    SELECT lines.doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(gone.i) AS INTEGER) AS n_removed,
-        coalesce(string_agg(l[lines.i + 1], chr(10) ORDER BY lines.i) FILTER (WHERE gone.i IS NULL), '') AS text
-    FROM lines LEFT JOIN gone ON lines.doc_id = gone.doc_id AND lines.i = gone.i GROUP BY lines.doc_id"""
+    ranked AS (SELECT t, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id NULLS FIRST, t, i) AS r FROM windows),
+    gone AS (SELECT DISTINCT t, i + k AS i FROM ranked, (SELECT unnest(range(3)) AS k) WHERE r > 1),
+    done AS (
+        SELECT lines.t, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(gone.i) AS INTEGER) AS n_removed,
+            coalesce(string_agg(l[lines.i + 1], chr(10) ORDER BY lines.i) FILTER (WHERE gone.i IS NULL), '') AS text
+        FROM lines LEFT JOIN gone ON lines.t = gone.t AND lines.i = gone.i GROUP BY lines.t)
+    SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN done.text END AS text
+    FROM documents d JOIN texts ON d.doc_id IS NOT DISTINCT FROM texts.doc_id AND d.text IS NOT DISTINCT FROM texts.text LEFT JOIN done USING (t)"""

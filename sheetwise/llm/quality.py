@@ -125,7 +125,7 @@ def train(labels: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.nda
 def fit(documents: DataFrame, labels: DataFrame, fold: int = 3, bound: int = SAMPLE) -> Machine:
     """Features of the sampled rows come to the driver, a bounded number of rows; training runs there."""
     chosen = labelled_sample(labels, "quality", bound, ~held_out(F.col("doc_id"), fold))
-    rows = documents.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", "_label")
+    rows = documents.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in gathered(batches, 2_000_000):

@@ -6,7 +6,7 @@ some hundred counts reach the driver. The list comes out as one ``CASE`` express
 
 Rules are learned from a sample of at most SAMPLE labelled rows, chosen by hash; the statistics and the verdict cover every row.
 
-Defined cases: a null or blank text has no words and fails the base rules; a row without doc_id or label teaches nothing; a repeated doc_id in labels counts once, with its greatest label;
+Defined cases: a null or blank text has no words and fails the base rules; a text of any length is measured whole; repeated rows are measured and judged each, alike; an empty table gives an empty result; a row without doc_id or label teaches nothing; a repeated doc_id in labels counts once, with its greatest label;
 without labels of both kinds the list is empty and only the base rules count; ties between conditions go to the first statistic and the lowest threshold; other columns are not read.
 """
 
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, labelled_sample, let, table, word_array, written
+from .common import SPACES, labelled_sample, let, scratch, table, word_array, written
 
 #: Labelled rows to learn from at most; words in a window; cut points of a statistic; what a rule must cover, and how surely.
 SAMPLE, WINDOW, CUTS, MOST_RULES, MOST_CONDITIONS, LEAST_ROWS, LEAST_PRECISION = 20_000, 8, 24, 8, 3, 5, 0.9
@@ -172,12 +172,13 @@ def verdict(rules: list[list[Condition]]) -> Column:
 def fit(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> list[list[Condition]]:
     """Learn from labelled rows. The sample has a bound, so it may be sent to every task."""
     chosen = labelled_sample(labels, "quality", bound)
-    rows = written(measured(documents.join(F.broadcast(chosen), "doc_id"), keep=("doc_id", "_label")), "measured")
+    rows = written(measured(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), keep=("doc_id", "_label")), "measured")
     return learn(rows.where(~base_failed()))
 
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rules = fit(documents, table(spark, sf_dir, "labels"))
+    with scratch(spark):
+        rules = fit(documents, table(spark, sf_dir, "labels"))
     rows = measured(documents).select("*", base_failed().alias("base_failed"), verdict(rules).alias("kept"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -67,7 +67,9 @@ def test_bpe_equals_library(spark):
     ids = c.encode(some)
     assert ids == [" ".join(map(str, known.encode_ordinary(t))) for t in some]
     assert [c.decode(x) for x in ids] == [t.encode() for t in some]
-    assert "".join("ab c's\n  d"[a:b] for a, b in itertools.pairwise([a for a, _ in c.offsets("ab c's\n  d")] + [10])) == "ab c's\n  d"
+    assert "".join("ab c's\n  d"[a:b] for a, b in itertools.pairwise([a for a, _ in c.offsets(["x", "ab c's\n  d"])[1]] + [10])) == "ab c's\n  d"
+    small = bpe.Codec(c.ranks, cache_pieces=10)
+    assert [[i for _, x in pieces for i in x] for pieces in small.offsets(some)] == [known.encode_ordinary(t) for t in some] and not small.cache
     df = bpe.encode_decode_digests(frame(spark, texts(), more=3), bpe.rank_file_path())
     for r in df.collect():
         t = texts()[r["doc_id"]] or ""
@@ -100,6 +102,98 @@ def test_mixing(spark):
     assert all(abs(times[r["doc_id"]] - r["taken"] / max(1, r["size"])) <= 0.5 for r in got)
 
 
+def brute_units(t):
+    """(begin, end, kind, set of shingles) of the windows and paragraphs of a text; only the hash that chooses windows is the operator's own."""
+    w = words_of(t)
+    out = []
+    places = len(w) - 23
+    if places > 0:
+        hashes = substrings.shingled(pa.array([" ".join(w)]))[1]
+        mask = ~substrings._PLACE
+        for a in range(max(1, places - substrings.WINDOW + 1)):
+            stretch = range(a, min(a + substrings.WINDOW, places))
+            out.append(min(stretch, key=lambda k: (int(hashes[k] & mask), k)))
+        out = [(k, k + 24, "w", frozenset(tuple(w[j : j + 5]) for j in range(k, k + 20))) for k in sorted(set(out))]
+    at = 0
+    for line in (t or "").split("\n"):
+        n = len(words_of(line))
+        if n >= 24:
+            out.append((at, at + n, "p", frozenset(tuple(w[j : j + 5]) for j in range(at, at + n - 4))))
+        at += n
+    return out
+
+
+def test_substrings_equal_brute_force(spark):
+    """All rows of repeats(): whole lines with changed words, exact lines of 30 words, passages within lines, ties, repeats within one document only."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    line = lambda n: [word() for _ in range(n)]
+    rows = [[line(rng.randint(5, 90)) for _ in range(rng.randint(1, 4))] for _ in range(30)]
+    shared, exact, passage, own = line(60), line(30), line(55), line(40)
+    for i in range(0, 10):
+        rows[i].insert(rng.randint(0, 1), [word() if k == 10 + i else x for k, x in enumerate(shared)])
+        rows[i + 10].append(exact)
+        x = rows[i + 15][0]
+        rows[i + 15][0] = x[:4] + passage + x[4:]
+    rows[29] += [own, own]
+    texts_ = ["\n".join(" ".join(x) for x in t) for t in rows] + ODD
+    units = [(i, *u) for i, t in enumerate(texts_) for u in brute_units(t)]
+    label = list(range(len(units)))
+    similar = [(a, b) for a, b in itertools.combinations(range(len(units)), 2) if units[a][3] == units[b][3] and len(units[a][4] & units[b][4]) >= 0.8 * len(units[a][4] | units[b][4])]
+    while any(label[a] != label[b] for a, b in similar):
+        for a, b in similar:
+            label[a] = label[b] = min(label[a], label[b])
+    groups = collections.defaultdict(list)
+    for u, g in zip(units, label):
+        groups[g].append(u[:3])
+    want = {(*u, u[:2] == min(g)[:2]) for g in groups.values() if len({u[0] for u in g}) > 1 for u in g}
+    got = [(r["doc_id"], r["begin"], r["end"], r["first"]) for r in substrings.repeats(frame(spark, texts_)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    lengths = {e - b for _, b, e, _ in want}
+    assert {60, 30, 24} <= lengths
+
+
+def test_a_small_source_has_small_blocks(spark):
+    """Three words beside a million: the schedule stays small, and what is taken equals a walk over the slots."""
+    df = spark.createDataFrame([(0, "a b c", "x", "tiny", 0)] + [(i, "w " * 4000, "x", "big", 0) for i in range(1, 251)], DOCS)
+    plan = mixing.plan(spark.createDataFrame([("big", 1_000_000), ("tiny", 3)], "source string, size long"))
+    assert sum(p["slots"] for p in plan) < 4 * mixing.LEAST_SLOTS + 10 and plan[1]["slots"] == 9
+    taken = {r["doc_id"]: (r["taken"], r["target"]) for r in mixing.mix(df).collect()}
+    assert taken[0] == (9, 9.0) and sum(t for i, (t, _) in taken.items() if i) == plan[0]["slots"] * 1_000_000 // plan[0]["blocks"] and taken[1][1] == 999_994.0
+    for q, r, blocks in ((4, 3, 7), (1, 0, 9), (5, 6, 7)):
+        edges = [b * q + min(b, r) for b in range(blocks + 1)]
+        rows = spark.range(edges[-1]).select("id", F.lit(q).alias("q"), F.lit(r).alias("r")).select("id", mixing.block_of(F.col("id")).alias("b"))
+        assert all(edges[x["b"]] <= x["id"] < edges[x["b"] + 1] for x in rows.collect())
+
+
+def test_taken_equals_a_walk_over_the_slots(spark):
+    rng = random.Random(14)
+    rows = [(i, "w " * rng.randint(0, 300), "x", rng.choice(["a", "b", None, "c"]), 0) for i in range(120)]
+    df = spark.createDataFrame(rows, DOCS)
+    sized = mixing.mix(df, with_order=True).collect()
+    plan = mixing.plan(spark.createDataFrame([(r["source"], r["size"]) for r in sized], "source string, size long"))
+    total = sum(p["slots"] for p in plan)
+    bits = max(1, (total - 1).bit_length())
+    owners = []
+    for slot in range(1 << bits):
+        point = int(f"{slot:0{bits}b}"[::-1], 2)
+        if point < total:
+            owners.append(next(p["n"] for p in plan if p["slots"] and p["first"] <= point < p["first"] + p["slots"]))
+    uses = collections.Counter()
+    rank = collections.Counter()
+    for n in owners:
+        uses[n, rank[n] % plan[n]["blocks"]] += 1
+        rank[n] += 1
+    for p in plan:
+        own = sorted((r for r in sized if r["source"] == p["source"]), key=lambda r: (r["_order"], r["doc_id"], r["size"]))  # one span
+        q, rest = divmod(p["size"], p["blocks"]) if p["blocks"] else (0, 0)
+        block = [b for b in range(p["blocks"]) for _ in range(q + (b < rest))]
+        at = 0
+        for r in own:
+            assert r["taken"] == sum(uses[p["n"], b] for b in block[at : at + r["size"]])
+            at += r["size"]
+
+
 def test_substrings(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
@@ -112,7 +206,7 @@ def test_substrings(spark):
     for light in (1, 24):
         found = substrings.repeats(frame(spark, rows + ODD))
         hit = {r["doc_id"] for r in found.collect()}
-        assert hit == set(range(12))
+        assert hit == set(range(12))  # rows are one line each, and no line is like another
         classes = [(i, sorted(rng.sample(range(1, 60), 20))) for i in range(30)]
         classes += [(100 + k, sorted({*s[:-1], 100 + k})) for k, (_, s) in enumerate(classes)]
         df = spark.createDataFrame(classes, "class long, shingles array<int>")
@@ -359,14 +453,14 @@ def test_near_texts_at_the_threshold(spark):
 
 
 def test_warc(spark):
-    pages = [(1, "u", None), (2, None, ""), (3, "a\r\nb", "x" * 200_000), (4, "q", "x" * 200_000), (4, "q", "x" * 200_000), (None, "n", "x" * 200_000), (5, "z", "é" * 50_000), (6, "z", "WARC/1.1\r\n\r\n")]
+    pages = [(9, "u", "a" * 50_000), (9, "u", "b" * 50_000), (8, "u", "b" * 50_000), (1, "u", None), (2, None, ""), (3, "a\r\nb", "x" * 200_000), (4, "q", "x" * 200_000), (4, "q", "x" * 200_000), (None, "n", "x" * 200_000), (5, "z", "é" * 50_000), (6, "z", "WARC/1.1\r\n\r\n")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("sha", F.lit(1))
     path = fresh_path(spark, "test")
     warc.write_archives(df, path)
     got = collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, path).collect())
     d = lambda t: (len(t.encode()), warc.digest(t.encode()))
     x = d("x" * 200_000)
-    assert got == collections.Counter([(1, *d(""), "revisit", 2), (2, *d(""), "response", None), (3, *x, "revisit", 4), (4, *x, "response", None), (4, *x, "revisit", 4), (None, *x, "response", None), (5, *d("é" * 50_000), "response", None), (6, *d(pages[-1][2]), "response", None)])
+    assert got == collections.Counter([(9, *d("a" * 50_000), "response", None), (9, *d("b" * 50_000), "response", None), (8, *d("b" * 50_000), "revisit", 9), (1, *d(""), "revisit", 2), (2, *d(""), "response", None), (3, *x, "revisit", 4), (4, *x, "response", None), (4, *x, "revisit", 4), (None, *x, "response", None), (5, *d("é" * 50_000), "response", None), (6, *d(pages[-1][2]), "response", None)])
     assert all(warc.unframed(warc.framed(b)) == b for b in (b"", b"a", b"\r\n" * 9000))
     with pytest.raises(ValueError):
         warc.unframed(warc.framed(b"abc")[:5])
@@ -375,6 +469,32 @@ def test_warc(spark):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_small_payloads_are_responses(spark):
+    df = spark.createDataFrame([(1, None, "ab"), (1, None, "ab"), (2, None, "ab"), (3, None, "c" * 40_000), (3, None, "c" * 40_000)], "page_id long, url string, html string")
+    path = fresh_path(spark, "small")
+    warc.write_archives(df, path, least=5)
+    got = [(r["page_id"], r["record_type"], r["refers_to"], r["record_id"]) for r in warc.read_archives(spark, path).collect()]
+    assert sorted(map(str, (g[:3] for g in got))) == sorted(map(str, [(1, "response", None)] * 2 + [(2, "response", None), (3, "response", None), (3, "revisit", 3)])) and len({g[3] for g in got}) == 5
+
+
+def test_top_k_tiles(spark, monkeypatch):
+    """Bounds of few queries and rows at once, few products at once: the same rows."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 0.3, 8).astype(np.float32).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows_of = lambda **k: sorted(map(tuple, vectors.top_k(df, "vec_id % 2 = 0", **k).collect()))
+    want = rows_of()
+    x = np.floor(256 * np.array([r[1] for r in rows])).astype(np.int64)
+    scores = x @ x.T
+    for q in range(0, 400, 2):
+        best = sorted((-int(scores[q, j]), j) for j in range(400) if j != q)[:5]
+        assert [r for r in want if r[0] == q] == [(q, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    monkeypatch.setattr(vectors, "TILE", 700)
+    monkeypatch.setattr(vectors, "PAIRS", 13)
+    monkeypatch.setattr(vectors, "STEPS", (1, 2))
+    assert rows_of(cells=4, block=64) == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(0, 0.2, 6 if i % 9 else 4).tolist()) for i in range(230)] + [(300, None), (350, [1.0, None]), (400, [float("nan")]), (500, [1e30, -1e30]), (550, []), (None, [1.0]), (7, [0.5] * 6), (100, [0.25] * 6)]
@@ -390,15 +510,78 @@ def test_top_k(spark):
     assert vectors.top_k(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
+CLASH = {c: F.lit("clash") for c in ("key", "size", "shingles", "component", "post", "id", "taken", "target", "fingerprint", "row", "n", "block", "score", "class", "begin", "end", "label", "_label", "words", "list", "place")}
+
+
+@pytest.mark.parametrize("rows", [[], [(None, "a b c d e f " * 9, None, None, None), (None, None, None, None, None), (1, "word " * 120_000 + "\n" + "x" * 300_000, "en", "s", 1), (1, "word " * 120_000 + "\n" + "x" * 300_000, "en", "s", 1), (2, "", "en", None, 0), (3, "a b c d e f " * 9, "en", "s", None)]])
+def test_odd_tables(spark, rows):
+    """Empty tables, null in any column, very long texts, equal rows, and columns whose names the operators use within: every row comes back, or nothing."""
+    df = spark.createDataFrame(rows, DOCS).withColumns(CLASH)
+    n, none = len(rows), spark.createDataFrame([], "doc_id long, quality int, toxic int").withColumns({"text": F.lit("clash"), "n_chars": F.lit(1)})
+    assert bpe.encode_decode_digests(df, bpe.rank_file_path()).count() == n
+    mixed = mixing.mix(df).collect()
+    assert len(mixed) == n and sum(r["taken"] for r in mixed) <= 3 * sum(r["size"] for r in mixed)
+    assert mixing.repeated(df).columns == df.columns and mixing.repeated(df).count() <= 3 * n
+    found = substrings.merged(substrings.repeats(df)).collect()
+    assert {r["doc_id"] for r in found} <= {1, 3} and not any(r["removed_words"] for r in found)
+    v, counts, weight, m = hmm.train(df)
+    scores = hmm.score(df, v, counts, weight, m).collect()
+    assert len(scores) == n and all(math.isfinite(r["score"]) and r["score"] <= 0 for r in scores)
+    assert rules.measured(df).select("*", rules.verdict(rules.fit(df, none)).alias("kept")).count() == n
+    assert all(r["quality_score"] == 0.5 for r in quality.scored(df, quality.fit(df, none)).collect())
+    lines = linededup.without_repeats(df)
+    assert lines.count() == n and lines.columns[:-2] == df.columns
+    near = simhash.near_duplicates(df).collect()
+    assert len(near) == n and all(r["component_id"] == r["doc_id"] for r in near if r["doc_id"] in (1, 2))
+    kept = neartext.deduplicated(df)
+    assert kept.columns == df.columns and kept.count() == n
+
+
+def brute_lines(docs):
+    """{doc_id: text} after line dedup; documents of which nothing is left are gone."""
+    seen, out = set(), {}
+    for i, t in sorted(docs.items()):
+        lines, gone = (t or "").split("\n"), set()
+        for k in range(len(lines) - 2):
+            w = tuple(lines[k : k + 3])
+            if "".join(w).strip(" \t\n\x0b\x0c\r"):
+                gone |= {k, k + 1, k + 2} if w in seen else set()
+                seen.add(w)
+        if t is None or len(gone) < len(lines):
+            out[i] = t if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
 def test_pipeline(spark, tmp_path):
+    """The whole equals its stages by brute force, given the learned scores and the mix's counts."""
     import corpus_pipeline
 
-    rows = junky() + ODD
-    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
-    labels(spark, rows).write.parquet(str(tmp_path / "labels.parquet"))
+    tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    rows = junky(160)
+    rows = ["\n".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9)) for w in (t.split(" ") for t in rows)] + ODD
+    rows += [rows[1], rows[2] + " more", rows[4] + "\nlast line", "\n".join(rows[5].split("\n")[:4] + rows[7].split("\n")), rows[8].replace(" ", "  ")]
     docs = frame(spark, rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels(spark, rows).write.parquet(str(tmp_path / "labels.parquet"))
+    now = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == corpus_pipeline.COLUMNS, name
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == corpus_pipeline.COLUMNS, name
+    machine = quality.fit(docs, labels(spark, rows))
+    kept = {r["doc_id"]: r["text"] for r in quality.scored(docs, machine).where("quality_score >= 0.5").collect()}
+    assert 60 < len(kept) < len(rows)
+    kept = brute_lines(kept)
+    ids = sorted(kept)
+    label, _ = near_labels([kept[i] for i in ids])
+    kept = {i: kept[i] for k, i in enumerate(ids) if label[k] == k}
+    assert len(kept) < len(ids)
+    after = spark.createDataFrame([(i, t, "en", f"src{i % 3}" if i % 5 else None, 0) for i, t in kept.items()], DOCS)
+    times = {r["doc_id"]: math.floor(r["taken"] / max(1, r["size"]) + 0.5) for r in mixing.mix(after).collect()}
+    known = tiktoken.Encoding("known", pat_str=tokenizers.PATTERN, mergeable_ranks=bpe.codec(bpe.rank_file_path()).ranks, special_tokens={})
+    want = collections.Counter()
+    for i, t in kept.items():
+        x = known.encode_ordinary(t or "")
+        want[i, len(x), np.array(x, dtype="<u4").tobytes(), hashlib.sha256((t or "").encode()).hexdigest()] += times[i]
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert out and all(r["text_sha256"] == r["decoded_sha256"] and len(r["ids"]) == 4 * r["n_tokens"] for r in out)
+    assert collections.Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["text_sha256"]) for r in out) == +want
+    assert all(r["text_sha256"] == r["decoded_sha256"] for r in out)
