@@ -510,13 +510,13 @@ def test_top_k(spark):
     assert vectors.top_k(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
-CLASH = {c: F.lit("clash") for c in ("key", "size", "shingles", "component", "post", "id", "taken", "target", "fingerprint", "row", "n", "block", "score", "class", "begin", "end", "label", "_label", "words", "list", "place")}
+CLASH = ("key", "size", "shingles", "component", "post", "id", "taken", "target", "fingerprint", "row", "n", "block", "score", "class", "begin", "end", "label", "_label", "words", "list", "place")
 
 
 @pytest.mark.parametrize("rows", [[], [(None, "a b c d e f " * 9, None, None, None), (None, None, None, None, None), (1, "word " * 120_000 + "\n" + "x" * 300_000, "en", "s", 1), (1, "word " * 120_000 + "\n" + "x" * 300_000, "en", "s", 1), (2, "", "en", None, 0), (3, "a b c d e f " * 9, "en", "s", None)]])
 def test_odd_tables(spark, rows):
     """Empty tables, null in any column, very long texts, equal rows, and columns whose names the operators use within: every row comes back, or nothing."""
-    df = spark.createDataFrame(rows, DOCS).withColumns(CLASH)
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in CLASH})
     n, none = len(rows), spark.createDataFrame([], "doc_id long, quality int, toxic int").withColumns({"text": F.lit("clash"), "n_chars": F.lit(1)})
     assert bpe.encode_decode_digests(df, bpe.rank_file_path()).count() == n
     mixed = mixing.mix(df).collect()
