@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Box = Sequence[Column]
@@ -82,3 +82,19 @@ def turned(x: Column, y: Column, m: Sequence[Column]) -> tuple[Column, Column]:
     dx, dy = m[0] * x + m[1] * y, m[3] * x + m[4] * y
     length = F.sqrt(dx * dx + dy * dy)
     return F.when(length > 1e-9, dx / F.when(length > 1e-9, length)).otherwise(1.0), F.when(length > 1e-9, dy / F.when(length > 1e-9, length)).otherwise(0.0)
+
+
+def _span(low: Column, high: Column, size: float) -> Column:
+    return F.sequence(F.floor(low / size), F.floor(high / size))
+
+
+def close_boxes(boxes: DataFrame, keys: Sequence[str], names: Sequence[str], reach: float, size: float = 64.0) -> DataFrame:
+    """Pairs of rows of equal keys whose boxes (x0, y0, x1, y1) are at most ``reach`` apart in either axis: keys, a_<name>, b_<name>. names hold run_idx, of which a has the smaller one.
+
+    Boxes, each wider by half the reach, are put into the squares of a grid that they touch, and rows meet square by square; a pair counts only in the square of the lower corner of what
+    its boxes share. So a crowded page is no single task, and rows far from one another never meet."""
+    x0, y0, x1, y1 = (F.col(c) + d * (reach / 2 + 1e-6) for c, d in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1)))
+    placed = boxes.select(*keys, *names, x0.alias("_x"), y0.alias("_y"), F.explode(_span(x0, x1, size)).alias("_i"), _span(y0, y1, size).alias("_js")).select("*", F.explode("_js").alias("_j"))
+    a, b = (placed.select(*keys, "_i", "_j", *(F.col(c).alias(f"{p}_{c}") for c in names), F.col("_x").alias(f"_{p}x"), F.col("_y").alias(f"_{p}y")) for p in ("a", "b"))
+    met = a.join(b, [*keys, "_i", "_j"]).where(F.col("a_run_idx") < F.col("b_run_idx"))
+    return met.where((F.floor(F.greatest("_ax", "_bx") / size) == F.col("_i")) & (F.floor(F.greatest("_ay", "_by") / size) == F.col("_j"))).drop("_i", "_j", "_ax", "_ay", "_bx", "_by")

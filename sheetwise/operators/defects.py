@@ -64,11 +64,10 @@ def in_margin(x: Column, y: Column, band: float = 0.06) -> Column:
 
 
 def overlaps(cand: DataFrame, grids: DataFrame, config: Config) -> DataFrame:
-    """Findings: runs of different blocks whose boxes share over the limit of the smaller one. cand: run_idx, block, text, box. A self-join on the page."""
+    """Findings: runs of different blocks whose boxes share over the limit of the smaller one. cand: run_idx, block, text, box."""
     names = ["run_idx", "block", "text", "x0", "y0", "x1", "y1"]
-    a, b = (cand.select(*KEYS, *(F.col(c).alias(f"{s}_{c}") for c in names)) for s in ("a", "b"))
     p, q = g.box("a_"), g.box("b_")
-    pairs = a.join(b, KEYS).where((F.col("a_run_idx") < F.col("b_run_idx")) & (F.col("a_block") != F.col("b_block")))
+    pairs = g.close_boxes(cand, KEYS, names, 0.0).where(F.col("a_block") != F.col("b_block"))
     pairs = pairs.where((F.least(p[2], q[2]) > F.greatest(p[0], q[0])) & (F.least(p[3], q[3]) > F.greatest(p[1], q[1]))).where(~g.inline_neighbours(p, q))
     pairs = pairs.withColumn("ratio", g.overlap(p, q)).where(F.col("ratio") > config.overlap_ratio_threshold)
     pairs = pairs.select(*KEYS, "ratio", F.concat("a_text", F.lit(" / "), "b_text").alias("texts"), *(f(x, y).alias(c) for f, x, y, c in zip((F.least, F.least, F.greatest, F.greatest), p, q, ("x0", "y0", "x1", "y1"), strict=True)))

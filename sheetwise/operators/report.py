@@ -136,13 +136,26 @@ def page_summaries(categorised_: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select(*KEYS, "n_issues", F.when(F.col("n_issues") > 0, "FAIL").otherwise("PASS").alias("status"), text.alias("summary"))
 
 
-def report_json(numbered_: DataFrame, scores: DataFrame) -> DataFrame:
-    """(pair_id, json): one report document for each pair. scores: pair_scores()."""
+def report_json(numbered_: DataFrame, scores: DataFrame, told: DataFrame | None = None) -> DataFrame:
+    """(pair_id, json): one report document for each pair. scores: pair_scores(); told: what else the head of a pair's report says (pair_id, and for instance reference, candidate, generated_at, pages_compared)."""
     fields = ["id", "page", "zone", "class", "severity", "confidence", "status", "ref_text", "cand_text", "ref_box", "cand_box", "score", "cause", "fix", "message"]
     docs = numbered_.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct(F.length("id").alias("_l"), *fields))).alias("defects"))
-    counts = numbered_.groupBy("pair_id", "class").agg(F.count("*").alias("n")).groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("counts_by_class"))
-    both = scores.join(docs, "pair_id", "left").join(counts, "pair_id", "left")
-    meta = F.struct("quality_score", F.coalesce(F.size("defects"), F.lit(0)).alias("total_defects"), "counts_by_class")
+    tally = lambda column: numbered_.groupBy("pair_id", column).agg(F.count("*").alias("n")).groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct(column, "n"))).alias(f"_{column}"))
+    both = scores.join(docs, "pair_id", "left").join(tally("class"), "pair_id", "left").join(tally("status"), "pair_id", "left")
+    head = []
+    if told is not None:
+        both = both.join(told, "pair_id", "left")
+        head = [c for c in told.columns if c != "pair_id"]
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+
+    def counts(column: str, known: list[str]) -> Column:
+        """Known values with 0 where none occurs, then others in the order of names."""
+        found = F.coalesce(F.col(column), none)
+        rest = F.map_filter(found, lambda k, _: ~k.isin(known))
+        first = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*(F.coalesce(F.element_at(found, F.lit(k)), F.lit(0).cast("long")) for k in known)))
+        return F.map_concat(first, F.map_from_entries(F.array_sort(F.map_entries(rest))))
+
+    meta = F.struct(*head, "quality_score", F.coalesce(F.size("defects"), F.lit(0)).alias("total_defects"), counts("_class", CLASS_ORDER).alias("counts_by_class"), counts("_status", ["defect", "review"]).alias("counts_by_status"))
     plain = F.transform("defects", lambda d: F.struct(*(d[c].alias(c) for c in fields)))
     return both.select("pair_id", F.to_json(F.struct(meta.alias("meta"), plain.alias("defects"))).alias("json"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -19,7 +19,7 @@ KEYS = ["pair_id", "page"]
 
 @dataclass
 class Inputs:
-    """ref and cand: run_idx, block, line, text, box, and optionally dir_x, dir_y; pages: width, height; the rest is optional."""
+    """ref and cand: run_idx, block, line, text, box, and optionally dir_x, dir_y; pages: width, height of candidate pages; the rest is optional. ref_pages: width, height of reference pages, where they aren't the same."""
 
     ref: DataFrame
     cand: DataFrame
@@ -28,14 +28,45 @@ class Inputs:
     words: DataFrame | None = None
     rasters: DataFrame | None = None
     drawing: DataFrame | None = None
+    ref_pages: DataFrame | None = None
 
 
 @dataclass
 class Comparison:
+    """pair_pages: pages_compared and page_count_mismatch of each pair; errors: pairs that couldn't be compared, and why."""
+
     records: DataFrame
     categorised: DataFrame
     page_scores: DataFrame
     pair_scores: DataFrame
+    pair_pages: DataFrame
+    errors: DataFrame
+
+
+def pair_pages(pages: DataFrame, ref_pages: DataFrame) -> DataFrame:
+    """(pair_id, pages_compared, page_count_mismatch): pages that both sides have are compared."""
+    both = pages.select(*KEYS, F.lit(1).alias("c")).join(ref_pages.select(*KEYS, F.lit(1).alias("r")), KEYS, "full_outer")
+    n = both.groupBy("pair_id").agg(F.count("c").alias("c"), F.count("r").alias("r"), F.count_if(F.col("c").isNotNull() & F.col("r").isNotNull()).alias("pages_compared"))
+    return n.select("pair_id", "pages_compared", (F.col("c") != F.col("r")).alias("page_count_mismatch"))
+
+
+def compared_pages(pages: DataFrame, ref_pages: DataFrame) -> DataFrame:
+    """Pages that both sides have, with the sizes of both."""
+    return pages.select(*KEYS, "width", "height").join(ref_pages.select(*KEYS, F.col("width").alias("ref_width"), F.col("height").alias("ref_height")), KEYS)
+
+
+def page_errors(ref: DataFrame, cand: DataFrame, pages: DataFrame) -> DataFrame:
+    """(keys, error) of pages that can't be compared: a run without a text or without a box of finite numbers, a page without a size. One row for each page and error."""
+    finite = F.lit(True)
+    for c in g.box():
+        finite = finite & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    said = F.when(F.col("text").isNull(), "a run has no text").when(~F.coalesce(finite, F.lit(False)), "a run has no box")
+    runs = ref.select(*KEYS, said.alias("error")).unionAll(cand.select(*KEYS, said.alias("error")))
+    sizes = [F.col(c) for c in pages.columns if c.endswith(("width", "height"))]
+    sized = F.lit(True)
+    for c in sizes:
+        sized = sized & F.coalesce(c > 0, F.lit(False)) & (c < float("inf"))
+    return runs.unionAll(pages.select(*KEYS, F.when(~sized, "a page has no size").alias("error"))).where("error is not null").distinct()
 
 
 def prepared(runs: DataFrame, config: Config) -> DataFrame:
@@ -55,8 +86,16 @@ def with_center_map(df: DataFrame, regs: DataFrame) -> DataFrame:
 def compare(inputs: Inputs, config: Config | None = None) -> Comparison:
     """All records of all pairs. Frames that several detectors read are computed once, into the shared folder, which also keeps plans short."""
     config = config or Config()
-    ref, cand = keep(prepared(inputs.ref, config)), keep(prepared(inputs.cand, config))
-    regs = keep(registration.registrations(inputs.pages, registration.models(registration.anchors(ref, cand), config)))
+    ref_pages = inputs.ref_pages if inputs.ref_pages is not None else inputs.pages
+    told, pages = pair_pages(inputs.pages, ref_pages), compared_pages(inputs.pages, ref_pages)
+    both = lambda df: df.join(pages.select(*KEYS), KEYS, "left_semi")
+    # A pair with a page that can't be compared is left out as a whole, and said so; the other pairs go on.
+    errors = keep(page_errors(both(inputs.ref), both(inputs.cand), pages))
+    sound = lambda df: both(df).join(errors.select("pair_id").distinct(), "pair_id", "left_anti")
+    pages = keep(sound(pages))
+    inputs = replace(inputs, pages=pages.select(*KEYS, "width", "height"))
+    ref, cand = keep(prepared(sound(inputs.ref), config)), keep(prepared(sound(inputs.cand), config))
+    regs = keep(registration.registrations(pages, registration.models(registration.anchors(ref, cand), config)))
     grids = keep(zones.grids(inputs.pages, zones.labels(cand, inputs.pages, config)))
     mapped = keep(with_center_map(ref, regs))
     pairs = matching.costs(mapped, cand, config)
@@ -89,7 +128,7 @@ def compare(inputs: Inputs, config: Config | None = None) -> Comparison:
     records = keep(defects.records(defects.without_regions(kept, config), config))
     categorised = report.categorised(records, inputs.pages)
     scores = report.page_scores(categorised, inputs.pages)
-    return Comparison(records, categorised, scores, report.pair_scores(scores))
+    return Comparison(records, categorised, scores, report.pair_scores(scores), told, errors)
 
 
 def _pair_boxes(ref: DataFrame, cand: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+# The fixed values that both sides need are written down once.
+from ..operators.report import CATEGORY_WEIGHTS, DIMENSIONS, REVISION_WORDS, SYMBOLS, TABLE_WORDS, TITLE_WORDS
+
 NORM_STEPS = [
     r"trim(regexp_replace({x}, '\s+', ' ', 'g'))",
     r"regexp_replace({x}, '(\d),(\d)', '\1.\2', 'g')",
@@ -42,25 +45,26 @@ LABELS = """
 
 
 def _numbered(raw: str) -> str:
-    return f"""SELECT 'A' AS pair_id, page, block, line, text, x0, y0, x0 + 6 * length(text) AS x1, y0 + 10 AS y1, {norm('text')} AS norm, 1.0 AS dir_x, 0.0 AS dir_y,
+    return f"""SELECT CASE WHEN page % 3 = 0 THEN 'B' ELSE 'A' END AS pair_id, page, block, line, text, x0, y0, x0 + 6 * length(text) AS x1, y0 + 10 AS y1, {norm('text')} AS norm, CASE WHEN line % 6 = 5 THEN 0.0 ELSE 1.0 END AS dir_x, CASE WHEN line % 6 = 5 THEN 1.0 ELSE 0.0 END AS dir_y,
         x0 + 3.0 * length(text) AS cx, y0 + 5.0 AS cy, CAST(row_number() OVER (PARTITION BY page ORDER BY block, line) - 1 AS INTEGER) AS run_idx FROM ({raw})"""
 
 
 RUNS = f"""
-WITH RECURSIVE items AS (
+WITH RECURSIVE items AS MATERIALIZED (
     SELECT ok, ln, CASE ln % 4 WHEN 0 THEN p_name || ' ' || p_type WHEN 1 THEN 'DIA ' || qty || '.50' WHEN 2 THEN qty || '.00 +/- 0.' || ln ELSE 'NOTE ' || ok || ' ' || p_type END AS text,
         CAST(60 + (37 * pk + 101 * ln) % 640 AS DOUBLE) AS x, CAST(60 + (53 * sk + 67 * ln + 29 * ok) % 460 AS DOUBLE) AS y, CAST(ok // 10 + 1 AS INTEGER) AS page, (7 * ok + 11 * ln) % 23 AS v
     FROM (SELECT l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln, min(l_partkey) AS pk, min(l_suppkey) AS sk, CAST(floor(min(l_quantity)) AS BIGINT) AS qty FROM lineitem GROUP BY 1, 2) JOIN part ON p_partkey = pk),
-pages_ AS (SELECT DISTINCT page FROM items),
-ref AS ({_numbered(f"SELECT page, ok AS block, CAST(ln AS INTEGER) AS line, text, x AS x0, y AS y0 FROM items UNION ALL {LABELS}")}),
+pages_ AS MATERIALIZED (SELECT DISTINCT page FROM items),
+ref AS MATERIALIZED ({_numbered(f"SELECT page, ok AS block, CAST(ln AS INTEGER) AS line, text, x AS x0, y AS y0 FROM items UNION ALL {LABELS}")}),
 moved AS (SELECT *, x + 6 + CASE WHEN y > 300 THEN 20 ELSE 0 END AS cx0, y + 4 - CASE WHEN y > 300 THEN 15 ELSE 0 END AS cy0 FROM items),
-cand AS ({_numbered(f'''SELECT page, ok AS block, CAST(ln AS INTEGER) AS line,
-        CASE v WHEN 1 THEN '#' || substring(text, 2) WHEN 2 THEN replace(replace(text, 'DIA ', 'Ø'), '+/-', '±') WHEN 3 THEN replace(text, '.50', '.5') ELSE text END AS text, cx0 AS x0, cy0 AS y0 FROM moved WHERE v <> 0
-    UNION ALL SELECT page, ok + 1000000, CAST(ln AS INTEGER), 'EXTRA ' || ok, cx0 + 3, cy0 + 3 FROM moved WHERE v = 4 UNION ALL {LABELS}''')})"""
+cand AS MATERIALIZED ({_numbered(f'''SELECT page, ok AS block, CAST(ln AS INTEGER) AS line,
+        CASE v WHEN 1 THEN '#' || substring(text, 2) WHEN 2 THEN replace(replace(text, 'DIA ', 'Ø'), '+/-', '±') WHEN 3 THEN replace(text, '.50', '.5') WHEN 5 THEN split_part(text, ' ', 1) ELSE text END AS text, cx0 AS x0, cy0 AS y0 FROM moved WHERE v <> 0
+    UNION ALL SELECT page, ok + 1000000, CAST(ln AS INTEGER), 'EXTRA ' || ok, cx0 + 3, cy0 + 3 FROM moved WHERE v = 4
+    UNION ALL SELECT page, ok + 2000000, CAST(ln AS INTEGER), substring(text, instr(text, ' ') + 1), cx0 + 6 * instr(text, ' '), cy0 FROM moved WHERE v = 5 UNION ALL {LABELS}''')})"""
 
 ANCHORS = """
 anchors AS (
-    SELECT 'A' AS pair_id, a.page, a.norm, a.ref_idx, a.ax, a.ay, b.bx, b.b_y AS "by"
+    SELECT CASE WHEN a.page % 3 = 0 THEN 'B' ELSE 'A' END AS pair_id, a.page, a.norm, a.ref_idx, a.ax, a.ay, b.bx, b.b_y AS "by"
     FROM (SELECT page, norm, min(run_idx) AS ref_idx, min(cx) AS ax, min(cy) AS ay FROM ref WHERE norm <> '' GROUP BY page, norm HAVING count(*) = 1) a
     JOIN (SELECT page, norm, min(cx) AS bx, min(cy) AS b_y FROM cand WHERE norm <> '' GROUP BY page, norm HAVING count(*) = 1) b USING (page, norm))"""
 
@@ -100,7 +104,7 @@ costs AS (
 EXACT = """
 kref AS (SELECT page, norm, run_idx, row_number() OVER (PARTITION BY page, norm ORDER BY run_idx) AS k FROM ref),
 kcand AS (SELECT page, norm, run_idx, row_number() OVER (PARTITION BY page, norm ORDER BY run_idx) AS k FROM cand),
-exact AS (SELECT a.page, a.run_idx AS ref_idx, b.run_idx AS cand_idx FROM kref a JOIN kcand b USING (page, norm, k)),
+exact AS MATERIALIZED (SELECT a.page, a.run_idx AS ref_idx, b.run_idx AS cand_idx FROM kref a JOIN kcand b USING (page, norm, k)),
 free_ref AS (SELECT * FROM ref r WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.page = r.page AND e.ref_idx = r.run_idx)),
 free_cand AS (SELECT * FROM cand r WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.page = r.page AND e.cand_idx = r.run_idx))"""
 
@@ -118,13 +122,10 @@ findings AS (
     UNION ALL SELECT * FROM (SELECT page, 'added_text', 1.0, {zone('cx', 'cy', 'r.page')} AS zone, NULL, text, x0, y0, x1, y1, cx, cy FROM free_cand r WHERE length(trim(text)) > 1 AND NOT (cx < 48 OR cx > 752 OR cy < 36 OR cy > 564)) WHERE zone IS DISTINCT FROM 'title-block'
     UNION ALL SELECT page, 'text_overlap', least(1.0, ratio / 0.3), {zone('cx', 'cy', 'r.page')}, NULL, texts, x0, y0, x1, y1, cx, cy FROM collisions r)"""
 
-SYMBOLS = r"[Øø⌀φф°±¼½¾]|\bDIA\b|\bDEG\b|\bRAD\b|GD&T|\bSYMBOL\b"
-DIMENSIONS = r"(\d+/\d+|\d+\.\d+|\b\d+\b|±|ø|DIA|MM|INCH|DEG|RAD|°|UNITS)"
-WEIGHTS = {"Drawing Layout": 10, "Views & Geometry": 15, "Dimensions & Tolerances": 15, "Notes & Annotations": 10, "Title Block": 10, "Revision History": 5, "BOM / Tables": 10, "Symbols & Standards": 5, "Styling & Layers": 5, "Scale & Proportion": 5, "Visual Quality": 5, "Conversion Integrity": 3, "Compliance Rules": 2}
 TEMPLATES = {
-    "missing_text": ("high", "Text ''{r}'' of the reference is not in the candidate at zone {z}.", "Check that ''{r}'' is in the model and set to export, then export again.", "Text ''{r}'' missing in candidate"),
-    "added_text": ("medium", "Text ''{c}'' of the candidate is not in the reference at zone {z}.", "Check that ''{c}'' is meant to be there, or remove it.", "Extra text ''{c}'' added in candidate"),
-    "text_overlap": ("medium", "Texts of the candidate collide at zone {z} (''{c}'').", "Move the texts apart, then export again.", "Overlapping candidate text ''{c}''"),
+    "missing_text": ("high", "Missing text, zone {z}.", "Compare both pages at zone {z}.", "Text ''{r}'' missing in candidate"),
+    "added_text": ("medium", "Added text, zone {z}.", "Compare both pages at zone {z}.", "Extra text ''{c}'' added in candidate"),
+    "text_overlap": ("medium", "Text overlap, zone {z}.", "Compare both pages at zone {z}.", "Overlapping candidate text ''{c}''"),
 }
 
 
@@ -148,11 +149,11 @@ categorised AS (
         WHEN 'added_text' THEN CASE WHEN zone = 'title-block' THEN 'Title Block' WHEN symbols OR dims THEN 'Dimensions & Tolerances' ELSE 'Notes & Annotations' END
         WHEN 'text_overlap' THEN 'Visual Quality'
         ELSE CASE WHEN zone = 'title-block' THEN 'Title Block'
-            WHEN x0 / 800 > 0.7 AND y1 / 600 < 0.35 AND {_any(["REV", "REVISION", "ZONE", "DATE", "HISTORY"])} THEN 'Revision History'
-            WHEN x0 / 800 > 0.65 AND y0 / 600 > 0.65 AND {_any(["MATERIAL", "WEIGHT", "SCALE", "UNIT", "DRAWN", "CHECKED", "APPROVED", "FINISH", "COATING", "PART NO", "ASSY", "SIZE", "TITLE", "DWG"])} THEN 'Title Block'
-            WHEN (x0 / 800 > 0.6 OR contains(said, 'BOM') OR contains(said, 'TABLE')) AND {_any(["QTY", "PART NUMBER", "DESCRIPTION", "ITEM", "FERRULE", "HOSE", "WELDED PIPE", "ACTUATOR", "LIST"])} THEN 'BOM / Tables'
+            WHEN x0 / 800 > 0.7 AND y1 / 600 < 0.35 AND {_any(REVISION_WORDS)} THEN 'Revision History'
+            WHEN x0 / 800 > 0.65 AND y0 / 600 > 0.65 AND {_any(TITLE_WORDS)} THEN 'Title Block'
+            WHEN (x0 / 800 > 0.6 OR contains(said, 'BOM') OR contains(said, 'TABLE')) AND {_any(TABLE_WORDS)} THEN 'BOM / Tables'
             WHEN dims THEN 'Dimensions & Tolerances' ELSE 'Notes & Annotations' END END AS category FROM marked),
-weights AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {w})" for c, w in WEIGHTS.items())}) t(category, weight)),
+weights AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {w})" for c, w in CATEGORY_WEIGHTS.items())}) t(category, weight)),
 scores AS (
     SELECT page, CAST(greatest(0, 100 - coalesce(sum(weight), 0)) AS BIGINT) AS score FROM pages_ LEFT JOIN (SELECT DISTINCT page, category FROM categorised) USING (page) LEFT JOIN weights USING (category) GROUP BY page)"""
 
@@ -164,7 +165,7 @@ zcand AS (SELECT page, block, min(run_idx) AS cluster, string_agg(norm, ' ' ORDE
 
 STACKS = """
 stacks AS (
-    SELECT a.page, a.run_idx AS i, b.run_idx AS j FROM ref a JOIN ref b ON a.page = b.page AND a.run_idx < b.run_idx
+    SELECT a.page, a.run_idx AS i, b.run_idx AS j FROM ref a JOIN ref b ON a.page = b.page AND a.run_idx < b.run_idx AND a.dir_x = b.dir_x
     WHERE (least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 AND greatest(0.0, greatest(a.y0, b.y0) - least(a.y1, b.y1)) <= 12) OR (least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0 AND greatest(0.0, greatest(a.x0, b.x0) - least(a.x1, b.x1)) <= 12))"""
 
 LEADERS = f"""
@@ -180,7 +181,7 @@ def reach(edges: str) -> str:
     return f"""
 links_ AS (SELECT page, i, j FROM ({edges}) UNION SELECT page, j, i FROM ({edges}) UNION SELECT page, run_idx, run_idx FROM ref),
 reach_ AS (SELECT page, i AS node, j AS seen FROM links_ UNION SELECT r.page, r.node, l.j FROM reach_ r JOIN links_ l ON r.page = l.page AND r.seen = l.i)
-SELECT 'A' AS pair_id, page, node AS run_idx, min(seen) AS cluster FROM reach_ GROUP BY page, node"""
+SELECT CASE WHEN page % 3 = 0 THEN 'B' ELSE 'A' END AS pair_id, page, node AS run_idx, min(seen) AS cluster FROM reach_ GROUP BY page, node"""
 
 
 NEAR = f"near_ AS (SELECT a.page, a.run_idx AS i, b.run_idx AS j FROM ref a JOIN ref b ON a.page = b.page AND a.run_idx < b.run_idx WHERE {dist('a.cx', 'a.cy', 'b.cx', 'b.cy')} <= 50)"
@@ -189,10 +190,10 @@ WORDS = """
 WITH sides AS (SELECT * FROM (VALUES ('ref', 0), ('cand', 1)) t(side, s)),
 body AS (
     SELECT CAST(p_partkey // 20 + 1 AS INTEGER) AS page, side, s, p_partkey % 20 + 1 AS r, c, CASE c WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN CAST(p_size + CASE WHEN s = 1 AND p_partkey % 17 = 0 THEN 1 ELSE 0 END AS VARCHAR) ELSE replace(p_type, ' ', '-') END AS text
-    FROM part, sides, (SELECT unnest([0, 1, 2]) AS c)),
-heads AS (SELECT DISTINCT page, side, s, CAST(0 AS BIGINT) AS r, c, CASE c WHEN 0 THEN 'ITEM' WHEN 1 THEN 'QTY' ELSE 'DESCRIPTION' END AS text FROM body),
+    FROM part, sides, (SELECT unnest([0, 1, 2]) AS c) WHERE s = 0 OR NOT (c = 2 AND p_partkey % 19 = 0) AND NOT (p_partkey % 20 = 19 AND (p_partkey // 20 + 1) % 3 = 0)),
+heads AS (SELECT DISTINCT page, side, s, CAST(0 AS BIGINT) AS r, c, CASE c WHEN 0 THEN 'ITEM' WHEN 1 THEN 'QTY' ELSE 'DESCRIPTION' || CASE WHEN s = 1 AND page % 4 = 0 THEN 'S' ELSE '' END END AS text FROM (SELECT page, side, s, unnest([0, 1, 2]) AS c FROM body)),
 words AS (
-    SELECT 'A' AS pair_id, page, side, CAST(3 * r + c AS INTEGER) AS word_idx, r, c, text, CASE c WHEN 0 THEN 60.0 WHEN 1 THEN 160.0 ELSE 300.0 END + 6 * s AS x0, 100.0 + 20 * r + 4 * s AS y0 FROM (SELECT * FROM heads UNION ALL SELECT * FROM body)),
+    SELECT CASE WHEN page % 3 = 0 THEN 'B' ELSE 'A' END AS pair_id, page, side, CAST(3 * r + c AS INTEGER) AS word_idx, r, c, text, CASE c WHEN 0 THEN 60.0 WHEN 1 THEN 160.0 ELSE 300.0 END + 6 * s AS x0, 100.0 + 20 * r + 4 * s AS y0 FROM (SELECT * FROM heads UNION ALL SELECT * FROM body)),
 boxed AS (SELECT *, x0 + 6 * length(text) AS x1, y0 + 10 AS y1 FROM words),
 frame AS (SELECT page, side, min(x0) AS hx0, max(x1) AS hx1 FROM boxed WHERE r = 0 GROUP BY page, side),
 kept AS (SELECT boxed.* FROM boxed JOIN frame USING (page, side) WHERE (x0 + x1) / 2 BETWEEN hx0 - 15 AND hx1 + 15),
@@ -203,7 +204,7 @@ columns AS (SELECT side, c AS col, text AS header, x0 - 10 AS lo, coalesce(lead(
 placed AS (SELECT d.page, d.side, d.row_no, d.word_idx, d.text, min(col) AS col FROM dense d JOIN columns k ON d.page = k.page AND d.side = k.side AND (d.x0 + d.x1) / 2 >= lo AND (d.x0 + d.x1) / 2 < hi GROUP BY ALL),
 texts AS (SELECT page, side, row_no, col, string_agg(text, ' ' ORDER BY word_idx) AS value FROM placed GROUP BY ALL),
 rows_ AS (SELECT page, side, row_no, CAST(dense_rank() OVER (PARTITION BY page, side ORDER BY row_no) - 1 AS INTEGER) AS row FROM (SELECT DISTINCT page, side, row_no FROM texts)),
-cells AS (SELECT 'A' AS pair_id, k.page, k.side, 0 AS table_id, row, k.col, header, coalesce(value, '') AS value FROM rows_ JOIN columns k USING (page, side) LEFT JOIN texts t ON t.page = k.page AND t.side = k.side AND t.row_no = rows_.row_no AND t.col = k.col)"""
+cells AS (SELECT CASE WHEN k.page % 3 = 0 THEN 'B' ELSE 'A' END AS pair_id, k.page, k.side, 0 AS table_id, row, k.col, header, coalesce(value, '') AS value FROM rows_ JOIN columns k USING (page, side) LEFT JOIN texts t ON t.page = k.page AND t.side = k.side AND t.row_no = rows_.row_no AND t.col = k.col)"""
 
 UPLOADS = """
 WITH uploads AS (
@@ -220,28 +221,34 @@ GREY = """
 WITH g AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(least(255, greatest(0, floor(128 + 256 * CAST(x AS DOUBLE)))) AS INTEGER)) AS a FROM embeddings WHERE len(embedding) = 64),
 p AS (SELECT id, a, list_transform(a, lambda v, i: CASE WHEN (i - 1 + id) % 5 = 0 THEN 255 - v ELSE v END) AS b FROM g)"""
 
-_n = "'A' AS pair_id"
+
+
+def _pair(page: str) -> str:
+    return f"CASE WHEN {page} % 3 = 0 THEN 'B' ELSE 'A' END AS pair_id"
+
+
+_n = _pair("page")
 _M = ["m00", "m01", "m02", "m10", "m11", "m12"]
 _rounded = ", ".join(f"round({m}, 4) AS {m}" for m in _M)
 _corners = [(x, y) for x in ("x0", "x1") for y in ("y0", "y1")]
 _xs, _ys = ", ".join(f"m00 * {x} + m01 * {y} + m02" for x, y in _corners), ", ".join(f"m10 * {x} + m11 * {y} + m12" for x, y in _corners)
 
 ORACLE_SQL = {
-    "normalize_text": f"{RUNS} SELECT 'ref' AS side, {_n}, page, run_idx, norm FROM ref UNION ALL SELECT 'cand', 'A', page, run_idx, norm FROM cand",
-    "symbol_equivalence": f"{RUNS} SELECT {_n}, a.page, a.block, a.line, a.text AS ref_text, b.text AS cand_text, a.norm = b.norm AS equal FROM ref a JOIN cand b USING (page, block, line) WHERE a.text <> b.text",
-    "edit_distance_norm": f"{RUNS} SELECT * FROM (SELECT {_n}, a.page, a.block, a.line, round({edit('a.norm', 'b.norm')}, 6) AS distance FROM ref a JOIN cand b USING (page, block, line)) WHERE distance > 0",
+    "normalize_text": f"{RUNS} SELECT 'ref' AS side, {_n}, page, run_idx, norm FROM ref UNION ALL SELECT 'cand', CASE WHEN page % 3 = 0 THEN 'B' ELSE 'A' END, page, run_idx, norm FROM cand",
+    "symbol_equivalence": f"{RUNS} SELECT {_pair('a.page')}, a.page, a.block, a.line, a.text AS ref_text, b.text AS cand_text, a.norm = b.norm AS equal FROM ref a JOIN cand b USING (page, block, line) WHERE a.text <> b.text",
+    "edit_distance_norm": f"{RUNS} SELECT * FROM (SELECT {_pair('a.page')}, a.page, a.block, a.line, round({edit('a.norm', 'b.norm')}, 6) AS distance FROM ref a JOIN cand b USING (page, block, line)) WHERE distance > 0",
     "bbox_centers": f"{RUNS} SELECT {_n}, page, run_idx, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM cand",
-    "overlap_ratio": f"{RUNS} SELECT * FROM (SELECT {_n}, a.page, a.run_idx, round({overlap(box('a.'), box('b.'))}, 6) AS ratio FROM cand a JOIN cand b ON a.page = b.page AND b.run_idx = a.run_idx + 1) WHERE ratio > 0",
+    "overlap_ratio": f"{RUNS} SELECT * FROM (SELECT {_pair('a.page')}, a.page, a.run_idx, round({overlap(box('a.'), box('b.'))}, 6) AS ratio FROM cand a JOIN cand b ON a.page = b.page AND b.run_idx = a.run_idx + 1) WHERE ratio > 0",
     "anchors": f"{RUNS}, {ANCHORS} SELECT * FROM anchors",
     "affine_fit": f"{RUNS}, {ANCHORS}, {FIT} SELECT {_n}, page, n_anchors, {_rounded} FROM fit",
     "map_bbox": f"{RUNS}, {ANCHORS}, {FIT} SELECT {_n}, page, run_idx, round(least({_xs}), 3) AS x0, round(least({_ys}), 3) AS y0, round(greatest({_xs}), 3) AS x1, round(greatest({_ys}), 3) AS y1 FROM ref JOIN fit USING (page)",
-    "scale_fallback": f"{RUNS} SELECT {_n}, page, (800.0 + page % 7) / 800 AS m00, 0.0 AS m01, 0.0 AS m02, 0.0 AS m10, (600.0 - page % 5) / 600 AS m11, 0.0 AS m12, true AS valid FROM pages_",
+    "scale_fallback": f"{RUNS} SELECT {_n}, page, CASE WHEN page % 11 = 0 THEN 0 ELSE CAST(800 + page % 7 AS DOUBLE) / 800 END AS m00, CAST(0 AS DOUBLE) AS m01, CAST(0 AS DOUBLE) AS m02, CAST(0 AS DOUBLE) AS m10, CAST(600 - page % 5 AS DOUBLE) / 600 AS m11, CAST(0 AS DOUBLE) AS m12, page % 11 <> 0 AS valid FROM pages_",
     "zone_labels": f"{RUNS}, {GRID} SELECT {_n}, page, axis, label, round(center, 6) AS center FROM cells_",
     "zone_assign": f"{RUNS}, {GRID} SELECT {_n}, page, run_idx, {zone('cx', 'cy', 'r.page')} AS zone FROM cand r",
     "match_cost_stats": f"{RUNS}, {COSTS} SELECT {_n}, page, count(*) AS n_pairs, count(*) FILTER (WHERE cost <= 60) AS n_cheap, count(*) FILTER (WHERE equal) AS n_equal, round(sum(cost), 3) AS total FROM costs GROUP BY page",
     "min_ref_cost": f"{RUNS}, {COSTS} SELECT {_n}, page, ref_idx, round(min(cost), 6) AS min_cost FROM costs GROUP BY page, ref_idx",
     "residual_exact": f"{RUNS}, {EXACT} SELECT {_n}, page, ref_idx, cand_idx FROM exact",
-    "unmatched_runs": f"{RUNS}, {EXACT} SELECT 'ref' AS side, {_n}, page, run_idx, text FROM free_ref UNION ALL SELECT 'cand', 'A', page, run_idx, text FROM free_cand",
+    "unmatched_runs": f"{RUNS}, {EXACT} SELECT 'ref' AS side, {_n}, page, run_idx, text FROM free_ref UNION ALL SELECT 'cand', CASE WHEN page % 3 = 0 THEN 'B' ELSE 'A' END, page, run_idx, text FROM free_cand",
     "text_overlap": f"{RUNS}, {GRID}, {OVERLAPS} SELECT {_n}, page, {zone('cx', 'cy', 'r.page')} AS zone, texts AS cand_text, round(least(1.0, ratio / 0.3), 6) AS confidence, x0, y0, x1, y1 FROM collisions r",
     "stack_edges": f"{RUNS}, {STACKS} SELECT {_n}, page, i, j FROM stacks",
     "leader_edges": f"{RUNS}, {LEADERS} SELECT {_n}, page, i, j FROM leaders",
@@ -252,33 +259,37 @@ ORACLE_SQL = {
     "missing_zones": f"""{RUNS}, {BLOCKS} SELECT {_n}, page, cluster, 'Information Zone containing ''' || substring(text, 1, 40) || ''' is missing.' AS message FROM zref r WHERE NOT EXISTS (SELECT 1 FROM zcand c WHERE c.page = r.page AND (c.text = r.text
         OR (1 - {edit('r.text', 'c.text')} > 0.8 AND {dist('(r.x0 + r.x1) / 2', '(r.y0 + r.y1) / 2', '(c.x0 + c.x1) / 2', '(c.y0 + c.y1) / 2')} < 100)))""",
     "missing_groups": f"""{RUNS}, {COSTS}, {EXACT}, cheap AS (SELECT page, ref_idx, min(cost) AS cost FROM costs GROUP BY page, ref_idx), blocks AS (SELECT page, block, min(run_idx) AS cluster FROM ref GROUP BY page, block)
-        SELECT {_n}, r.page, cluster, CASE WHEN count(*) > 1 THEN 'missing_annotation' ELSE 'missing_text' END AS class, string_agg(text, ' ' ORDER BY y0, x0, run_idx) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
+        SELECT {_pair('r.page')}, r.page, cluster, CASE WHEN count(*) > 1 THEN 'missing_annotation' ELSE 'missing_text' END AS class, string_agg(text, ' ' ORDER BY y0, x0, run_idx) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
             round(least(1.0, min(coalesce(cost, 60)) / 120), 6) AS confidence FROM free_ref r JOIN blocks b ON r.page = b.page AND r.block = b.block LEFT JOIN cheap c ON c.page = r.page AND c.ref_idx = r.run_idx GROUP BY r.page, cluster""",
     "bom_rows": f"{WORDS} SELECT pair_id, page, side, word_idx, text, row_no FROM dense",
     "bom_cells": f"{WORDS}{CELLS} SELECT * FROM cells",
     "table_match": f"""{WORDS}, boxes AS (SELECT page, side, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM kept GROUP BY page, side)
-        SELECT {_n}, a.page, 0 AS table_id, 0 AS cand_id, round({dist('(a.x0 + a.x1) / 2', '(a.y0 + a.y1) / 2', '(b.x0 + b.x1) / 2', '(b.y0 + b.y1) / 2')}, 6) AS distance FROM boxes a JOIN boxes b ON a.page = b.page AND a.side = 'ref' AND b.side = 'cand'""",
-    "table_columns": f"{WORDS}{CELLS} SELECT DISTINCT {_n}, page, 0 AS table_id, col, 0 AS cand_id, col AS cand_col, 1.0 AS similarity FROM columns",
-    "table_cell_diff": f"{WORDS}{CELLS} SELECT {_n}, a.page, 0 AS table_id, a.row, a.col, 0 AS cand_id, a.col AS cand_col, a.value AS ref_value, b.value AS cand_value, 'changed' AS kind FROM cells a JOIN cells b ON a.page = b.page AND a.row = b.row AND a.col = b.col AND a.side = 'ref' AND b.side = 'cand' WHERE a.value <> b.value",
+        SELECT {_pair('a.page')}, a.page, 0 AS table_id, 0 AS cand_id, round({dist('(a.x0 + a.x1) / 2', '(a.y0 + a.y1) / 2', '(b.x0 + b.x1) / 2', '(b.y0 + b.y1) / 2')}, 6) AS distance FROM boxes a JOIN boxes b ON a.page = b.page AND a.side = 'ref' AND b.side = 'cand'""",
+    "table_columns": f"{WORDS}{CELLS} SELECT DISTINCT {_n}, page, 0 AS table_id, col, 0 AS cand_id, col AS cand_col, CASE WHEN col = 2 AND page % 4 = 0 THEN 1 - 1 / CAST(12 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS similarity FROM columns",
+    "table_cell_diff": f"""{WORDS}{CELLS}, heights AS (SELECT page, max(row) + 1 AS n FROM cells WHERE side = 'cand' GROUP BY page)
+        SELECT {_pair('a.page')}, a.page, 0 AS table_id, a.row, a.col, 0 AS cand_id, a.col AS cand_col, a.value AS ref_value, coalesce(b.value, '') AS cand_value, CASE WHEN a.row >= n THEN 'missing_row' WHEN coalesce(b.value, '') = '' THEN 'missing' ELSE 'changed' END AS kind
+        FROM cells a JOIN heights h ON a.page = h.page LEFT JOIN cells b ON a.page = b.page AND a.row = b.row AND a.col = b.col AND b.side = 'cand' WHERE a.side = 'ref' AND (a.row >= n OR a.value <> coalesce(b.value, ''))""",
     "added_text": f"{SLICE} SELECT {_n}, page, zone, cand_text, x0, y0, x1, y1 FROM findings WHERE class = 'added_text'",
     "ignore_regions": f"{SLICE} SELECT {_n}, page, class, count(*) AS n FROM findings WHERE class = 'missing_text' AND NOT ((cx BETWEEN 100 AND 300 AND cy BETWEEN 100 AND 250) OR (cx BETWEEN 500 AND 560 AND cy BETWEEN 300 AND 420)) OR class <> 'missing_text' AND NOT ((cx BETWEEN 100 AND 300 AND cy BETWEEN 100 AND 250) OR (cx BETWEEN 500 AND 560 AND cy BETWEEN 300 AND 420)) GROUP BY page, class",
     "defect_filters": f"""{SLICE}, {WORDS.replace('WITH ', '', 1).strip()}, tables_ AS (SELECT page, min(x0) AS tx0, min(y0) AS ty0, max(x1) AS tx1, max(y1) AS ty1 FROM kept WHERE side = 'cand' GROUP BY page)
         SELECT {_n}, page, class, count(*) AS n FROM findings f WHERE zone IS DISTINCT FROM 'border' AND NOT EXISTS (SELECT 1 FROM tables_ t WHERE t.page = f.page AND cx BETWEEN tx0 AND tx1 AND cy BETWEEN ty0 AND ty1) GROUP BY page, class""",
-    "defect_records": f"{SLICE} SELECT {_n}, page, class, severity, status, zone, ref_text, cand_text, message, cause, fix FROM records",
-    "defect_ids": f"""{SLICE} SELECT {_n}, printf('D-%03d', row_number() OVER (ORDER BY page, round(y0, 1), round(x0, 1), CASE class WHEN 'missing_text' THEN 0 WHEN 'text_overlap' THEN 2 ELSE 99 END, text)) AS id, page, class, text
+    "defect_records": f"{SLICE} SELECT {_n}, page, class, severity, round_even(CAST(confidence AS DOUBLE), 3) AS confidence, status, zone, ref_text, cand_text, message, cause, fix FROM records",
+    "defect_ids": f"""{SLICE} SELECT {_n}, printf('D-%03d', row_number() OVER (PARTITION BY page % 3 = 0 ORDER BY page, round(y0, 1), round(x0, 1), CASE class WHEN 'missing_text' THEN 0 WHEN 'text_overlap' THEN 2 ELSE 99 END, text)) AS id, page, class, text
         FROM (SELECT *, coalesce(nullif(cand_text, ''), ref_text, '') AS text FROM records)""",
     "audit_categories": f"{SLICE} SELECT {_n}, page, class, category, count(*) AS n FROM categorised GROUP BY page, class, category",
     "category_matrix": f"""{SLICE}, failed AS (SELECT category, count(DISTINCT page) AS n FROM categorised GROUP BY category)
         SELECT category, coalesce(n, 0) AS failed_pages, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN n > 0 THEN 'FAIL: Discrepancies found on ' || n || ' page(s).' ELSE 'PASS: No discrepancies detected.' END AS justification FROM weights LEFT JOIN failed USING (category)""",
     "page_quality_score": f"{SLICE} SELECT {_n}, page, score FROM scores",
-    "pair_quality_score": f"{SLICE} SELECT {_n}, CAST(round_even(avg(score), 0) AS BIGINT) AS quality_score FROM scores",
+    "pair_quality_score": f"{SLICE} SELECT pair_id, CAST(round_even(avg(score), 0) AS BIGINT) AS quality_score FROM (SELECT {_n}, score FROM scores) GROUP BY pair_id",
     "page_summaries": f"""{SLICE}, found AS (SELECT page, count(*) AS n FROM categorised GROUP BY page), names AS (SELECT page, string_agg(category, ', ' ORDER BY ord) AS list FROM (SELECT DISTINCT page, category FROM categorised) JOIN (SELECT category, row_number() OVER () AS ord FROM weights) USING (category) GROUP BY page)
         SELECT {_n}, page, coalesce(n, 0) AS n_issues, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN n > 0 THEN 'Page ' || page || ' has ' || n || ' identified ' || CASE WHEN n = 1 THEN 'discrepancy' ELSE 'discrepancies' END || '. Failed categories: ' || list || '.' ELSE 'Page ' || page || ' matches the reference drawing in all audit categories.' END AS summary
         FROM pages_ LEFT JOIN found USING (page) LEFT JOIN names USING (page)""",
     "counts_by_class": f"{SLICE} SELECT class, count(r.class) AS n FROM (VALUES ('missing_text'), ('missing_annotation'), ('text_overlap'), ('text_misplacement'), ('font_glyph_corruption'), ('visual_defect'), ('added_text')) t(class) LEFT JOIN records r USING (class) GROUP BY class HAVING count(r.class) > 0 OR class <> 'added_text'",
     "counts_by_status": f"{SLICE} SELECT count(*) FILTER (WHERE status = 'defect') AS defect, count(*) FILTER (WHERE status = 'review') AS review FROM records",
     "severity_counts": f"{SLICE} SELECT count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low FROM records",
-    "pair_summary": f"""{SLICE} SELECT {_n}, count(*) AS total_defects, count(*) FILTER (WHERE status = 'defect') AS defect, count(*) FILTER (WHERE status = 'review') AS review, (SELECT CAST(round_even(avg(score), 0) AS BIGINT) FROM scores) AS quality_score, 'defect' AS status FROM records""",
+    "pair_summary": f"""{SLICE}, found AS (SELECT {_n}, count(*) AS total_defects, count(*) FILTER (WHERE status = 'defect') AS defect, count(*) FILTER (WHERE status = 'review') AS review FROM records GROUP BY 1),
+        means_ AS (SELECT pair_id, CAST(round_even(avg(score), 0) AS BIGINT) AS quality_score FROM (SELECT {_n}, score FROM scores) GROUP BY pair_id)
+        SELECT pair_id, coalesce(total_defects, 0) AS total_defects, coalesce(defect, 0) AS defect, coalesce(review, 0) AS review, quality_score, CASE WHEN defect > 0 THEN 'defect' ELSE 'clean' END AS status FROM means_ LEFT JOIN found USING (pair_id)""",
     "box_layer": f"{SLICE} SELECT {_n}, page, class, CASE class WHEN 'missing_text' THEN '#ef4444' WHEN 'text_overlap' THEN '#f97316' ELSE '#808080' END AS color, count(*) AS n FROM records GROUP BY page, class",
     "file_pairing": f"{UPLOADS} SELECT name_key, name, ref_bytes, cand_bytes FROM paired",
     "unmatched_files": f"{UPLOADS} SELECT side, name FROM pdfs p WHERE NOT EXISTS (SELECT 1 FROM pdfs q WHERE q.name_key = p.name_key AND q.side <> p.side)",
@@ -290,6 +301,15 @@ ORACLE_SQL = {
     "mean_abs_diff": f"{GREY} SELECT id, round(list_sum(list_transform(list_zip(a, b), lambda p: abs(p[1] - p[2]))) / 64.0 / 255.0, 9) AS diff FROM p",
     "nested_runs": f"{RUNS} SELECT {_n}, page, block, line, text, x0, y0, x1, y1 FROM ref",
     "drawing_segments": """WITH o AS (SELECT CAST(o_orderkey // 10 + 1 AS INTEGER) AS page, o_orderkey AS item, CAST(60 + (17 * o_orderkey) % 640 AS DOUBLE) AS ax, CAST(60 + (29 * o_orderkey) % 460 AS DOUBLE) AS ay, CAST(60 + (41 * o_orderkey + 31) % 640 AS DOUBLE) AS bx, CAST(60 + (23 * o_orderkey + 11) % 460 AS DOUBLE) AS b_y FROM orders)
-        SELECT 'A' AS pair_id, page, item, 'l' AS kind, 0 AS edge, ax, ay, bx, b_y AS "by" FROM o
-        UNION ALL SELECT 'A', page, item, 're', e, CASE WHEN e IN (0, 3) THEN ax ELSE bx END, CASE WHEN e IN (0, 1) THEN ay ELSE b_y END, CASE WHEN e IN (0, 1) THEN bx ELSE ax END, CASE WHEN e IN (1, 2) THEN b_y ELSE ay END FROM o, (SELECT unnest([0, 1, 2, 3]) AS e) WHERE item % 3 = 0""",
+        SELECT CASE WHEN page % 3 = 0 THEN 'B' ELSE 'A' END AS pair_id, page, item, 'l' AS kind, 0 AS edge, ax, ay, bx, b_y AS "by" FROM o
+        UNION ALL SELECT CASE WHEN page % 3 = 0 THEN 'B' ELSE 'A' END, page, item, 're', e, CASE WHEN e IN (0, 3) THEN ax ELSE bx END, CASE WHEN e IN (0, 1) THEN ay ELSE b_y END, CASE WHEN e IN (0, 1) THEN bx ELSE ax END, CASE WHEN e IN (1, 2) THEN b_y ELSE ay END FROM o, (SELECT unnest([0, 1, 2, 3]) AS e) WHERE item % 3 = 0""",
+    "page_sizes": f"{RUNS} SELECT {_n}, page, CAST(800 AS DOUBLE) AS width, CAST(600 AS DOUBLE) AS height, CAST(800 - page % 7 AS DOUBLE) AS ref_width, CAST(600 + page % 5 AS DOUBLE) AS ref_height, round(800 / CAST(800 - page % 7 AS DOUBLE), 6) AS m00, round(600 / CAST(600 + page % 5 AS DOUBLE), 6) AS m11 FROM pages_ WHERE page % 9 <> 0 AND page % 10 <> 0",
+    "pair_pages": f"{RUNS} SELECT pair_id, count(*) FILTER (WHERE page % 9 <> 0 AND page % 10 <> 0) AS pages_compared, count(*) FILTER (WHERE page % 9 <> 0) <> count(*) FILTER (WHERE page % 10 <> 0) AS page_count_mismatch FROM (SELECT {_n}, page FROM pages_) GROUP BY pair_id",
+    "page_errors": f"""{RUNS} SELECT DISTINCT {_n}, page, CASE block % 97 WHEN 7 THEN 'a run has no text' ELSE 'a run has no box' END AS error FROM ref WHERE line = 1 AND block % 97 IN (7, 9, 11) UNION ALL SELECT {_n}, page, 'a page has no size' FROM pages_ WHERE page % 13 = 0""",
+    "pair_errors": f"""{SLICE}, bad AS (SELECT 'B' AS pair_id, min(CASE block % 97 WHEN 7 THEN 'a run has no text' ELSE 'a run has no box' END) AS error FROM ref WHERE line = 1 AND block % 97 IN (7, 9, 11) AND page % 3 = 0),
+        found AS (SELECT {_n}, count(*) AS total_defects, count(*) FILTER (WHERE status = 'defect') AS defect FROM records GROUP BY 1), means_ AS (SELECT pair_id, CAST(round_even(avg(score), 0) AS BIGINT) AS quality_score FROM (SELECT {_n}, score FROM scores) GROUP BY pair_id)
+        SELECT pair_id, CASE WHEN error IS NULL THEN coalesce(total_defects, 0) ELSE 0 END AS total_defects, CASE WHEN error IS NULL THEN quality_score END AS quality_score, CASE WHEN error IS NOT NULL THEN 'error' WHEN defect > 0 THEN 'defect' ELSE 'clean' END AS status, error
+        FROM means_ LEFT JOIN found USING (pair_id) LEFT JOIN bad USING (pair_id)""",
+    "scoreboard": f"{SLICE} SELECT {_n}, page, score, CAST(row_number() OVER (PARTITION BY page % 3 = 0 ORDER BY score DESC, page) AS INTEGER) AS place, score >= 80 AS passed FROM scores",
+    "page_states": f"{SLICE} SELECT pair_id, count(*) FILTER (WHERE n = 0) AS clean, count(*) FILTER (WHERE n > 0) AS bad FROM (SELECT {_n}, page, (SELECT count(*) FROM categorised c WHERE c.page = p.page) AS n FROM pages_ p) GROUP BY pair_id",
 }

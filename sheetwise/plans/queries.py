@@ -94,7 +94,8 @@ def map_bbox(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scale_fallback(spark: SparkSession, d: str) -> DataFrame:
-    sizes = Pages(spark, d).sizes.withColumn("cand_width", F.col("width") + F.col("page") % 7).withColumn("cand_height", F.col("height") - F.col("page") % 5)
+    """Every eleventh candidate page has no width: its map is not valid."""
+    sizes = Pages(spark, d).sizes.withColumn("cand_width", F.when(F.col("page") % 11 == 0, 0.0).otherwise(F.col("width") + F.col("page") % 7)).withColumn("cand_height", F.col("height") - F.col("page") % 5)
     m = g.scale_map(F.col("width"), F.col("height"), F.col("cand_width"), F.col("cand_height"))
     return sizes.select(*KEYS, *(v.alias(k) for k, v in m.items()), g.valid(list(m.values())).alias("valid"))
 
@@ -283,7 +284,7 @@ def ignore_regions(spark: SparkSession, d: str) -> DataFrame:
 
 def defect_records(spark: SparkSession, d: str) -> DataFrame:
     _, rows = _slice(spark, d)
-    return rows.select(*KEYS, "class", "severity", "status", "zone", "ref_text", "cand_text", "message", "cause", "fix")
+    return rows.select(*KEYS, "class", "severity", "confidence", "status", "zone", "ref_text", "cand_text", "message", "cause", "fix")
 
 
 def defect_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -390,6 +391,40 @@ def drawing_segments(spark: SparkSession, d: str) -> DataFrame:
     return records.segments(records.drawings(fixtures.segments(spark, d)))
 
 
+def page_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that both sides have, with the map that fits their sizes."""
+    pages = plan.compared_pages(*fixtures.both_page_sizes(Pages(spark, d).ref))
+    none = registration.models(registration.anchors(Pages(spark, d).ref, Pages(spark, d).cand).limit(0), CONFIG)
+    first = F.get("views", F.lit(0))
+    return _rounded(registration.registrations(pages, none).select(*KEYS, "width", "height", "ref_width", "ref_height", first["m00"].alias("m00"), first["m11"].alias("m11")), "m00", "m11", digits=6)
+
+
+def pair_pages(spark: SparkSession, d: str) -> DataFrame:
+    return plan.pair_pages(*fixtures.both_page_sizes(Pages(spark, d).ref))
+
+
+def page_errors(spark: SparkSession, d: str) -> DataFrame:
+    p = Pages(spark, d)
+    return plan.page_errors(fixtures.damaged(p.ref), p.cand, p.sizes.withColumn("height", F.when(F.col("page") % 13 != 0, F.col("height"))))
+
+
+def pair_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The roll-up of pairs where the pages of one pair can't be compared."""
+    p, rows = _categorised(spark, d)
+    errors = plan.page_errors(fixtures.damaged(p.ref).where("pair_id = 'B'"), p.cand, p.sizes)
+    out = jobs.pair_summary(rows, p.sizes.select("pair_id").distinct(), report.pair_scores(report.page_scores(rows, p.sizes)), errors)
+    return out.select("pair_id", "total_defects", "quality_score", "status", "error")
+
+
+def scoreboard(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.scoreboard(page_quality_score(spark, d))
+
+
+def page_states(spark: SparkSession, d: str) -> DataFrame:
+    p, rows = _categorised(spark, d)
+    return jobs.page_states(p.sizes, rows)
+
+
 def compare_pages(spark: SparkSession, d: str) -> DataFrame:
     """The whole comparison, with parts tables."""
     ref, cand = fixtures.runs(spark, d)
@@ -404,6 +439,6 @@ QUERIES = {
         residual_exact, unmatched_runs, residual_split, residual_fuzzy, text_overlap, stack_edges, leader_edges, annotation_clusters, dbscan_zones, zone_signature, missing_zones_exact, missing_zones, missing_groups,
         view_models, routed_points, bom_rows, bom_cells, table_match, table_columns, table_cell_diff, added_text, defect_filters, ignore_regions, defect_records, defect_ids, audit_categories, category_matrix,
         page_quality_score, pair_quality_score, page_summaries, counts_by_class, counts_by_status, severity_counts, pair_summary, box_layer, file_pairing, unmatched_files, upload_totals, job_ttl_eviction, pending_jobs,
-        mean_abs_diff, ssim_score, text_over_geometry, nested_runs, drawing_segments, compare_pages,
+        mean_abs_diff, ssim_score, text_over_geometry, nested_runs, drawing_segments, page_sizes, pair_pages, page_errors, pair_errors, scoreboard, page_states, compare_pages,
     )
 }

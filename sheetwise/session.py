@@ -18,9 +18,11 @@ def session(name: str = "sheetwise", **settings: str) -> SparkSession:
 def settled(df: DataFrame) -> DataFrame:
     """df computed once into the checkpoint folder that the cluster names (spark.checkpoint.dir), so that many readers share it and a lost executor costs nothing of it.
 
-    Only where no folder is named (tests) is one of this machine used."""
+    Only a local session that names no folder (tests) gets one of this machine."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sheetwise-"))
     return df.checkpoint(eager=True)

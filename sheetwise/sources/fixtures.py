@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEYS = ["pair_id", "page"]
-WIDTH, HEIGHT, PAIR = 800.0, 600.0, "A"
+WIDTH, HEIGHT = 800.0, 600.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pair_of(page: Column) -> Column:
+    """Every third page belongs to the pair B, the others to A."""
+    return F.when(page % 3 == 0, "B").otherwise("A").alias("pair_id")
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").cast("long").alias("ln"))
     lines = lines.agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.floor(F.min("l_quantity")).cast("long").alias("qty"))
@@ -28,7 +33,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(block: Column, line: Column, text: Column, x: Column, y: Column, page: Column) -> list[Column]:
-    return [F.lit(PAIR).alias("pair_id"), page.cast("int").alias("page"), block.cast("long").alias("block"), line.cast("int").alias("line"), text.alias("text"), x.alias("x0"), y.alias("y0"), (x + 6 * F.length(text)).alias("x1"), (y + 10).alias("y1")]
+    return [pair_of(page.cast("int")), page.cast("int").alias("page"), block.cast("long").alias("block"), line.cast("int").alias("line"), text.alias("text"), x.alias("x0"), y.alias("y0"), (x + 6 * F.length(text)).alias("x1"), (y + 10).alias("y1"), F.when(line % 6 == 5, 0.0).otherwise(1.0).alias("dir_x"), F.when(line % 6 == 5, 1.0).otherwise(0.0).alias("dir_y")]
 
 
 def _labels(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(reference runs, candidate runs): pair_id, page, block, line, text, x0, y0, x1, y1, run_idx. Both are partitioned by page."""
+    """(reference runs, candidate runs): pair_id, page, block, line, text, x0, y0, x1, y1, dir_x, dir_y, run_idx. Both are partitioned by page. Every sixth line is upright; some candidate texts are broken, written otherwise, split in two, missing or new."""
     items = _items(spark, sf_dir)
     page = F.floor(F.col("ok") / 10) + 1
     pages = items.select(page.cast("int").alias("page")).distinct()
@@ -57,40 +62,59 @@ def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.when(v == 1, F.concat(F.lit("#"), F.substring("text", 2, 10_000)))
         .when(v == 2, F.replace(F.replace("text", F.lit("DIA "), F.lit("Ø")), F.lit("+/-"), F.lit("±")))
         .when(v == 3, F.replace("text", F.lit(".50"), F.lit(".5")))
+        .when(v == 5, F.substring_index("text", " ", 1))
         .otherwise(F.col("text"))
     )
     cand = items.where(v != 0).select(*_run(F.col("ok"), F.col("ln"), text, x, y, page))
     extra = items.where(v == 4).select(*_run(F.col("ok") + 1_000_000, F.col("ln"), F.concat(F.lit("EXTRA "), F.col("ok").cast("string")), x + 3, y + 3, page))
-    return _numbered(ref.unionAll(labels)), _numbered(cand.unionAll(extra).unionAll(labels))
+    rest = items.where(v == 5).select(*_run(F.col("ok") + 2_000_000, F.col("ln"), F.expr("substring(text, instr(text, ' ') + 1)"), x + 6 * F.instr("text", " "), y, page))
+    return _numbered(ref.unionAll(labels)), _numbered(cand.unionAll(extra).unionAll(rest).unionAll(labels))
 
 
 def page_sizes(ref: DataFrame) -> DataFrame:
     return ref.select(*KEYS).distinct().select(*KEYS, F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
 
 
+def both_page_sizes(ref: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidate pages, reference pages): every ninth page is missing on the one side, every tenth on the other, and sizes differ."""
+    sizes = page_sizes(ref)
+    other = sizes.select(*KEYS, (F.col("width") - F.col("page") % 7).alias("width"), (F.col("height") + F.col("page") % 5).alias("height"))
+    return sizes.where("page % 9 <> 0"), other.where("page % 10 <> 0")
+
+
+def damaged(runs_: DataFrame) -> DataFrame:
+    """runs of which some have no text, no box or a box that isn't a number."""
+    at = lambda n: (F.col("block") % 97 == n) & (F.col("line") == 1)
+    x0 = F.when(at(9), None).when(at(11), float("nan")).otherwise(F.col("x0"))
+    return runs_.withColumn("text", F.when(~at(7), F.col("text"))).withColumn("x0", x0)
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leader lines from orders: pair_id, page, seg_idx, ax, ay, bx, by."""
     o = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
-        F.lit(PAIR).alias("pair_id"), (F.floor(o / 10) + 1).cast("int").alias("page"), o.alias("seg_idx"),
+        pair_of((F.floor(o / 10) + 1).cast("int")), (F.floor(o / 10) + 1).cast("int").alias("page"), o.alias("seg_idx"),
         (60 + (17 * o) % 640).cast("double").alias("ax"), (60 + (29 * o) % 460).cast("double").alias("ay"), (60 + (41 * o + 31) % 640).cast("double").alias("bx"), (60 + (23 * o + 11) % 460).cast("double").alias("by"),
     )
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of a parts table on each page, on both sides: pair_id, page, side, word_idx, text, x0, y0, x1, y1. Every 17th candidate part has another quantity."""
-    p = F.col("p_partkey")
+    """Words of a parts table on each page, on both sides: pair_id, page, side, word_idx, text, x0, y0, x1, y1.
+
+    Every 17th candidate part has another quantity, every 19th no description, the last row of every third full page is gone, and on every fourth page the last header is in the plural."""
+    p, cand = F.col("p_partkey"), F.col("o.side") == "cand"
     part = table(spark, sf_dir, "part").select(p, "p_size", F.replace("p_type", F.lit(" "), F.lit("-")).alias("kind"), (F.floor(p / 20) + 1).cast("int").alias("page"), (p % 20).alias("row"))
     sides = F.explode(F.array(F.struct(F.lit("ref").alias("side"), F.lit(0).alias("s")), F.struct(F.lit("cand").alias("side"), F.lit(1).alias("s"))))
     both = part.select("*", sides.alias("o"))
-    quantity = F.col("p_size") + F.when((F.col("o.s") == 1) & (p % 17 == 0), 1).otherwise(0)
-    cells = F.array(*(F.struct(t.cast("string").alias("text"), F.lit(float(x)).alias("x")) for t, x in ((p, 60), (quantity, 160), (F.col("kind"), 300))))
-    body = both.select("page", F.col("o.side").alias("side"), F.col("o.s").alias("s"), (F.col("row") + 1).alias("r"), F.posexplode(cells).alias("c", "cell"))
-    heads = F.array(*(F.struct(F.lit(t).alias("text"), F.lit(float(x)).alias("x")) for t, x in (("ITEM", 60), ("QTY", 160), ("DESCRIPTION", 300))))
-    head = both.select("page", F.col("o.side").alias("side"), F.col("o.s").alias("s")).distinct().select("*", F.lit(0).cast("long").alias("r"), F.posexplode(heads).alias("c", "cell"))
+    quantity = F.col("p_size") + F.when(cand & (p % 17 == 0), 1).otherwise(0)
+    cells = F.array(*(F.struct(t.cast("string").alias("text"), F.lit(float(x)).alias("x")) for t, x in ((p, 60), (quantity, 160), (F.when(~(cand & (p % 19 == 0)), F.col("kind")), 300))))
+    body = both.where(~(cand & (F.col("row") == 19) & (F.col("page") % 3 == 0))).select("page", F.col("o.side").alias("side"), F.col("o.s").alias("s"), (F.col("row") + 1).alias("r"), F.posexplode(cells).alias("c", "cell")).where("cell.text is not null")
+    plural = F.when(cand & (F.col("page") % 4 == 0), "DESCRIPTIONS").otherwise("DESCRIPTION")
+    heads = F.array(*(F.struct(t.alias("text"), F.lit(float(x)).alias("x")) for t, x in ((F.lit("ITEM"), 60), (F.lit("QTY"), 160), (plural, 300))))
+    head = both.select("page", "o").distinct().select("page", F.col("o.side").alias("side"), F.col("o.s").alias("s"), F.lit(0).cast("long").alias("r"), F.posexplode(heads).alias("c", "cell"))
     every = head.unionAll(body)
     x, y, t = F.col("cell.x") + 6 * F.col("s"), (100 + 20 * F.col("r") + 4 * F.col("s")).cast("double"), F.col("cell.text")
-    return every.select(F.lit(PAIR).alias("pair_id"), "page", "side", (3 * F.col("r") + F.col("c")).cast("int").alias("word_idx"), t.alias("text"), x.alias("x0"), y.alias("y0"), (x + 6 * F.length(t)).alias("x1"), (y + 10).alias("y1"))
+    return every.select(pair_of(F.col("page")), "page", "side", (3 * F.col("r") + F.col("c")).cast("int").alias("word_idx"), t.alias("text"), x.alias("x0"), y.alias("y0"), (x + 6 * F.length(t)).alias("x1"), (y + 10).alias("y1"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
