@@ -14,3 +14,14 @@ def test_states_and_batches(spark, tmp_path):
     q = jobs.run_pairs(events, lambda b: b.select("job_id"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_ended_jobs_leave_the_store_after_their_time(spark, tmp_path):
+    at = lambda h, m: dt.datetime(2026, 1, 1, h, m)
+    for rows in ([(1, "queued", at(0, 0)), (1, "completed", at(0, 1)), (2, "running", at(0, 2))], [(3, "queued", at(3, 0)), (1, "queued", at(0, 0))], [(4, "queued", at(3, 1))]):
+        spark.createDataFrame(rows, jobs.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = jobs.job_events(spark, str(tmp_path / "in"), files_per_batch=1)
+    q = jobs.stored(events, ttl_seconds=600).writeStream.outputMode("append").format("memory").queryName("store").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r["job_id"], r["status"], r["gone"]) for r in spark.table("store").collect()}
+    assert got == {(1, "completed", False), (1, "completed", True), (2, "running", False), (3, "queued", False), (4, "queued", False)}
