@@ -8,6 +8,7 @@ from .linededup import ORACLE as LINES
 from .linededup import op7_line_dedup
 from .mixing import op2_mixing
 from .vectors import op10_top_k
+from .warc import ORACLE as ARCHIVES
 from .warc import op9_warc
 from .quality import op6_classifier
 from .substrings import op3_substrings
@@ -28,6 +29,7 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": LINES,
+    "op9_warc": ARCHIVES,
     "op10_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings

@@ -236,4 +236,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         return tables.kept(read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "pages-told")
 
 
-__all__ = ["digest", "framed", "marked", "op9_warc", "parsed", "read_archives", "records", "unframed", "write_archives"]
+_BITS = "".join(f"{k:04b}" for k in range(16))
+ORACLE = f"""
+    WITH told AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+    bits AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda k: substr('{_BITS}', 4 * instr('0123456789abcdef', hex[k]) - 3, 4)), 'string_agg', '') AS b FROM told),
+    named AS (
+        SELECT page_id, payload_bytes, hex, list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(0, 5), lambda j: CAST(b[5 * k + j + 1] AS INTEGER) * (1 << (4 - j)))) AS BIGINT), 1)), 'string_agg', '') AS payload_digest
+        FROM bits),
+    greatest_ AS (SELECT hex, max(page_id) AS top FROM named GROUP BY hex),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id, hex) AS r FROM named)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NULL OR (page_id = top AND r = 1) THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT (page_id IS NULL OR (page_id = top AND r = 1)) THEN top END AS refers_to
+    FROM ranked JOIN greatest_ USING (hex)"""
+
+__all__ = ["ORACLE", "digest", "framed", "marked", "op9_warc", "parsed", "read_archives", "records", "unframed", "write_archives"]
