@@ -139,8 +139,10 @@ def _across(lists: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     totals = parts.groupBy("post").agg(F.sum("own").alias("large"), F.sum("small").alias("rest")).withColumn("chunks", F.col("large") + F.ceil(F.col("rest") / CHUNK))
     dealt = lists.join(parts.drop("small"), ["post", "component"]).join(totals, "post")
     chunk = F.when(F.col("own") > 0, F.col("base") + F.pmod(F.xxhash64("id"), F.greatest("own", F.lit(1)))).otherwise(F.col("large") + F.floor(F.col("place") / CHUNK)).cast("int")
-    mine = (F.col("other") >= F.col("base")) & (F.col("other") < F.col("base") + F.col("own"))
-    met = dealt.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1))).where((F.col("own") == 0) | ~mine)
+    # A set is sent once for each chunk that it meets: not for the chunks of its own component, so sets of the main component go to the few chunks of the others only.
+    every = F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)
+    others = F.filter(every, lambda c: (c < F.col("base")) | (c >= F.col("base") + F.col("own")))
+    met = dealt.withColumn("chunk", chunk).withColumn("other", F.explode(others))
     return _compared(met.select("post", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "component").join(sets, "id"), similarity)
 
 

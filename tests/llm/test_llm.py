@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sheetwise.llm import bpe, components, hmm, linededup, mixing, neartext, quality, rules, simhash, substrings, vectors, warc
+from sheetwise.llm import bpe, components, hmm, linededup, mixing, neartext, quality, rules, setjoin, simhash, substrings, vectors, warc
 from sheetwise.llm.common import Words, fresh_path, let, word_array
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -421,11 +421,12 @@ def near_labels(rows):
     return dict(enumerate(label)), pairs
 
 
-@pytest.mark.parametrize("light, chunk", [(10, 512), (4, 16)])
-def test_near_texts_of_stars_and_chains(spark, monkeypatch, light, chunk):
+@pytest.mark.parametrize("light, chunk, few", [(10, 512, 16), (4, 16, 1), (4, 16, 1000)])
+def test_near_texts_of_stars_and_chains(spark, monkeypatch, light, chunk, few):
     """Copies that are similar to their original only, and texts that are similar to the next one only."""
-    monkeypatch.setattr(neartext, "LIGHT", light)
-    monkeypatch.setattr(neartext, "CHUNK", chunk)
+    monkeypatch.setattr(setjoin, "LIGHT", light)
+    monkeypatch.setattr(setjoin, "CHUNK", chunk)
+    monkeypatch.setattr(setjoin, "FEW", few)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
     original = [word() for _ in range(100)]
