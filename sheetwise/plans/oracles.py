@@ -118,9 +118,9 @@ collisions AS (
 
 FINDINGS = f"""
 findings AS (
-    SELECT page, 'missing_text' AS class, 0.5 AS confidence, {zone('cx', 'cy', 'r.page')} AS zone, text AS ref_text, CAST(NULL AS VARCHAR) AS cand_text, x0, y0, x1, y1, cx, cy FROM free_ref r
-    UNION ALL SELECT * FROM (SELECT page, 'added_text', 1.0, {zone('cx', 'cy', 'r.page')} AS zone, NULL, text, x0, y0, x1, y1, cx, cy FROM free_cand r WHERE length(trim(text)) > 1 AND NOT (cx < 48 OR cx > 752 OR cy < 36 OR cy > 564)) WHERE zone IS DISTINCT FROM 'title-block'
-    UNION ALL SELECT page, 'text_overlap', least(1.0, ratio / 0.3), {zone('cx', 'cy', 'r.page')}, NULL, texts, x0, y0, x1, y1, cx, cy FROM collisions r)"""
+    SELECT page, 'missing_text' AS class, CAST(0.5 AS DOUBLE) AS confidence, {zone('cx', 'cy', 'r.page')} AS zone, text AS ref_text, CAST(NULL AS VARCHAR) AS cand_text, x0, y0, x1, y1, cx, cy FROM free_ref r
+    UNION ALL SELECT * FROM (SELECT page, 'added_text', CAST(1 AS DOUBLE), {zone('cx', 'cy', 'r.page')} AS zone, NULL, text, x0, y0, x1, y1, cx, cy FROM free_cand r WHERE length(trim(text)) > 1 AND NOT (cx < 48 OR cx > 752 OR cy < 36 OR cy > 564)) WHERE zone IS DISTINCT FROM 'title-block'
+    UNION ALL SELECT page, 'text_overlap', least(CAST(1 AS DOUBLE), CAST(ratio AS DOUBLE) / CAST(0.3 AS DOUBLE)), {zone('cx', 'cy', 'r.page')}, NULL, texts, x0, y0, x1, y1, cx, cy FROM collisions r)"""
 
 TEMPLATES = {
     "missing_text": ("high", "Missing text, zone {z}.", "Compare both pages at zone {z}.", "Text ''{r}'' missing in candidate"),

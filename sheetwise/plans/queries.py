@@ -9,6 +9,7 @@ from ..config import Config, Settings
 from ..functions import geometry as g
 from ..functions.text import edit_distance
 from ..operators import clusters, defects, jobs, matching, raster, registration, report, tables, zones
+from ..session import settled
 from ..sources import fixtures, records
 from . import compare as plan
 
@@ -18,12 +19,14 @@ BOX = ["x0", "y0", "x1", "y1"]
 
 
 class Pages:
-    """The derived runs with their norms, page sizes and zone grids."""
+    """The derived runs with their norms, page sizes and zone grids. settle: derived once, for queries that read them many times."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, settle: bool = False):
         ref, cand = fixtures.runs(spark, sf_dir)
         self.ref, self.cand = plan.prepared(ref, CONFIG), plan.prepared(cand, CONFIG)
-        self.sizes = fixtures.page_sizes(ref)
+        if settle:
+            self.ref, self.cand = settled(self.ref), settled(self.cand)
+        self.sizes = fixtures.page_sizes(self.ref if settle else ref)
 
     @property
     def labels(self) -> DataFrame:
@@ -137,7 +140,7 @@ def _unpaired(p: Pages) -> tuple[DataFrame, DataFrame]:
 
 
 def unmatched_runs(spark: SparkSession, d: str) -> DataFrame:
-    ref, cand = _unpaired(Pages(spark, d))
+    ref, cand = _unpaired(Pages(spark, d, settle=True))
     return ref.select(F.lit("ref").alias("side"), *KEYS, "run_idx", "text").unionAll(cand.select(F.lit("cand").alias("side"), *KEYS, "run_idx", "text"))
 
 
@@ -199,7 +202,7 @@ def missing_zones(spark: SparkSession, d: str) -> DataFrame:
 
 def missing_groups(spark: SparkSession, d: str) -> DataFrame:
     """Runs that exact matching leaves, in groups by source block."""
-    p = Pages(spark, d)
+    p = Pages(spark, d, settle=True)
     left, _ = _unpaired(p)
     blocks = p.ref.select(*KEYS, "run_idx", F.min("run_idx").over(Window.partitionBy(*KEYS, "block")).alias("cluster"))
     return _rounded(defects.missing_groups(left, blocks, matching.least_costs(_costs(p)), CONFIG), "confidence", digits=6)
@@ -260,24 +263,24 @@ def _findings(p: Pages) -> DataFrame:
 
 
 def _slice(spark: SparkSession, d: str) -> tuple[Pages, DataFrame]:
-    p = Pages(spark, d)
+    p = Pages(spark, d, settle=True)
     return p, defects.records(defects.without_border(_findings(p)), CONFIG)
 
 
 def added_text(spark: SparkSession, d: str) -> DataFrame:
-    p = Pages(spark, d)
+    p = Pages(spark, d, settle=True)
     return defects.added(_unpaired(p)[1], p.grids, CONFIG).select(*KEYS, "zone", "cand_text", *(F.get("cand_box", F.lit(k)).alias(c) for k, c in enumerate(BOX)))
 
 
 def defect_filters(spark: SparkSession, d: str) -> DataFrame:
-    p = Pages(spark, d)
+    p = Pages(spark, d, settle=True)
     _, boxes = tables.grid(fixtures.words(spark, d), CONFIG)
     kept = defects.without_tables(defects.without_border(_findings(p)), boxes.where("side = 'cand'"))
     return kept.groupBy(*KEYS, "class").agg(F.count("*").alias("n"))
 
 
 def ignore_regions(spark: SparkSession, d: str) -> DataFrame:
-    p = Pages(spark, d)
+    p = Pages(spark, d, settle=True)
     config = Config(ignore_regions=[[100.0, 100.0, 300.0, 250.0], [500.0, 300.0, 560.0, 420.0]])
     return defects.without_regions(_findings(p), config).groupBy(*KEYS, "class").agg(F.count("*").alias("n"))
 
