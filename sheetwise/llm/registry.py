@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .collocations import ORACLE as PHRASES
+from .collocations import op13_collocations
 from .hmm import op4_hmm
+from .infill import ORACLE as INFILL
+from .infill import op12_infill
 from .linededup import ORACLE as LINES
 from .linededup import op7_line_dedup
 from .mixing import op2_mixing
@@ -14,6 +18,7 @@ from .quality import op6_classifier
 from .substrings import op3_substrings
 from .rules import op5_rules
 from .simhash import op8_simhash
+from .tokendfa import op11_token_automaton
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -26,10 +31,15 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
     "op10_top_k": op10_top_k,
+    "op11_token_automaton": op11_token_automaton,
+    "op12_infill": op12_infill,
+    "op13_collocations": op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": LINES,
     "op9_warc": ARCHIVES,
+    "op12_infill": INFILL,
+    "op13_collocations": PHRASES,
     "op10_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
