@@ -30,7 +30,7 @@ _SEPARATES, _BLANK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _SEPARATES[list(SEPARATORS)] = True
 _BLANK[list(BLANKS)] = True
 #: Bytes of text in one shard, at most (one longer text is a shard of its own).
-SHARD = 6 << 20
+SHARD = 2 << 20
 #: Parts that frequent words and the best rows of a language are dealt to.
 SALTS = 32
 #: A part is hot if it is one in so many of all words, or more.
