@@ -98,3 +98,17 @@ def close_boxes(boxes: DataFrame, keys: Sequence[str], names: Sequence[str], rea
     a, b = (placed.select(*keys, "_i", "_j", *(F.col(c).alias(f"{p}_{c}") for c in names), F.col("_x").alias(f"_{p}x"), F.col("_y").alias(f"_{p}y")) for p in ("a", "b"))
     met = a.join(b, [*keys, "_i", "_j"]).where(F.col("a_run_idx") < F.col("b_run_idx"))
     return met.where((F.floor(F.greatest("_ax", "_bx") / size) == F.col("_i")) & (F.floor(F.greatest("_ay", "_by") / size) == F.col("_j"))).drop("_i", "_j", "_ax", "_ay", "_bx", "_by")
+
+
+def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], size: float = 64.0) -> DataFrame:
+    """Pairs of rows of a and b of equal keys whose boxes (a_x0 to a_y1, b_x0 to b_y1) share some area, each pair once; they meet square by square, as in close_boxes."""
+
+    def placed(df: DataFrame, p: str) -> DataFrame:
+        spans = [_span(F.col(f"{p}_{c}0"), F.col(f"{p}_{c}1"), size) for c in "xy"]
+        return df.select("*", F.explode(spans[0]).alias("_i"), spans[1].alias("_js")).select("*", F.explode("_js").alias("_j")).drop("_js")
+
+    low = {c: F.greatest(f"a_{c}0", f"b_{c}0") for c in "xy"}
+    share = (low["x"] < F.least("a_x1", "b_x1")) & (low["y"] < F.least("a_y1", "b_y1"))
+    sound = lambda df, p: df.where((F.col(f"{p}_x0") <= F.col(f"{p}_x1")) & (F.col(f"{p}_y0") <= F.col(f"{p}_y1")))
+    met = placed(sound(a, "a"), "a").join(placed(sound(b, "b"), "b"), [*keys, "_i", "_j"])
+    return met.where(share & (F.floor(low["x"] / size) == F.col("_i")) & (F.floor(low["y"] / size) == F.col("_j"))).drop("_i", "_j")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import geometry as g
 from ..functions.text import normalized
-from ..operators import clusters, defects, matching, raster, registration, report, tables, zones
+from ..operators import clusters, defects, lattice, matching, raster, registration, report, tables, visual, zones
 from ..session import settled as keep
 
 KEYS = ["pair_id", "page"]
@@ -19,7 +19,10 @@ KEYS = ["pair_id", "page"]
 
 @dataclass
 class Inputs:
-    """ref and cand: run_idx, block, line, text, box, and optionally dir_x, dir_y; pages: width, height of candidate pages; the rest is optional. ref_pages: width, height of reference pages, where they aren't the same."""
+    """ref and cand: run_idx, block, line, text, box, and optionally dir_x, dir_y; pages: width, height of candidate pages; the rest is optional. ref_pages: width, height of reference pages, where they aren't the same.
+
+    rulings: side, ax, ay, bx, by of drawn lines of both sides, for tables without header words (with words). tiles: side, ti, tj, width, height, pixels of rendered pages in squares of ``tile`` pixels, at config.render_dpi; without them pages aren't
+    compared by their looks."""
 
     ref: DataFrame
     cand: DataFrame
@@ -29,6 +32,9 @@ class Inputs:
     rasters: DataFrame | None = None
     drawing: DataFrame | None = None
     ref_pages: DataFrame | None = None
+    rulings: DataFrame | None = None
+    tiles: DataFrame | None = None
+    tile: int = 256
 
 
 @dataclass
@@ -116,11 +122,13 @@ def compare(inputs: Inputs, config: Config | None = None) -> Comparison:
         found.append(_misplaced(mapped, cand, matches, grids, config))
     cand_tables = None
     if inputs.words is not None:
-        table_found, cand_tables = _tables(inputs.words, inputs.pages, regs, grids, config)
+        table_found, cand_tables = _tables(inputs.words, inputs.rulings, pages, regs, grids, config)
         found.append(table_found)
     if inputs.drawing is not None:
         found.append(_geometry(cand, inputs.drawing, inputs.pages, cand_tables, grids, config))
     findings = reduce(DataFrame.unionByName, found)
+    if inputs.tiles is not None:
+        findings = visual.merged(keep(findings), _looks(inputs, cand_tables, pages, regs, config), cand, _on_candidate(ref, regs), grids, config)
     findings = keep(findings.unionByName(_zones(ref, cand, findings, regs, grids, config)))
     kept = defects.without_border(findings)
     if cand_tables is not None and not config.report_table_cells:
@@ -191,10 +199,36 @@ def _zones(ref: DataFrame, cand: DataFrame, findings: DataFrame, regs: DataFrame
     return rest.select(*defects.finding("missing_annotation", 0.9, zone=F.col("zone"), ref_text=F.col("message"), ref_box=defects.box_array(g.box()), cand_box=F.array(*(f"e{k}" for k in range(4)))))
 
 
-def _tables(words: DataFrame, pages: DataFrame, regs: DataFrame, grids: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(findings, candidate tables): missing tables, and cells that differ."""
+def _on_candidate(ref: DataFrame, regs: DataFrame) -> DataFrame:
+    """(keys, box) of reference runs on the candidate's page."""
+    routed = registration.with_map(ref.select(*KEYS, "x0", "y0", "x1", "y1"), regs, *g.center(g.box()))
+    return routed.select(*KEYS, *(b.alias(c) for b, c in zip(g.mapped_box(g.box(), [F.col(c) for c in g.MATRIX]), ("x0", "y0", "x1", "y1"), strict=True)))
+
+
+def _looks(inputs: Inputs, cand_tables: DataFrame | None, pages: DataFrame, regs: DataFrame, config: Config) -> DataFrame:
+    """Differences of the rendered pages, outside candidate tables. Tables are boxes of the candidate, which the inverse of a page's first map leads to the reference."""
+    zoom, maps = config.render_dpi / 72.0, visual.maps_of(regs)
+    tiles_ = inputs.tiles.join(pages.select(*KEYS), KEYS, "left_semi")
+    ref = tiles_.where("side = 'ref'")
+    sizes = ref.groupBy(*KEYS).agg(F.sum(F.when(F.col("ti") == 0, F.col("width"))).cast("int").alias("width"), F.sum(F.when(F.col("tj") == 0, F.col("height"))).cast("int").alias("height"))
+    masks = visual.masks(tiles_, maps, inputs.tile, zoom)
+    if cand_tables is not None:
+        a, b, c, d = (F.col(m) for m in ("m00", "m01", "m10", "m11"))
+        det = a * d - b * c
+        back = [d / det, -b / det, (b * F.col("m12") - d * F.col("m02")) / det, -c / det, a / det, (c * F.col("m02") - a * F.col("m12")) / det]
+        first = maps.groupBy(*KEYS).agg(F.min(F.struct("map_id", *g.MATRIX)).alias("m")).select(*KEYS, *(F.col(f"m.{m}").alias(m) for m in g.MATRIX))
+        moved = cand_tables.join(first, KEYS).select(*KEYS, *(v.alias(k) for v, k in zip(g.mapped_box(g.box(), back), ("x0", "y0", "x1", "y1"), strict=True)))
+        masks = visual.without_boxes(masks, moved, inputs.tile, zoom)
+    found = keep(visual.regions(keep(visual.pieces(masks, sizes, inputs.tile)), inputs.tile, config))
+    return visual.visual_differences(found, maps, pages, zoom)
+
+
+def _tables(words: DataFrame, rulings: DataFrame | None, pages: DataFrame, regs: DataFrame, grids: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(findings, candidate tables): missing tables, and cells that differ. Page sides without a table by header words take ruled ones, if rulings are given."""
     cells, boxes = tables.grid(words, config)
-    boxes = tables.usable(boxes, pages)
+    if rulings is not None:
+        sized = pages.select(*KEYS, F.lit("cand").alias("side"), "width", "height").unionByName(pages.select(*KEYS, F.lit("ref").alias("side"), F.col("ref_width").alias("width"), F.col("ref_height").alias("height")))
+        cells, boxes = map(keep, tables.or_else(keep(cells), keep(boxes), *map(keep, lattice.lattice(rulings, words)), sized))
     side = lambda df, s: df.where(F.col("side") == s).drop("side")
     ref_tables, cand_tables = side(boxes, "ref"), side(boxes, "cand")
     expected = _expected(ref_tables, regs, grids, config)

@@ -233,6 +233,52 @@ _rounded = ", ".join(f"round({m}, 4) AS {m}" for m in _M)
 _corners = [(x, y) for x in ("x0", "x1") for y in ("y0", "y1")]
 _xs, _ys = ", ".join(f"m00 * {x} + m01 * {y} + m02" for x, y in _corners), ", ".join(f"m10 * {x} + m11 * {y} + m12" for x, y in _corners)
 
+# Ruled tables: the same pieces, snapped, merged and crossed, in SQL.
+RULED = """
+WITH RECURSIVE c AS (
+    SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment AS m, CAST(c_custkey // 12 + 1 AS INTEGER) AS page, CAST(c_custkey % 12 AS INTEGER) AS r, ((7 * c_custkey) % 3 - 1) * 0.5 AS off FROM customer),
+p AS MATERIALIZED (
+    SELECT *, CASE WHEN r < 8 THEN [500 + 6 * s, 560 + 6 * s, 640 + 6 * s, 780 + 6 * s] ELSE [520 + 6 * s, 600 + 6 * s, 700 + 6 * s] END AS b, CAST(CASE WHEN r < 8 THEN 100 + 20 * r ELSE 160 + 20 * r END + 4 * s AS DOUBLE) AS top
+    FROM c, (VALUES ('ref', 0), ('cand', 1)) o(side, s) WHERE r < 8 OR side = 'ref' OR page % 5 <> 0),
+pieces AS (
+    SELECT page, side, true AS level, CAST(top + y + off AS DOUBLE) AS spot, CAST(CASE h WHEN 0 THEN b[1] ELSE b[2] + 1 END AS DOUBLE) AS low, CAST(CASE h WHEN 0 THEN b[2] - 1 ELSE b[-1] END AS DOUBLE) AS high FROM p, (VALUES (0), (20)) a(y), (VALUES (0), (1)) g(h)
+    UNION ALL SELECT page, side, false, CAST(b[i] + 0.8 * off AS DOUBLE), top, top + 20 FROM p, range(1, 5) t(i) WHERE i <= len(b) AND NOT (i = 3 AND k % 7 = 0 AND r < 8)
+    UNION ALL SELECT page, side, false, CAST(b[2] + 40 AS DOUBLE), top, top + 10 FROM p WHERE k % 5 = 0 AND r < 8),
+snapped AS (
+    SELECT *, sum(new) OVER (PARTITION BY page, side, level ORDER BY spot RANGE UNBOUNDED PRECEDING) AS snap FROM (
+        SELECT *, CASE WHEN spot - lag(spot) OVER (PARTITION BY page, side, level ORDER BY spot) > 3 THEN 1 ELSE 0 END AS new FROM pieces)),
+islands AS (
+    SELECT *, sum(gap) OVER (PARTITION BY page, side, level, snap ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS island FROM (
+        SELECT *, (min(spot) OVER (PARTITION BY page, side, level, snap) + max(spot) OVER (PARTITION BY page, side, level, snap)) / 2 AS pos,
+            CASE WHEN low - max(high) OVER (PARTITION BY page, side, level, snap ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 3 THEN 1 ELSE 0 END AS gap FROM snapped)),
+edges AS MATERIALIZED (SELECT page, side, level, pos, min(low) AS low, max(high) AS high, row_number() OVER (PARTITION BY page, side, level ORDER BY pos, min(low)) AS edge FROM islands GROUP BY page, side, level, snap, pos, island),
+met AS (
+    SELECT h.page, h.side, h.edge AS across, v.edge AS down, v.pos AS x, h.pos AS y FROM edges h JOIN edges v ON h.page = v.page AND h.side = v.side AND h.level AND NOT v.level
+        AND v.pos BETWEEN h.low - 3 AND h.high + 3 AND h.pos BETWEEN v.low - 3 AND v.high + 3),
+crossings AS MATERIALIZED (
+    SELECT *, x < max(x) OVER (PARTITION BY page, side, across) AS goes_right, y < max(y) OVER (PARTITION BY page, side, down) AS goes_down FROM (
+        SELECT *, count(*) OVER (PARTITION BY page, side, across) AS na, count(*) OVER (PARTITION BY page, side, down) AS nd FROM met) WHERE na > 1 AND nd > 1),
+begun AS (
+    SELECT a.*, (SELECT min(x) FROM crossings b WHERE b.page = a.page AND b.side = a.side AND b.across = a.across AND b.x > a.x AND b.goes_down) AS x1,
+        (SELECT min(y) FROM crossings b WHERE b.page = a.page AND b.side = a.side AND b.down = a.down AND b.y > a.y AND b.goes_right) AS y1 FROM crossings a WHERE goes_right AND goes_down),
+cells AS MATERIALIZED (
+    SELECT a.page, a.side, a.x AS x0, a.y AS y0, a.x1, a.y1, row_number() OVER (PARTITION BY a.page, a.side ORDER BY a.y, a.x) AS cell FROM begun a
+    JOIN crossings r ON r.page = a.page AND r.side = a.side AND r.across = a.across AND r.x = a.x1 JOIN crossings b ON b.page = a.page AND b.side = a.side AND b.down = a.down AND b.y = a.y1
+    JOIN crossings c ON c.page = a.page AND c.side = a.side AND c.across = b.across AND c.down = r.down),
+near AS MATERIALIZED (SELECT DISTINCT a.page, a.side, a.cell, b.cell AS other FROM cells a JOIN cells b ON a.page = b.page AND a.side = b.side AND (a.x0 IN (b.x0, b.x1) OR a.x1 IN (b.x0, b.x1)) AND (a.y0 IN (b.y0, b.y1) OR a.y1 IN (b.y0, b.y1))),
+reach(page, side, cell, other) AS (SELECT * FROM near UNION SELECT r.page, r.side, r.cell, n.other FROM reach r JOIN near n ON n.page = r.page AND n.side = r.side AND n.cell = r.other),
+groups_ AS (SELECT page, side, cell, min(other) AS label FROM reach GROUP BY page, side, cell HAVING count(*) > 1),
+named AS (SELECT page, side, label, CAST(row_number() OVER (PARTITION BY page, side ORDER BY min(y0), min(x0)) - 1 AS INTEGER) AS table_id FROM groups_ JOIN cells USING (page, side, cell) GROUP BY page, side, label),
+placed AS MATERIALIZED (
+    SELECT page, side, table_id, cell, x0, y0, x1, y1, CAST(dense_rank() OVER (PARTITION BY page, side, table_id ORDER BY y0) - 1 AS INTEGER) AS row, CAST(dense_rank() OVER (PARTITION BY page, side, table_id ORDER BY x0) - 1 AS INTEGER) AS col
+    FROM groups_ JOIN cells USING (page, side, cell) JOIN named USING (page, side, label)),
+boxes AS MATERIALIZED (SELECT page, side, table_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(row) + 1 AS n_rows, max(col) + 1 AS n_cols FROM placed GROUP BY page, side, table_id),
+spoken AS (
+    SELECT page, side, w.text, w.x, w.x + 2.5 * length(w.text) AS cx, top + 9 AS cy FROM (
+        SELECT page, side, top, unnest(CASE WHEN r < 8 THEN [{'text': CAST(k AS VARCHAR), 'x': b[1] + 4}, {'text': CAST(n + CASE WHEN side = 'cand' AND k % 17 = 0 THEN 1 ELSE 0 END AS VARCHAR), 'x': b[2] + 4}, {'text': m, 'x': b[3] + 4}, {'text': CASE WHEN k % 4 = 0 THEN 'N' || n END, 'x': b[3] + 68}]
+            ELSE [{'text': CAST(k AS VARCHAR), 'x': b[1] + 4}, {'text': m, 'x': b[2] + 4}] END) AS w FROM p) WHERE w.text IS NOT NULL),
+texts AS (SELECT t.page, t.side, t.table_id, t.row, t.col, string_agg(text, ' ' ORDER BY x) AS value FROM placed t JOIN spoken s ON s.page = t.page AND s.side = t.side AND cx >= x0 AND cx < x1 AND cy >= y0 AND cy < y1 GROUP BY ALL)"""
+
 ORACLE_SQL = {
     "normalize_text": f"{RUNS} SELECT 'ref' AS side, {_n}, page, run_idx, norm FROM ref UNION ALL SELECT 'cand', CASE WHEN page % 3 = 0 THEN 'B' ELSE 'A' END, page, run_idx, norm FROM cand",
     "symbol_equivalence": f"{RUNS} SELECT {_pair('a.page')}, a.page, a.block, a.line, a.text AS ref_text, b.text AS cand_text, a.norm = b.norm AS equal FROM ref a JOIN cand b USING (page, block, line) WHERE a.text <> b.text",
@@ -271,6 +317,13 @@ ORACLE_SQL = {
         FROM cells a JOIN heights h ON a.page = h.page LEFT JOIN cells b ON a.page = b.page AND a.row = b.row AND a.col = b.col AND b.side = 'cand' WHERE a.side = 'ref' AND (a.row >= n OR a.value <> coalesce(b.value, ''))""",
     "added_text": f"{SLICE} SELECT {_n}, page, zone, cand_text, x0, y0, x1, y1 FROM findings WHERE class = 'added_text'",
     "ignore_regions": f"{SLICE} SELECT {_n}, page, class, count(*) AS n FROM findings WHERE class = 'missing_text' AND NOT ((cx BETWEEN 100 AND 300 AND cy BETWEEN 100 AND 250) OR (cx BETWEEN 500 AND 560 AND cy BETWEEN 300 AND 420)) OR class <> 'missing_text' AND NOT ((cx BETWEEN 100 AND 300 AND cy BETWEEN 100 AND 250) OR (cx BETWEEN 500 AND 560 AND cy BETWEEN 300 AND 420)) GROUP BY page, class",
+    "table_lattice": f"""{RULED} SELECT {_pair('b.page')}, b.page, b.side, b.table_id, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CAST(c AS VARCHAR) AS header, CASE WHEN t.cell IS NULL THEN 'None' ELSE coalesce(value, '') END AS value
+        FROM boxes b, range(0, 100) i(r), range(0, 100) j(c) LEFT JOIN placed t ON t.page = b.page AND t.side = b.side AND t.table_id = b.table_id AND t.row = r AND t.col = c
+        LEFT JOIN texts x ON x.page = b.page AND x.side = b.side AND x.table_id = b.table_id AND x.row = r AND x.col = c WHERE r < n_rows AND c < n_cols""",
+    "table_fallback": f"""{RULED}, grid AS ({WORDS}{CELLS}, shape AS (SELECT page, side, max(row) + 1 AS n_rows, max(col) + 1 AS n_cols FROM cells GROUP BY page, side)
+            SELECT page, side, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, any_value(n_rows) AS n_rows, any_value(n_cols) AS n_cols FROM kept JOIN shape USING (page, side) GROUP BY page, side)
+        SELECT {_pair('page')}, page, side, 0 AS table_id, x0, y0, x1, y1, n_rows, n_cols FROM grid
+        UNION ALL SELECT {_pair('page')}, page, side, table_id, x0, y0, x1, y1, n_rows, n_cols FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM grid f WHERE f.page = b.page AND f.side = b.side) AND NOT (x1 - x0 > 640 AND y1 - y0 > 480)""",
     "defect_filters": f"""{SLICE}, {WORDS.replace('WITH ', '', 1).strip()}, tables_ AS (SELECT page, min(x0) AS tx0, min(y0) AS ty0, max(x1) AS tx1, max(y1) AS ty1 FROM kept WHERE side = 'cand' GROUP BY page)
         SELECT {_n}, page, class, count(*) AS n FROM findings f WHERE zone IS DISTINCT FROM 'border' AND NOT EXISTS (SELECT 1 FROM tables_ t WHERE t.page = f.page AND cx BETWEEN tx0 AND tx1 AND cy BETWEEN ty0 AND ty1) GROUP BY page, class""",
     "defect_records": f"{SLICE} SELECT {_n}, page, class, severity, round_even(CAST(confidence AS DOUBLE), 3) AS confidence, status, zone, ref_text, cand_text, message, cause, fix FROM records",
@@ -299,6 +352,27 @@ ORACLE_SQL = {
         SELECT * FROM live WHERE status IN ('queued', 'running') UNION ALL SELECT job_id, status, created_at, updated_at FROM ended WHERE rank <= greatest(0, 500 - (SELECT count(*) FROM live WHERE status IN ('queued', 'running')))""",
     "pending_jobs": f"{JOBS} SELECT count(*) FILTER (WHERE status IN ('queued', 'running')) AS pending FROM jobs",
     "mean_abs_diff": f"{GREY} SELECT id, round(list_sum(list_transform(list_zip(a, b), lambda p: abs(p[1] - p[2]))) / 64.0 / 255.0, 9) AS diff FROM p",
+    "text_over_geometry": f"""{RUNS}, o AS (
+            SELECT CAST(o_orderkey // 10 + 1 AS INTEGER) AS page, CAST(60 + (17 * o_orderkey) % 640 AS INTEGER) AS ax, CAST(60 + (29 * o_orderkey) % 460 AS INTEGER) AS ay, CAST(60 + (41 * o_orderkey + 31) % 640 AS INTEGER) AS bx, CAST(60 + (23 * o_orderkey + 11) % 460 AS INTEGER) AS b_y,
+                greatest(1, CAST(o_orderkey % 4 AS INTEGER)) AS pen, o_orderkey % 3 = 0 AS boxed FROM orders),
+        lines_ AS (SELECT page, ax, ay, bx, b_y, pen FROM o UNION ALL SELECT page, ax, ay, bx, ay, pen FROM o WHERE boxed UNION ALL SELECT page, bx, ay, bx, b_y, pen FROM o WHERE boxed UNION ALL SELECT page, bx, b_y, ax, b_y, pen FROM o WHERE boxed UNION ALL SELECT page, ax, b_y, ax, ay, pen FROM o WHERE boxed),
+        turned AS (SELECT page, pen, CASE WHEN ax <= bx THEN ax ELSE bx END AS x, CASE WHEN ax <= bx THEN ay ELSE b_y END AS y, abs(bx - ax) AS dx, abs(b_y - ay) AS dy, CASE WHEN (CASE WHEN ax <= bx THEN b_y - ay ELSE ay - b_y END) < 0 THEN -1 ELSE 1 END AS sy FROM lines_),
+        steps AS (SELECT *, greatest(dx, dy) AS major, least(dx, dy) AS minor, unnest(range(0, greatest(dx, dy) + 1)) AS k FROM turned),
+        dots AS (SELECT page, pen, CASE WHEN dx >= dy THEN x + k ELSE x + m END AS px, CASE WHEN dx >= dy THEN y + sy * m ELSE y + sy * k END AS py FROM (SELECT *, CASE WHEN major = 0 THEN 0 ELSE (2 * minor * k + major - 1) // (2 * major) END AS m FROM steps)),
+        wide AS (SELECT DISTINCT page, px + u AS px, py + v AS py FROM dots, (SELECT unnest([-1, 0, 1]) AS u) a, (SELECT unnest([-1, 0, 1]) AS v) b WHERE u >= -(pen // 2) AND u < pen - pen // 2 AND v >= -(pen // 2) AND v < pen - pen // 2),
+        insets AS (SELECT page, run_idx, CAST(trunc(x0 + least(5.0, (x1 - x0) * 0.3)) AS INTEGER) AS a, CAST(trunc(y0 + least(4.0, (y1 - y0) * 0.3)) AS INTEGER) AS b, CAST(trunc(x1 - least(5.0, (x1 - x0) * 0.3)) AS INTEGER) AS c, CAST(trunc(y1 - least(4.0, (y1 - y0) * 0.3)) AS INTEGER) AS d FROM cand),
+        rows_ AS (SELECT page, run_idx, greatest(0, a) AS a, least(799, c) AS c, unnest(range(greatest(0, b), least(599, d))) AS py FROM insets WHERE c > a AND d > b)
+        SELECT {_pair('r.page')}, r.page, run_idx, CAST(count(*) AS INTEGER) AS pixels FROM rows_ r JOIN wide w ON w.page = r.page AND w.py = r.py AND w.px >= a AND w.px < c GROUP BY r.page, run_idx HAVING count(*) > 3""",
+    "visual_merge": f"""{SLICE}, d AS MATERIALIZED (SELECT *, x0 + 2 + region % 60 AS x1, y0 + 2 + region % 25 AS y1, (region % 100) / CAST(100 AS DOUBLE) AS seen FROM (
+            SELECT CAST(o_orderkey // 10 + 1 AS INTEGER) AS page, o_orderkey AS region, CAST(60 + (19 * o_orderkey) % 640 AS DOUBLE) AS x0, CAST(20 + (31 * o_orderkey) % 560 AS DOUBLE) AS y0 FROM orders)),
+        numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS f FROM findings),
+        near_ AS MATERIALIZED (SELECT f.f, d.page, d.region, d.seen, {overlap(box('f.'), box('d.'))} AS ratio FROM numbered f JOIN d ON f.page = d.page AND f.x0 < d.x1 AND d.x0 < f.x1 AND f.y0 < d.y1 AND d.y0 < f.y1),
+        best AS MATERIALIZED (SELECT * FROM near_ WHERE ratio > 0.05 QUALIFY row_number() OVER (PARTITION BY f ORDER BY ratio DESC, region) = 1),
+        used AS MATERIALIZED (SELECT page, region FROM best UNION SELECT page, region FROM near_ WHERE ratio > 0.1
+            UNION SELECT d.page, region FROM d JOIN (SELECT page, x0, y0, x1, y1 FROM ref UNION ALL SELECT page, x0, y0, x1, y1 FROM cand) r ON r.page = d.page AND r.x0 < d.x1 AND d.x0 < r.x1 AND r.y0 < d.y1 AND d.y0 < r.y1 WHERE {overlap(box('r.'), box('d.'))} > 0.01),
+        free AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM d WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.page = d.page AND u.region = d.region) AND page IN (SELECT page FROM pages_) AND (x1 - x0) * (y1 - y0) >= 40)
+        SELECT {_pair('page')}, page, class, zone, ref_text, cand_text, round(CAST(confidence AS DOUBLE), 6) AS confidence, b.seen AS score, x0, y0, x1, y1 FROM numbered f LEFT JOIN (SELECT f, seen FROM best) b USING (f)
+        UNION ALL SELECT {_pair('page')}, page, 'visual_defect', {zone('cx', 'cy', 'r.page')}, NULL, NULL, round(least(1.0, seen / (2 * 0.12)), 6), seen, x0, y0, x1, y1 FROM free r WHERE NOT (cx < 48 OR cx > 752 OR cy < 36 OR cy > 564)""",
     "nested_runs": f"{RUNS} SELECT {_n}, page, block, line, text, x0, y0, x1, y1 FROM ref",
     "drawing_segments": """WITH o AS (SELECT CAST(o_orderkey // 10 + 1 AS INTEGER) AS page, o_orderkey AS item, CAST(60 + (17 * o_orderkey) % 640 AS DOUBLE) AS ax, CAST(60 + (29 * o_orderkey) % 460 AS DOUBLE) AS ay, CAST(60 + (41 * o_orderkey + 31) % 640 AS DOUBLE) AS bx, CAST(60 + (23 * o_orderkey + 11) % 460 AS DOUBLE) AS b_y FROM orders)
         SELECT CASE WHEN page % 3 = 0 THEN 'B' ELSE 'A' END AS pair_id, page, item, 'l' AS kind, 0 AS edge, ax, ay, bx, b_y AS "by" FROM o

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config, Settings
 from ..functions import geometry as g
 from ..functions.text import edit_distance
-from ..operators import clusters, defects, jobs, matching, raster, registration, report, tables, zones
+from ..operators import clusters, defects, jobs, lattice, matching, raster, registration, report, tables, visual, zones
 from ..session import settled
 from ..sources import fixtures, records
 from . import compare as plan
@@ -252,6 +252,20 @@ def table_cell_diff(spark: SparkSession, d: str) -> DataFrame:
     return tables.cell_differences(ref_cells, cand_cells, tables.matched_columns(ref_cells, cand_cells, pairs, CONFIG), CONFIG)
 
 
+def table_lattice(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of ruled tables."""
+    return lattice.lattice(*fixtures.ruled(spark, d))[0]
+
+
+def table_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of each page side: by header words, or else by rulings."""
+    rulings, ruled = fixtures.ruled(spark, d)
+    words = fixtures.words(spark, d)
+    sizes = ruled.select(*KEYS).distinct().select(*KEYS, F.lit(fixtures.WIDTH).alias("width"), F.lit(fixtures.HEIGHT).alias("height"))
+    boxes = tables.or_else(*tables.grid(words, CONFIG), *lattice.lattice(rulings, ruled), sizes)[1]
+    return boxes.select(*tables.SIDE, "table_id", *BOX, "n_rows", "n_cols")
+
+
 def _findings(p: Pages) -> DataFrame:
     """Findings of the smallest slice: what exact matching leaves, on both sides, and overlaps."""
     ref, cand = _unpaired(p)
@@ -379,11 +393,27 @@ def ssim_score(spark: SparkSession, d: str) -> DataFrame:
 
 def text_over_geometry(spark: SparkSession, d: str) -> DataFrame:
     p = Pages(spark, d)
-    s = fixtures.segments(spark, d)
-    items = s.select(*KEYS, F.lit("l").alias("kind"), F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))).alias("pts"), F.lit(1.0).alias("width"))
+    items = records.drawings(fixtures.segments(spark, d)).withColumn("width", (F.col("item") % 4).cast("double"))
     return raster.over_geometry(p.cand, items, p.sizes)
 
 
+def visual_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Regions in which tiled pages differ, over pages of up to 64 tiles."""
+    cells = fixtures.page_tiles(spark, d)
+    sizes = cells.where("side = 'ref'").groupBy(*KEYS).agg((F.max("tj") * 8 + 8).alias("width"), (F.max("ti") * 8 + 8).alias("height"))
+    scale = g.scale_map(*(F.lit(1.0) for _ in range(4)))
+    maps = sizes.select(*KEYS, F.lit(0).alias("map_id"), *(scale[c].alias(c) for c in g.MATRIX), *(F.lit(None).cast("double").alias(c) for c in BOX))
+    parts = settled(visual.pieces(visual.masks(cells, maps, 8, 1.0), sizes, 8))
+    return visual.regions(parts, 8, Config(cv_min_contour_area=4.0)).drop("region")
+
+
+def visual_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Visual differences and findings: scores taken over, and what is left over."""
+    p = Pages(spark, d, settle=True)
+    out = visual.merged(settled(_findings(p)), fixtures.visual_boxes(spark, d), p.cand, p.ref, p.grids, CONFIG)
+    return out.select(*KEYS, "class", "zone", "ref_text", "cand_text", F.round("confidence", 6).alias("confidence"), "score", *(F.get("cand_box", F.lit(k)).alias(c) for k, c in enumerate(BOX)))
+
+
 def nested_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs put into nested page documents and scanned out of them again."""
     return records.runs(records.nested(Pages(spark, d).ref)).select(*KEYS, "block", "line", "text", *BOX)
@@ -440,8 +470,8 @@ QUERIES = {
     for f in (
         normalize_text, symbol_equivalence, edit_distance_norm, bbox_centers, overlap_ratio, anchors, affine_fit, map_bbox, scale_fallback, zone_labels, zone_assign, match_cost_stats, min_ref_cost, assignment,
         residual_exact, unmatched_runs, residual_split, residual_fuzzy, text_overlap, stack_edges, leader_edges, annotation_clusters, dbscan_zones, zone_signature, missing_zones_exact, missing_zones, missing_groups,
-        view_models, routed_points, bom_rows, bom_cells, table_match, table_columns, table_cell_diff, added_text, defect_filters, ignore_regions, defect_records, defect_ids, audit_categories, category_matrix,
+        view_models, routed_points, bom_rows, bom_cells, table_match, table_columns, table_cell_diff, table_lattice, table_fallback, added_text, defect_filters, ignore_regions, defect_records, defect_ids, audit_categories, category_matrix,
         page_quality_score, pair_quality_score, page_summaries, counts_by_class, counts_by_status, severity_counts, pair_summary, box_layer, file_pairing, unmatched_files, upload_totals, job_ttl_eviction, pending_jobs,
-        mean_abs_diff, ssim_score, text_over_geometry, nested_runs, drawing_segments, page_sizes, pair_pages, page_errors, pair_errors, scoreboard, page_states, compare_pages,
+        mean_abs_diff, ssim_score, text_over_geometry, visual_regions, visual_merge, nested_runs, drawing_segments, page_sizes, pair_pages, page_errors, pair_errors, scoreboard, page_states, compare_pages,
     )
 }

@@ -117,6 +117,56 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select(pair_of(F.col("page")), "page", "side", (3 * F.col("r") + F.col("c")).cast("int").alias("word_idx"), t.alias("text"), x.alias("x0"), y.alias("y0"), (x + 6 * F.length(t)).alias("x1"), (y + 10).alias("y1"))
 
 
+def ruled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(rulings, words) of two ruled tables without header words on each page, twelve customers to a page, on both sides: rulings are pair_id, page, side, ax, ay, bx, by.
+
+    Rulings come in pieces that nearly touch, a little off their places. In every seventh row of the first table two cells are one, every fifth has a stroke that ends within a cell; every fifth candidate page
+    lacks the second table, every 17th candidate customer has another number."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("k"), F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("m"), (F.floor(k / 12) + 1).cast("int").alias("page"), (k % 12).cast("int").alias("r"))
+    sides = F.explode(F.array(F.struct(F.lit("ref").alias("side"), F.lit(0).alias("s")), F.struct(F.lit("cand").alias("side"), F.lit(1).alias("s"))))
+    rows = rows.select("*", sides.alias("o")).select("*", "o.side", (6.0 * F.col("o.s")).alias("sx"), (4.0 * F.col("o.s")).alias("sy")).where("r < 8 or side = 'ref' or page % 5 <> 0")
+    first = F.col("r") < 8
+    bounds = F.when(first, F.array(*(F.lit(float(x)) for x in (500, 560, 640, 780)))).otherwise(F.array(*(F.lit(float(x)) for x in (520, 600, 700))))
+    top = F.when(first, 100.0 + 20 * F.col("r")).otherwise(320.0 + 20 * (F.col("r") - 8)) + F.col("sy")
+    off = ((7 * F.col("k")) % 3 - 1) * 0.5
+    rows = rows.select("*", F.transform(bounds, lambda x: x + F.col("sx")).alias("b"), top.alias("top"), off.alias("off"), (off * 0.8).alias("aside"))
+    line = lambda a, b, c, d: F.struct(a.alias("ax"), b.alias("ay"), c.alias("bx"), d.alias("by"))
+    left, middle, right = F.get("b", F.lit(0)), F.get("b", F.lit(1)), F.element_at("b", -1)
+    level = [line(x, y + F.col("off"), u, y + F.col("off")) for y in (F.col("top"), F.col("top") + 20) for x, u in ((left, middle - 1), (middle + 1, right))]
+    split = lambda x, i: ~((i == 2) & (F.col("k") % 7 == 0) & (F.col("r") < 8))
+    upright = F.transform(F.filter("b", split), lambda x: line(x + F.col("aside"), F.col("top"), x + F.col("aside"), F.col("top") + 20))
+    stroke = F.when((F.col("k") % 5 == 0) & (F.col("r") < 8), line(middle + 40, F.col("top"), middle + 40, F.col("top") + 10))
+    slant = F.when(F.col("k") % 4 == 0, line(left, F.col("top"), right, F.col("top") + 20))
+    rulings = rows.select(pair_of(F.col("page")), "page", "side", F.explode(F.array_compact(F.concat(F.array(*level), upright, F.array(stroke, slant)))).alias("l")).select(*KEYS, "side", "l.*")
+    word = lambda t, x: F.struct(t.cast("string").alias("text"), x.alias("x"))
+    at = lambda c: F.get("b", F.lit(c)) + 4
+    changed = F.col("n") + F.when((F.col("side") == "cand") & (F.col("k") % 17 == 0), 1).otherwise(0)
+    texts = F.when(first, F.array(word(F.col("k"), at(0)), word(changed, at(1)), word(F.col("m"), at(2)), F.when(F.col("k") % 4 == 0, word(F.concat(F.lit("N"), F.col("n").cast("string")), at(2) + 64)))).otherwise(F.array(word(F.col("k"), at(0)), word(F.col("m"), at(1))))
+    words_ = rows.select(pair_of(F.col("page")), "page", "side", "r", "top", F.posexplode(texts).alias("c", "w")).where("w is not null")
+    x, y = F.col("w.x"), F.col("top") + 5
+    return rulings, words_.select(*KEYS, "side", (10 * F.col("r") + F.col("c")).alias("word_idx"), F.col("w.text").alias("text"), x.alias("x0"), y.alias("y0"), (x + 5 * F.length("w.text")).alias("x1"), (y + 8).alias("y1"))
+
+
+def visual_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of visual differences from orders: pair_id, page, region, score, r0 to r3 and c0 to c3 (the same)."""
+    o = F.col("o_orderkey")
+    x, y = (60 + (19 * o) % 640).cast("double"), (20 + (31 * o) % 560).cast("double")
+    box = [x, y, x + 2 + o % 60, y + 2 + o % 25]
+    page = (F.floor(o / 10) + 1).cast("int")
+    return table(spark, sf_dir, "orders").select(pair_of(page), page.alias("page"), o.alias("region"), ((o % 100) / 100.0).alias("score"), *(b.alias(f"{p}{k}") for p in "rc" for k, b in enumerate(box)))
+
+
+def page_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of up to 64 tiles of 8 x 8 grey pixels from embeddings, and changed candidates: pair_id, page, side, ti, tj, width, height, pixels. Three of six neighbouring tiles have a band of other pixels."""
+    e = rasters(spark, sf_dir).select(F.floor(F.col("id") / 64).cast("int").alias("page"), (F.col("id") % 64).cast("int").alias("k"), "id", "a")
+    band = lambda v, i: F.when((F.floor(F.col("id") / 3) % 2 == 0) & (i >= 16) & (i < 40 + 8 * (F.col("id") % 3)), (v + 100) % 256).otherwise(v)
+    sides = F.explode(F.array(F.struct(F.lit("ref").alias("side"), F.col("a").alias("v")), F.struct(F.lit("cand").alias("side"), F.transform("a", band).alias("v"))))
+    rows = e.select(pair_of(F.col("page")), "page", "k", sides.alias("o"))
+    hexed = F.array_join(F.transform("o.v", lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    return rows.select(*KEYS, "o.side", F.floor(F.col("k") / 8).cast("int").alias("ti"), (F.col("k") % 8).alias("tj"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(hexed).alias("pixels"))
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs from events: job_id, status, created_at, updated_at (seconds)."""
     kind = F.pmod(F.col("event_id"), F.lit(4))

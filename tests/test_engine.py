@@ -156,8 +156,6 @@ def test_rasters():
             total.append((2 * p.mean() * q.mean() + 1e-4) * (2 * v[0, 1] + 9e-4) / ((p.mean() ** 2 + q.mean() ** 2 + 1e-4) * (v[0, 0] + v[1, 1] + 9e-4)))
     assert math.isclose(raster.similarity(x, y, 7), np.mean(total), rel_tol=1e-6)
     assert raster.clip(a, (15.0, 12.0), (20.0, 20.0, 30.0, 30.0), 0.0).shape == (2, 2)
-    canvas = raster.drawn([("l", [(1.0, 1.0), (8.0, 1.0)], None), ("re", [(2.0, 3.0), (6.0, 7.0)], 1.0)], 10, 10)
-    assert (canvas == 0).sum() == 8 + 16
 
 
 def test_sources(spark):
