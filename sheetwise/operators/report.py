@@ -157,12 +157,7 @@ def report_json(numbered_: DataFrame, scores: DataFrame, told: DataFrame | None
 
     meta = F.struct(*head, "quality_score", F.coalesce(F.size("defects"), F.lit(0)).alias("total_defects"), counts("_class", CLASS_ORDER).alias("counts_by_class"), counts("_status", ["defect", "review"]).alias("counts_by_status"))
     plain = F.transform("defects", lambda d: F.struct(*(d[c].alias(c) for c in fields)))
-    return both.select("pair_id", F.to_json(F.struct(meta.alias("meta"), plain.alias("defects"))).alias("json"))
-
-
-def write_reports(reports: DataFrame, path: str) -> None:
-    """One folder of JSON lines for each pair."""
-    reports.write.mode("overwrite").partitionBy("pair_id").text(path)
+    return both.select("pair_id", F.to_json(F.struct(meta.alias("meta"), F.coalesce(plain, F.array()).alias("defects")), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def box_layer(records: DataFrame) -> DataFrame:

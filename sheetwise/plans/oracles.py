@@ -309,6 +309,10 @@ ORACLE_SQL = {
             round(least(1.0, min(coalesce(cost, 60)) / 120), 6) AS confidence FROM free_ref r JOIN blocks b ON r.page = b.page AND r.block = b.block LEFT JOIN cheap c ON c.page = r.page AND c.ref_idx = r.run_idx GROUP BY r.page, cluster""",
     "bom_rows": f"{WORDS} SELECT pair_id, page, side, word_idx, text, row_no FROM dense",
     "bom_cells": f"{WORDS}{CELLS} SELECT * FROM cells",
+    "bom_scan": f"{WORDS}{CELLS} SELECT * FROM cells",
+    "words_scan": f"""{RUNS}, split AS (SELECT page, block, line, x0, y0, y1, string_split(text, ' ') AS w FROM ref),
+        spread AS (SELECT page, block, line, x0, y0, y1, w, unnest(range(1, len(w) + 1)) AS i FROM split)
+        SELECT {_n}, page, block, line, CAST(i - 1 AS INTEGER) AS word, w[i] AS text, x0 + 6 * (i - 1 + coalesce(length(array_to_string(w[1:i - 1], '')), 0)) AS x0, y0, x0 + 6 * (i - 1 + length(array_to_string(w[1:i], ''))) AS x1, y1 FROM spread""",
     "table_match": f"""{WORDS}, boxes AS (SELECT page, side, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM kept GROUP BY page, side)
         SELECT {_pair('a.page')}, a.page, 0 AS table_id, 0 AS cand_id, round({dist('(a.x0 + a.x1) / 2', '(a.y0 + a.y1) / 2', '(b.x0 + b.x1) / 2', '(b.y0 + b.y1) / 2')}, 6) AS distance FROM boxes a JOIN boxes b ON a.page = b.page AND a.side = 'ref' AND b.side = 'cand'""",
     "table_columns": f"{WORDS}{CELLS} SELECT DISTINCT {_n}, page, 0 AS table_id, col, 0 AS cand_id, col AS cand_col, CASE WHEN col = 2 AND page % 4 = 0 THEN 1 - 1 / CAST(12 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS similarity FROM columns",

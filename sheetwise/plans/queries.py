@@ -228,6 +228,20 @@ def bom_cells(spark: SparkSession, d: str) -> DataFrame:
     return tables.grid(fixtures.words(spark, d), CONFIG)[0]
 
 
+def words_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Words out of page documents with characters, every fifth page stored as turned by a quarter; blanks of every second line are gaps only."""
+    documents, pages = fixtures.turned(records.character_documents(Pages(spark, d).ref, F.col("line") % 2 == 0))
+    return records.words(documents, pages).select(*KEYS, "block", "line", "word", "text", *BOX)
+
+
+def bom_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Parts tables from words that are scanned out of documents: each row of a table is a line."""
+    w = fixtures.words(spark, d)
+    runs = w.withColumns({"run_idx": F.col("word_idx"), "block": F.expr("word_idx div 3"), "line": F.lit(0), "dir_x": F.lit(1.0), "dir_y": F.lit(0.0)})
+    scanned = [records.words(records.character_documents(runs.where(F.col("side") == side))).withColumn("side", F.lit(side)) for side in ("ref", "cand")]
+    return tables.grid(settled(records.in_order(scanned[0].unionByName(scanned[1]))), CONFIG)[0]
+
+
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     cells, boxes = tables.grid(fixtures.words(spark, d), CONFIG)
     side = lambda df, s: df.where(F.col("side") == s).drop("side")
@@ -470,7 +484,7 @@ QUERIES = {
     for f in (
         normalize_text, symbol_equivalence, edit_distance_norm, bbox_centers, overlap_ratio, anchors, affine_fit, map_bbox, scale_fallback, zone_labels, zone_assign, match_cost_stats, min_ref_cost, assignment,
         residual_exact, unmatched_runs, residual_split, residual_fuzzy, text_overlap, stack_edges, leader_edges, annotation_clusters, dbscan_zones, zone_signature, missing_zones_exact, missing_zones, missing_groups,
-        view_models, routed_points, bom_rows, bom_cells, table_match, table_columns, table_cell_diff, table_lattice, table_fallback, added_text, defect_filters, ignore_regions, defect_records, defect_ids, audit_categories, category_matrix,
+        view_models, routed_points, bom_rows, bom_cells, words_scan, bom_scan, table_match, table_columns, table_cell_diff, table_lattice, table_fallback, added_text, defect_filters, ignore_regions, defect_records, defect_ids, audit_categories, category_matrix,
         page_quality_score, pair_quality_score, page_summaries, counts_by_class, counts_by_status, severity_counts, pair_summary, box_layer, file_pairing, unmatched_files, upload_totals, job_ttl_eviction, pending_jobs,
         mean_abs_diff, ssim_score, text_over_geometry, visual_regions, visual_merge, nested_runs, drawing_segments, page_sizes, pair_pages, page_errors, pair_errors, scoreboard, page_states, compare_pages,
     )

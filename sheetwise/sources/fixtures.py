@@ -32,16 +32,21 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ok", "ln", "text", (60 + (37 * F.col("pk") + 101 * F.col("ln")) % 640).cast("double").alias("x"), (60 + (53 * F.col("sk") + 67 * F.col("ln") + 29 * F.col("ok")) % 460).cast("double").alias("y"))
 
 
-def _run(block: Column, line: Column, text: Column, x: Column, y: Column, page: Column) -> list[Column]:
-    return [pair_of(page.cast("int")), page.cast("int").alias("page"), block.cast("long").alias("block"), line.cast("int").alias("line"), text.alias("text"), x.alias("x0"), y.alias("y0"), (x + 6 * F.length(text)).alias("x1"), (y + 10).alias("y1"), F.when(line % 6 == 5, 0.0).otherwise(1.0).alias("dir_x"), F.when(line % 6 == 5, 1.0).otherwise(0.0).alias("dir_y")]
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows (page, block, line, text, x, y) as runs with boxes and directions."""
+    page, line, text, x, y = (F.col(c) for c in ("page", "line", "text", "x", "y"))
+    level = line % 6 != 5
+    return rows.select(pair_of(page), page, F.col("block").cast("long").alias("block"), line.cast("int").alias("line"), text, x.alias("x0"), y.alias("y0"), (x + 6 * F.length(text)).alias("x1"), (y + 10).alias("y1"), F.when(level, 1.0).otherwise(0.0).alias("dir_x"), F.when(level, 0.0).otherwise(1.0).alias("dir_y"))
 
 
-def _labels(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers along the top and letters along the left of each page, one for each region: (page, block, line, text, x, y)."""
+    pages = table(spark, sf_dir, "lineitem").select((F.floor(F.col("l_orderkey") / 10) + 1).cast("int").alias("page")).distinct()
     k = F.col("r_regionkey")
-    rows = pages.join(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")), F.lit(True))  # five rows
-    columns = rows.select(*_run(F.lit(-1), k, (k + 1).cast("string"), (80 + 140 * k).cast("double"), F.lit(10.0), F.col("page")))
-    letters = rows.select(*_run(F.lit(-2), k, F.chr(65 + k), F.lit(10.0), (70 + 100 * k).cast("double"), F.col("page")))
-    return columns.unionAll(letters)
+    number = F.struct(F.lit(-1).alias("block"), (k + 1).cast("string").alias("text"), (80 + 140 * k).cast("double").alias("x"), F.lit(10.0).alias("y"))
+    letter = F.struct(F.lit(-2).alias("block"), F.chr(65 + k).alias("text"), F.lit(10.0).alias("x"), (70 + 100 * k).cast("double").alias("y"))
+    labels = table(spark, sf_dir, "region").select(k.alias("line"), F.explode(F.array(number, letter)).alias("l")).select("line", "l.*")
+    return pages.join(F.broadcast(labels), F.lit(True)).select("page", F.col("block").cast("long").alias("block"), F.col("line").cast("long").alias("line"), "text", "x", "y")  # ten rows for each page
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -49,12 +54,9 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(reference runs, candidate runs): pair_id, page, block, line, text, x0, y0, x1, y1, dir_x, dir_y, run_idx. Both are partitioned by page. Every sixth line is upright; some candidate texts are broken, written otherwise, split in two, missing or new."""
-    items = _items(spark, sf_dir)
-    page = F.floor(F.col("ok") / 10) + 1
-    pages = items.select(page.cast("int").alias("page")).distinct()
-    labels = _labels(spark, sf_dir, pages)
-    ref = items.select(*_run(F.col("ok"), F.col("ln"), F.col("text"), F.col("x"), F.col("y"), page))
+    """(reference runs, candidate runs): pair_id, page, block, line, text, x0, y0, x1, y1, dir_x, dir_y, run_idx. Both are partitioned by page. Every sixth line is upright; some candidate texts are broken, written otherwise, split in two, missing or new.
+
+    Each item becomes all its runs of both sides at once, so both sides share the shuffles and joins below."""
     v = (7 * F.col("ok") + 11 * F.col("ln")) % 23
     lower = F.col("y") > 300
     x, y = F.col("x") + 6 + F.when(lower, 20.0).otherwise(0.0), F.col("y") + 4 - F.when(lower, 15.0).otherwise(0.0)
@@ -65,10 +67,17 @@ def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         .when(v == 5, F.substring_index("text", " ", 1))
         .otherwise(F.col("text"))
     )
-    cand = items.where(v != 0).select(*_run(F.col("ok"), F.col("ln"), text, x, y, page))
-    extra = items.where(v == 4).select(*_run(F.col("ok") + 1_000_000, F.col("ln"), F.concat(F.lit("EXTRA "), F.col("ok").cast("string")), x + 3, y + 3, page))
-    rest = items.where(v == 5).select(*_run(F.col("ok") + 2_000_000, F.col("ln"), F.expr("substring(text, instr(text, ' ') + 1)"), x + 6 * F.instr("text", " "), y, page))
-    return _numbered(ref.unionAll(labels)), _numbered(cand.unionAll(extra).unionAll(rest).unionAll(labels))
+    one = lambda side, add, t, u, w: F.struct(F.lit(side).alias("side"), (F.col("ok") + add).alias("block"), F.col("ln").alias("line"), t.alias("text"), u.alias("x"), w.alias("y"))
+    variants = [
+        one("ref", 0, F.col("text"), F.col("x"), F.col("y")),
+        F.when(v != 0, one("cand", 0, text, x, y)),
+        F.when(v == 4, one("cand", 1_000_000, F.concat(F.lit("EXTRA "), F.col("ok").cast("string")), x + 3, y + 3)),
+        F.when(v == 5, one("cand", 2_000_000, F.expr("substring(text, instr(text, ' ') + 1)"), x + 6 * F.instr("text", " "), y)),
+    ]
+    rows = _items(spark, sf_dir).select((F.floor(F.col("ok") / 10) + 1).cast("int").alias("page"), F.explode(F.array_compact(F.array(*variants))).alias("r")).select("page", "r.*")
+    labels = _labels(spark, sf_dir)
+    ref, cand = (_numbered(_placed(rows.where(F.col("side") == side).drop("side").unionByName(labels))) for side in ("ref", "cand"))
+    return ref, cand
 
 
 def page_sizes(ref: DataFrame) -> DataFrame:
@@ -117,6 +126,20 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select(pair_of(F.col("page")), "page", "side", (3 * F.col("r") + F.col("c")).cast("int").alias("word_idx"), t.alias("text"), x.alias("x0"), y.alias("y0"), (x + 6 * F.length(t)).alias("x1"), (y + 10).alias("y1"))
 
 
+def turned(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, pages): documents with characters as they are stored on pages of which every fifth is shown turned by a quarter; pages are keys and the map from stored to visible places."""
+    side = F.col("page") % 5 == 0
+    maps = (("m00", 0.0, 1.0), ("m01", -1.0, 0.0), ("m02", WIDTH, 0.0), ("m10", 1.0, 0.0), ("m11", 0.0, 1.0), ("m12", 0.0, 0.0))
+    pages = documents.select(*KEYS, *(F.when(side, v).otherwise(w).cast("double").alias(c) for c, v, w in maps))
+    box = lambda b: F.when(side, F.array(b[1], WIDTH - b[2], b[3], WIDTH - b[0])).otherwise(b)
+    char = lambda c: F.struct(c["c"].alias("c"), box(c["bbox"]).alias("bbox"))
+    span = lambda s: F.struct(F.transform(s["chars"], char).alias("chars"))
+    along = lambda d: F.when(side, F.array(d[1], -d[0])).otherwise(d)
+    line = lambda x: F.struct(x["number"].alias("number"), along(x["dir"]).alias("dir"), F.transform(x["spans"], span).alias("spans"))
+    block = lambda x: F.struct(x["number"].alias("number"), x["type"].alias("type"), F.transform(x["lines"], line).alias("lines"))
+    return documents.select(*KEYS, F.transform("blocks", block).alias("blocks")), pages
+
+
 def ruled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(rulings, words) of two ruled tables without header words on each page, twelve customers to a page, on both sides: rulings are pair_id, page, side, ax, ay, bx, by.
 

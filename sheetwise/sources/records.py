@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -63,6 +63,60 @@ def runs(documents: DataFrame) -> DataFrame:
     return spans.select(*KEYS, "block", "line", text.alias("text"), *box, F.col("s.at").alias("run_idx")).where("text <> ''")
 
 
+#: Characters that part words (fixed values: white space, and spaces of fixed width).
+BLANKS = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def character_documents(runs_: DataFrame, dropped: Column | bool = False) -> DataFrame:
+    """(keys, blocks) from runs, with a box for each character (an equal share of the run's) and a direction for each line. A run is two spans, cut after its fifth character; where ``dropped`` holds, blanks are given by their gaps only."""
+    share = (F.col("x1") - F.col("x0")) / F.greatest(F.lit(1), F.length("text"))
+    box = lambda i: F.array(F.col("x0") + i * share, F.col("y0"), F.col("x0") + (i + 1) * share, F.col("y1"))
+    chars = F.filter(F.transform(F.split("text", ""), lambda c, i: F.struct(c.alias("c"), box(i).alias("bbox"))), lambda c: ~(F.lit(dropped) if isinstance(dropped, bool) else dropped) | (c["c"] != " "))
+    spans = F.transform(F.array(F.struct(F.lit(1).alias("from"), F.lit(5).alias("n")), F.struct(F.lit(6).alias("from"), F.lit(1 << 20).alias("n"))), lambda p: F.struct(F.slice(chars, p["from"], p["n"]).alias("chars")))
+    line = runs_.groupBy(*KEYS, "block", "line", "dir_x", "dir_y").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run_idx", spans.alias("spans")))), lambda r: r["spans"])).alias("spans"))
+    one = F.struct(F.col("line").alias("number"), F.array("dir_x", "dir_y").alias("dir"), "spans")
+    block = line.groupBy(*KEYS, "block").agg(F.array_sort(F.collect_list(one), lambda a, b: a["number"] - b["number"]).alias("lines"))
+    return block.groupBy(*KEYS).agg(F.collect_list(F.struct(F.col("block").alias("number"), F.lit(0).alias("type"), "lines")).alias("blocks"))
+
+
+def words(documents: DataFrame, pages: DataFrame | None = None, gap: float = 0.2) -> DataFrame:
+    """(keys, block, line, word, text, box): words of nested documents (lines with dir, spans of characters with boxes), numbered within a line. Spans of a line go on from one to the next; words end at blanks, and where the next character
+    is further along the line than ``gap`` of its size. pages: keys and the map to the visible orientation, by which boxes and directions are turned first.
+
+    A line's characters stay in one array: nothing is exploded but words, and nothing is shuffled but for the maps."""
+    blocks = documents.select(*KEYS, F.explode("blocks").alias("b")).where("b.type = 0")
+    lines = blocks.select(*KEYS, F.col("b.number").alias("block"), F.explode("b.lines").alias("l"))
+    rows = lines.select(*KEYS, "block", F.col("l.number").alias("line"), F.get("l.dir", F.lit(0)).alias("dx"), F.get("l.dir", F.lit(1)).alias("dy"), F.flatten(F.transform("l.spans", lambda s: s["chars"])).alias("chars"))
+    corner = lambda c, k: F.get(c["bbox"], F.lit(k))
+    placed = lambda c, b: F.struct(c["c"].alias("c"), *(v.alias(n) for v, n in zip(b, ("x0", "y0", "x1", "y1"), strict=True)))
+    if pages is None:
+        rows = rows.withColumn("a", F.transform("chars", lambda c: placed(c, [corner(c, k) for k in range(4)])))
+    else:
+        m = [F.col(c) for c in g.MATRIX]
+        rows = rows.join(pages.select(*KEYS, *g.MATRIX), KEYS)
+        dx, dy = g.turned(F.col("dx"), F.col("dy"), m)
+        rows = rows.withColumns({"a": F.transform("chars", lambda c: placed(c, g.mapped_box([corner(c, k) for k in range(4)], m))), "dx": dx, "dy": dy})
+    level = F.abs(F.col("dx")) >= F.abs(F.col("dy"))
+    low = lambda c: F.when(level, F.when(F.col("dx") >= 0, c["x0"]).otherwise(-c["x1"])).otherwise(F.when(F.col("dy") >= 0, c["y0"]).otherwise(-c["y1"]))
+    high = lambda c: F.when(level, F.when(F.col("dx") >= 0, c["x1"]).otherwise(-c["x0"])).otherwise(F.when(F.col("dy") >= 0, c["y1"]).otherwise(-c["y0"]))
+    size = lambda c: F.when(level, c["y1"] - c["y0"]).otherwise(c["x1"] - c["x0"])
+    at = lambda i: F.get("a", i - 1)
+    ink = lambda c: ~F.contains(F.lit(BLANKS), c["c"])
+    joined = lambda i: ink(at(i)) & ink(at(i + 1)) & (low(at(i + 1)) - high(at(i)) <= gap * size(at(i + 1)))
+    places = F.when(F.size("a") > 0, F.sequence(F.lit(1), F.size("a"))).otherwise(F.array().cast("array<int>"))
+    begins = F.filter(places, lambda i: ink(at(i)) & ((i == 1) | ~F.coalesce(joined(i - 1), F.lit(False))))
+    ends = F.filter(places, lambda i: ink(at(i)) & ~F.coalesce(joined(i), F.lit(False)))
+    found = rows.withColumns({"_b": begins, "_e": ends}).select(*KEYS, "block", "line", F.posexplode(F.zip_with("_b", "_e", lambda b, e: F.slice("a", b, e - b + 1))).alias("word", "w"))
+    edge = lambda f, n: f(F.transform("w", lambda c: c[n]))
+    return found.select(*KEYS, "block", "line", "word", F.array_join(F.transform("w", lambda c: c["c"]), "").alias("text"), edge(F.array_min, "x0").alias("x0"), edge(F.array_min, "y0").alias("y0"), edge(F.array_max, "x1").alias("x1"), edge(F.array_max, "y1").alias("y1"))
+
+
+def in_order(words_: DataFrame) -> DataFrame:
+    """words with ``word_idx``: their order on the page side, by block, line and word."""
+    keys = [*KEYS, *(["side"] if "side" in words_.columns else [])]
+    return words_.withColumn("word_idx", (F.row_number().over(Window.partitionBy(*keys).orderBy("block", "line", "word")) - 1).cast("int"))
+
+
 def rotated(runs_: DataFrame, pages: DataFrame) -> DataFrame:
     """runs with box and direction (dir_x, dir_y) turned to the visible orientation. pages: keys and the six columns of the rotation map."""
     m = [F.col(c) for c in g.MATRIX]
