@@ -4,6 +4,8 @@ Pairs of short lists (LIGHT sets at most) are compared one by one. Longer lists
 matrix of overlaps, which gives enough links to connect what is similar. In LINKING rounds each set chooses one of its long lists, and what chose a list is compared within its chunks, dealt anew; that joins large
 groups of copies. At last every long list that still has sets of different components is compared in full. If all but FEW of its sets are of one component, those few are paired with all sets of the list
 that are not of their component, each pair once for all lists. In other lists sets go into chunks in the order of components: two chunks of one component are left out, as what they could link is linked already.
+Lists of over FULL sets aren't compared as they are: their sets are listed again under the rarest of their elements, as counted within the list. Of two similar sets, the first |x| - s |x| + 1 elements share one, whatever the
+order, so such a pair meets in a list again, while sets that only share what is common in the list don't. The rows of that grow with the list, not with its square; what is still too long is split again, DEEP times.
 So no link between components is lost, whatever the length of lists.
 
 Sets are compared by 32-bit hashes of their elements, kept different within a set: two different elements of a pair are taken for one in some ten thousandth of the pairs of 500 elements.
@@ -25,6 +27,8 @@ from .components import connected_components
 
 #: Sets in a list that is compared pair by pair, in a chunk, rounds of chosen lists within chunks, sets outside of a list's largest component that are paired with the others.
 LIGHT, CHUNK, LINKING, FEW = 10, 512, 2, 16
+#: Sets in a list that is compared in full; times that longer ones are split (what is longer still after that is compared in full).
+FULL, DEEP = 2048, 3
 #: Columns of a matrix of overlaps that are held at once.
 COLUMNS = 4096
 
@@ -146,6 +150,35 @@ def _across(lists: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return _compared(met.select("post", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "component").join(sets, "id"), similarity)
 
 
+def _split(lists: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """lists (post, id, component) -> (post, id, n, component): the sets of each list under their rarest elements in it, as many as one of two similar sets must share. Lists of one set or one component are left out."""
+    rows = lists.join(sets, "id").select("post", "id", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("element"))
+    seen = rows.groupBy("post", "element").agg(F.count("*").alias("m"), F.min("component").alias("a"), F.max("component").alias("b"))
+    ranked = rows.join(seen, ["post", "element"]).groupBy("post", "id", "component", "size").agg(F.array_sort(F.collect_set(F.struct("m", "element", "a", "b"))).alias("list"))
+    taken = F.slice("list", 1, (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int"))
+    shared = F.filter(taken, lambda x: x["a"] < x["b"])
+    out = ranked.select("id", "component", F.explode(F.transform(shared, lambda x: F.xxhash64("post", x["element"]))).alias("post"))
+    sizes = out.groupBy("post").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("post", "n")
+    return out.join(sizes, "post").select("post", "id", "n", "component")
+
+
+def _long(lists: DataFrame, sets: DataFrame, similarity: float) -> list[DataFrame]:
+    """Links between any two sets of a list (post, id, n, component) that are of different components."""
+    found = [_across(lists.where(F.col("n") <= FULL), sets, similarity)]
+    rest = lists.where(F.col("n") > FULL)
+    for k in range(DEEP):
+        if rest.isEmpty():
+            return found
+        parts = written(_split(rest, sets, similarity), "split")
+        members = parts.where(F.col("n") <= LIGHT).groupBy("post").agg(F.collect_list(F.struct("id", "component")).alias("list"))
+        other = F.filter("list", lambda y: (y["id"] > F.col("x.id")) & (y["component"] != F.col("x.component")))
+        pairs = members.select("list", F.explode("list").alias("x")).select(F.col("x.id").alias("u"), F.explode(F.transform(other, lambda y: y["id"])).alias("v")).distinct()
+        last = k == DEEP - 1
+        found += [_similar(pairs, sets, similarity), _across(parts.where((F.col("n") > LIGHT) & (F.lit(last) | (F.col("n") <= FULL))), sets, similarity)]
+        rest = parts.where(F.col("n") > FULL)
+    return found
+
+
 def _apart(lists: DataFrame, groups: DataFrame) -> DataFrame:
     """(post, id, n, component) of the lists that have sets of more than one component."""
     labelled = lists.join(groups, lists["id"] == groups["node"], "left").select("post", "id", "n", F.coalesce("component", "id").alias("component"))
@@ -167,7 +200,7 @@ def linked(pairs: DataFrame, heavy: DataFrame, sets: DataFrame, similarity: floa
             a = now.where((F.col("rest") <= FEW) & (F.col("component") != F.col("main"))).select("post", F.col("id").alias("a"), F.col("component").alias("_a"))
             b = now.where(F.col("rest") <= FEW).select("post", F.col("id").alias("b"), F.col("component").alias("_b"))
             few = a.join(b, "post").where("_a <> _b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-            found += [_similar(few, sets, similarity), _across(many, sets, similarity)]
+            found += [_similar(few, sets, similarity), *_long(many, sets, similarity)]
         edges, found = written(reduce(DataFrame.unionAll, found), "links"), []
         if groups is None or not edges.isEmpty():
             groups = written(_relabelled(edges, groups), "groups")

@@ -421,9 +421,10 @@ def near_labels(rows):
     return dict(enumerate(label)), pairs
 
 
-@pytest.mark.parametrize("light, chunk, few", [(10, 512, 16), (4, 16, 1), (4, 16, 1000)])
-def test_near_texts_of_stars_and_chains(spark, monkeypatch, light, chunk, few):
+@pytest.mark.parametrize("light, chunk, few, full", [(10, 512, 16, 2048), (4, 16, 1, 2048), (4, 16, 1000, 2048), (4, 16, 1, 12)])
+def test_near_texts_of_stars_and_chains(spark, monkeypatch, light, chunk, few, full):
     """Copies that are similar to their original only, and texts that are similar to the next one only."""
+    monkeypatch.setattr(setjoin, "FULL", full)
     monkeypatch.setattr(setjoin, "LIGHT", light)
     monkeypatch.setattr(setjoin, "CHUNK", chunk)
     monkeypatch.setattr(setjoin, "FEW", few)
@@ -441,6 +442,32 @@ def test_near_texts_of_stars_and_chains(spark, monkeypatch, light, chunk, few):
     assert {r["doc_id"]: r["keeper"] for r in neartext.keepers(frame(spark, rows)).collect()} == want
 
 
+def test_rows_of_long_lists_of_unlike_sets_grow_with_the_list(spark, monkeypatch):
+    """One list of sets that share an element, all of different components, with a few similar pairs: the pairs are found, and rows that are compared grow as the list does."""
+    monkeypatch.setattr(setjoin, "FULL", 256)
+    monkeypatch.setattr(setjoin, "CHUNK", 64)
+    sent = []
+    compared, similar = setjoin._compared, setjoin._similar
+    monkeypatch.setattr(setjoin, "_compared", lambda rows, s: sent.append(rows.count()) or compared(rows, s))
+    monkeypatch.setattr(setjoin, "_similar", lambda pairs, sets, s: sent.append(pairs.count()) or similar(pairs, sets, s))
+    counts = []
+    for n in (1000, 2000, 4000):
+        rng = random.Random(n)
+        rows = [[7, *(rng.randrange(100, 1 << 30) for _ in range(20)), *(rng.randrange(8, 40) for _ in range(8))] for _ in range(n)]
+        for k in range(5):
+            rows[k + 5] = [*rows[k][:-1], 50 + k]
+        sets = spark.createDataFrame([(k, sorted(set(r))) for k, r in enumerate(rows)], "id long, shingles array<int>").repartition(4)
+        lists = sets.select(F.lit(1).cast("long").alias("post"), "id", F.lit(n).cast("long").alias("n"), F.col("id").alias("component"))
+        sent.clear()
+        found = setjoin._long(lists, sets, 0.8)
+        counts.append(sum(sent) + setjoin._split(lists, sets, 0.8).count())
+        got = {tuple(sorted(x)) for df in found for x in df.collect()}
+        want = {(k, k + 5) for k in range(5)}
+        exact = lambda a, b: len(set(rows[a]) & set(rows[b])) >= 0.8 * len(set(rows[a]) | set(rows[b]))
+        assert got == want and all(exact(*p) for p in got)
+    assert counts[2] < 2.5 * counts[1] < 6.25 * counts[0]
+
+
 def test_near_texts_at_the_threshold(spark):
     """Every pair counts at a similarity just over 0.8, and a sentence that one text repeats counts once."""
     rng = random.Random(6)
