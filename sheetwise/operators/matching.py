@@ -28,8 +28,16 @@ def costs(ref: DataFrame, cand: DataFrame, config: Config) -> DataFrame:
     return pairs.select(*KEYS, "ref_idx", "cand_idx", "distance", "equal", (F.col("distance") * config.match_position_weight + F.col("edit") * config.match_string_weight).alias("cost"))
 
 
+def cost_rows(pairs: DataFrame) -> DataFrame:
+    """(keys, ref_idx, cand_idx, cost, distance, equal): a row for each reference run, with arrays over the candidate runs of its page in their order. What the least costs and the assignment both read, so that costs are computed once."""
+    by_run = pairs.groupBy(*KEYS, "ref_idx").agg(F.array_sort(F.collect_list(F.struct("cand_idx", "cost", "distance", "equal"))).alias("c"))
+    return by_run.select(*KEYS, "ref_idx", *(F.col(f"c.{n}").alias(n) for n in ("cand_idx", "cost", "distance", "equal")))
+
+
 def least_costs(pairs: DataFrame) -> DataFrame:
-    """(keys, ref_idx, min_cost)"""
+    """(keys, ref_idx, min_cost), of pairs or of cost_rows()."""
+    if dict(pairs.dtypes)["cost"].startswith("array"):
+        return pairs.select(*KEYS, "ref_idx", F.array_min("cost").alias("min_cost"))
     return pairs.groupBy(*KEYS, "ref_idx").agg(F.min("cost").alias("min_cost"))
 
 
@@ -75,19 +83,18 @@ def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def matches(pairs: DataFrame, config: Config) -> DataFrame:
-    """(keys, ref_idx, cand_idx, cost, distance, equal) of the best assignment of each page, without what costs over the limit."""
+    """(keys, ref_idx, cand_idx, distance, equal, cost) of the best assignment of each page, without what costs over the limit; of pairs or of cost_rows()."""
+    rows = pairs if dict(pairs.dtypes)["cost"].startswith("array") else cost_rows(pairs)
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["ref_idx", "cand_idx"])
-        refs, cands = page["ref_idx"].unique(), np.sort(page["cand_idx"].unique())
-        shape = (len(refs), len(cands))
-        rows, columns = assignment(page["cost"].to_numpy().reshape(shape))
-        out = page.iloc[rows * shape[1] + columns]
+        page = page.sort_values("ref_idx")
+        refs, cands = page["ref_idx"].to_numpy(), np.asarray(page["cand_idx"].iloc[0])
+        cost, distance, equal = (np.stack(page[c].to_list()) for c in ("cost", "distance", "equal"))
+        i, j = assignment(cost)
+        out = pd.DataFrame({"pair_id": page["pair_id"].iloc[0], "page": page["page"].iloc[0], "ref_idx": refs[i], "cand_idx": cands[j], "distance": distance[i, j], "equal": equal[i, j], "cost": cost[i, j]})
         return out[out["cost"] <= config.match_max_cost]
 
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    names = [*KEYS, "ref_idx", "cand_idx", "distance", "equal", "cost"]
-    return pairs.select(names).groupBy(*KEYS).applyInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+    return rows.groupBy(*KEYS).applyInPandas(run, "pair_id string, page int, ref_idx int, cand_idx int, distance double, equal boolean, cost double")
 
 
 def unmatched(runs: DataFrame, matches_: DataFrame, side: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, fields, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -104,7 +105,7 @@ def compare(inputs: Inputs, config: Config | None = None) -> Comparison:
     regs = keep(registration.registrations(pages, registration.models(registration.anchors(ref, cand), config)))
     grids = keep(zones.grids(inputs.pages, zones.labels(cand, inputs.pages, config)))
     mapped = keep(with_center_map(ref, regs))
-    pairs = matching.costs(mapped, cand, config)
+    pairs = keep(matching.cost_rows(matching.costs(mapped, cand, config)))
     least = matching.least_costs(pairs)
     matches = keep(matching.matches(pairs, config))
     free_ref, free_cand = matching.unmatched(mapped, matches, "ref"), matching.unmatched(cand, matches, "cand")
@@ -139,6 +140,26 @@ def compare(inputs: Inputs, config: Config | None = None) -> Comparison:
     return Comparison(records, categorised, scores, report.pair_scores(scores), told, errors)
 
 
+def compare_in_parts(inputs: Inputs, save: Callable[[Comparison, str], None], config: Config | None = None, most: int = 20) -> list[tuple[str, str]]:
+    """save(comparison, name of the part) of all pairs at once; where that or the saving fails, of both halves of the pairs, and so on, until the pairs that fail stand alone: (pair_id, error) of these. Pairs are halved by hash, so one that
+    breaks costs about twice the logarithm of their number in runs, and no list of pairs comes to the driver. After ``most`` halvings what still fails together is named together."""
+
+    def attempt(depth: int, part: int) -> list[tuple[str, str]]:
+        mine = lambda df: df.where(F.pmod(F.xxhash64("pair_id"), F.lit(1 << depth)) == part)
+        frames = {f.name: getattr(inputs, f.name) for f in fields(inputs)}
+        here = inputs if depth == 0 else Inputs(**{n: mine(v) if isinstance(v, DataFrame) else v for n, v in frames.items()})
+        try:
+            save(compare(here, config), f"{depth}-{part}")
+            return []
+        except Exception as failure:  # noqa: BLE001 - whatever it is, other pairs must go on
+            names = [r["pair_id"] for r in here.pages.select("pair_id").distinct().limit(1 if depth < most else 1000).collect()]
+            if depth < most and here.pages.select("pair_id").distinct().limit(2).count() > 1:
+                return attempt(depth + 1, part) + attempt(depth + 1, part + (1 << depth))
+            return [(name, str(failure).splitlines()[0][:500]) for name in names]
+
+    return attempt(0, 0)
+
+
 def _pair_boxes(ref: DataFrame, cand: DataFrame, pairs: DataFrame) -> DataFrame:
     a = ref.select(*KEYS, F.col("run_idx").alias("ref_idx"), F.col("text").alias("ref_text"), *(F.col(c).alias(f"r{k}") for k, c in enumerate(("x0", "y0", "x1", "y1"))))
     b = cand.select(*KEYS, F.col("run_idx").alias("cand_idx"), F.col("text").alias("cand_text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(("x0", "y0", "x1", "y1"))))
