@@ -1,7 +1,12 @@
 """What a query's plan must not do on large tables: send derived rows through the driver, or derive them over and over."""
 
-from sheetwise.operators import raster
 
+from pyspark.sql import functions as F
+
+from sheetwise.config import Config
+from sheetwise.operators import raster, tables
+
+CONFIG = Config()
 KEYS = "pair_id string, page int"
 
 
@@ -9,6 +14,16 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tables_are_not_broadcast(spark):
+    words = spark.range(1).selectExpr("'A' AS pair_id", "1 AS page", "'ref' AS side", "0 AS word_idx", "'ITEM' AS text", "0D AS x0", "0D AS y0", "9D AS x1", "9D AS y1")
+    cells, boxes = tables.grid(words, CONFIG)
+    side = lambda df: df.drop("side")
+    pairs = tables.paired(side(boxes).withColumn("mx", F.col("x0")).withColumn("my", F.col("y0")), side(boxes))
+    columns = tables.matched_columns(side(cells), side(cells), pairs, CONFIG)
+    for df in (cells, boxes, pairs, columns, tables.cell_differences(side(cells), side(cells), columns, CONFIG)):
+        assert "BroadcastHashJoin" not in plan(df)
+
+
 def test_strokes_are_not_broadcast(spark):
     runs = spark.createDataFrame([("A", 1, 0, 0.0, 0.0, 40.0, 10.0)], f"{KEYS}, run_idx int, x0 double, y0 double, x1 double, y1 double")
     items = spark.createDataFrame([("A", 1, "l", [(0.0, 5.0), (90.0, 5.0)], 1.0)], f"{KEYS}, kind string, pts array<struct<x:double,y:double>>, width double")
