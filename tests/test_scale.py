@@ -4,7 +4,7 @@
 from pyspark.sql import functions as F
 
 from sheetwise.config import Config
-from sheetwise.operators import raster, tables
+from sheetwise.operators import matching, raster, tables
 
 CONFIG = Config()
 KEYS = "pair_id string, page int"
@@ -31,3 +31,10 @@ def test_strokes_are_not_broadcast(spark):
     found = raster.over_geometry(runs, items, pages)
     assert "BroadcastHashJoin" not in plan(found)
     assert [tuple(r)[:3] for r in found.collect()] == [("A", 1, 0)]
+
+
+def test_cost_rows_without_pairs(spark):
+    ref = spark.createDataFrame([("A", 1, k, t, 9.0 * k, 4.0) for k, t in enumerate(["A1", "B2", "C"])] + [("A", 2, 0, "X", 1.0, 1.0)], f"{KEYS}, run_idx int, norm string, mx double, my double")
+    cand = spark.createDataFrame([("A", 1, k, t, 8.0 * k, 0.0, 8.0 * k + 6, 10.0) for k, t in enumerate(["B2", "A1", "#", ""])] + [("B", 1, 0, "X", 0.0, 0.0, 1.0, 1.0)], f"{KEYS}, run_idx int, norm string, x0 double, y0 double, x1 double, y1 double")
+    ours = matching.costs_by_run(ref, cand, CONFIG)
+    assert sorted(ours.collect()) == sorted(matching.cost_rows(matching.costs(ref, cand, CONFIG)).collect())
