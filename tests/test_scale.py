@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 
 from sheetwise.config import Config
 from sheetwise.operators import matching, raster, tables
+from sheetwise.plans import queries
+from sheetwise.sources import fixtures
 
 CONFIG = Config()
+DIR = "/root/testdata/sf0.001"
 KEYS = "pair_id string, page int"
 
 
@@ -38,3 +41,12 @@ def test_cost_rows_without_pairs(spark):
     cand = spark.createDataFrame([("A", 1, k, t, 8.0 * k, 0.0, 8.0 * k + 6, 10.0) for k, t in enumerate(["B2", "A1", "#", ""])] + [("B", 1, 0, "X", 0.0, 0.0, 1.0, 1.0)], f"{KEYS}, run_idx int, norm string, x0 double, y0 double, x1 double, y1 double")
     ours = matching.costs_by_run(ref, cand, CONFIG)
     assert sorted(ours.collect()) == sorted(matching.cost_rows(matching.costs(ref, cand, CONFIG)).collect())
+
+
+def test_residual_and_sizes_read_little(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(queries, "settled", lambda df: kept.append(df.columns) or df)
+    queries.residual_split(spark, DIR)
+    assert kept[:2] == [["pair_id", "page", "run_idx", "norm"]] * 2 and len(kept) == 4
+    p = queries.Pages(spark, DIR)
+    assert "part.parquet" not in str(p.sizes.inputFiles()) and sorted(p.sizes.collect()) == sorted(fixtures.page_sizes(p.ref).collect())
