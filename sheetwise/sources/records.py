@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,13 +47,28 @@ def read_pdf(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, document string")
 
 
+def _parts(rows: Column, *names: str) -> Column:
+    """rows (an array of structs in order) as an array of arrays: cut where one of the named fields changes. rows is a column or a variable, as it is read often."""
+    differs = lambda i, j: ~reduce(and_, (F.get(rows, i)[n].eqNullSafe(F.get(rows, j)[n]) for n in names))
+    places = F.sequence(F.lit(1), F.size(rows))
+    begins = F.filter(places, lambda i: (i == 1) | differs(i - 1, i - 2))
+    ends = F.filter(places, lambda i: (i == F.size(rows)) | differs(i - 1, i))
+    return F.zip_with(begins, ends, lambda b, e: F.slice(rows, b, e - b + 1))
+
+
+def _gathered(runs_: DataFrame, *columns: Column | str) -> DataFrame:
+    """(keys, r): the runs of a page in one array in the order of the columns. Documents are made of it without a further shuffle or sort, so none of them carries characters."""
+    return runs_.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("r"))
+
+
 def nested(runs: DataFrame) -> DataFrame:
     """(keys, blocks) from runs: blocks of lines of spans of characters, as text extractors give them."""
-    chars = F.transform(F.split("text", ""), lambda c: F.struct(c.alias("c")))
-    span = F.struct(F.col("run_idx").alias("at"), chars.alias("chars"), F.array("x0", "y0", "x1", "y1").alias("bbox"))
-    line = runs.groupBy(*KEYS, "block", "line").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    block = line.groupBy(*KEYS, "block").agg(F.array_sort(F.collect_list(F.struct(F.col("line").alias("number"), "spans"))).alias("lines"))
-    return block.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(F.col("block").alias("number"), F.lit(0).alias("type"), "lines"))).alias("blocks"))
+    number = lambda rows, name: F.get(rows, F.lit(0))[name].alias("number")
+    span = lambda r: F.struct(r["at"].alias("at"), F.transform(F.split(r["text"], ""), lambda c: F.struct(c.alias("c"))).alias("chars"), F.array(*(r[c] for c in ("x0", "y0", "x1", "y1"))).alias("bbox"))
+    line = lambda rows: F.struct(number(rows, "line"), F.transform(rows, span).alias("spans"))
+    block = lambda rows: F.struct(number(rows, "block"), F.lit(0).alias("type"), F.transform(_parts(rows, "line"), line).alias("lines"))
+    flat = _gathered(runs, "block", "line", F.col("run_idx").alias("at"), "text", "x0", "y0", "x1", "y1")
+    return flat.select(*KEYS, F.transform(_parts(F.col("r"), "block"), block).alias("blocks"))
 
 
 def runs(documents: DataFrame) -> DataFrame:
@@ -70,13 +88,14 @@ BLANKS = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u200
 def character_documents(runs_: DataFrame, dropped: Column | bool = False) -> DataFrame:
     """(keys, blocks) from runs, with a box for each character (an equal share of the run's) and a direction for each line. A run is two spans, cut after its fifth character; where ``dropped`` holds, blanks are given by their gaps only."""
     share = (F.col("x1") - F.col("x0")) / F.greatest(F.lit(1), F.length("text"))
-    box = lambda i: F.array(F.col("x0") + i * share, F.col("y0"), F.col("x0") + (i + 1) * share, F.col("y1"))
-    chars = F.filter(F.transform(F.split("text", ""), lambda c, i: F.struct(c.alias("c"), box(i).alias("bbox"))), lambda c: ~(F.lit(dropped) if isinstance(dropped, bool) else dropped) | (c["c"] != " "))
-    spans = F.transform(F.array(F.struct(F.lit(1).alias("from"), F.lit(5).alias("n")), F.struct(F.lit(6).alias("from"), F.lit(1 << 20).alias("n"))), lambda p: F.struct(F.slice(chars, p["from"], p["n"]).alias("chars")))
-    line = runs_.groupBy(*KEYS, "block", "line", "dir_x", "dir_y").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run_idx", spans.alias("spans")))), lambda r: r["spans"])).alias("spans"))
-    one = F.struct(F.col("line").alias("number"), F.array("dir_x", "dir_y").alias("dir"), "spans")
-    block = line.groupBy(*KEYS, "block").agg(F.array_sort(F.collect_list(one), lambda a, b: a["number"] - b["number"]).alias("lines"))
-    return block.groupBy(*KEYS).agg(F.collect_list(F.struct(F.col("block").alias("number"), F.lit(0).alias("type"), "lines")).alias("blocks"))
+    flat = _gathered(runs_, "block", "line", "dir_x", "dir_y", "run_idx", "text", "x0", "y0", "y1", share.alias("share"), (F.lit(dropped) if isinstance(dropped, bool) else dropped).alias("dropped"))
+    box = lambda r, i: F.array(r["x0"] + i * r["share"], r["y0"], r["x0"] + (i + 1) * r["share"], r["y1"])
+    chars = lambda r: F.filter(F.transform(F.split(r["text"], ""), lambda c, i: F.struct(c.alias("c"), box(r, i).alias("bbox"))), lambda c: ~r["dropped"] | (c["c"] != " "))
+    spans = lambda c: F.array(F.struct(F.slice(c, 1, 5).alias("chars")), F.struct(F.slice(c, 6, 1 << 20).alias("chars")))
+    first = lambda rows, name: F.get(rows, F.lit(0))[name]
+    line = lambda rows: F.struct(first(rows, "line").alias("number"), F.array(first(rows, "dir_x"), first(rows, "dir_y")).alias("dir"), F.flatten(F.transform(F.transform(rows, chars), spans)).alias("spans"))
+    block = lambda rows: F.struct(first(rows, "block").alias("number"), F.lit(0).alias("type"), F.transform(_parts(rows, "line", "dir_x", "dir_y"), line).alias("lines"))
+    return flat.select(*KEYS, F.transform(_parts(F.col("r"), "block"), block).alias("blocks"))
 
 
 def words(documents: DataFrame, pages: DataFrame | None = None, gap: float = 0.2) -> DataFrame:
@@ -93,19 +112,20 @@ def words(documents: DataFrame, pages: DataFrame | None = None, gap: float = 0.2
         rows = rows.withColumn("a", F.transform("chars", lambda c: placed(c, [corner(c, k) for k in range(4)])))
     else:
         m = [F.col(c) for c in g.MATRIX]
-        rows = rows.join(pages.select(*KEYS, *g.MATRIX), KEYS)
+        rows = rows.join(pages.select(*KEYS, *g.MATRIX).hint("shuffle_hash"), KEYS)  # a row for each page is hashed; characters are not sorted
         dx, dy = g.turned(F.col("dx"), F.col("dy"), m)
         rows = rows.withColumns({"a": F.transform("chars", lambda c: placed(c, g.mapped_box([corner(c, k) for k in range(4)], m))), "dx": dx, "dy": dy})
     level = F.abs(F.col("dx")) >= F.abs(F.col("dy"))
     low = lambda c: F.when(level, F.when(F.col("dx") >= 0, c["x0"]).otherwise(-c["x1"])).otherwise(F.when(F.col("dy") >= 0, c["y0"]).otherwise(-c["y1"]))
     high = lambda c: F.when(level, F.when(F.col("dx") >= 0, c["x1"]).otherwise(-c["x0"])).otherwise(F.when(F.col("dy") >= 0, c["y1"]).otherwise(-c["y0"]))
     size = lambda c: F.when(level, c["y1"] - c["y0"]).otherwise(c["x1"] - c["x0"])
-    at = lambda i: F.get("a", i - 1)
+    # What a character begins or goes on is told once: 0 for a blank, 1 for the first of a word, 2 for any other.
     ink = lambda c: ~F.contains(F.lit(BLANKS), c["c"])
-    joined = lambda i: ink(at(i)) & ink(at(i + 1)) & (low(at(i + 1)) - high(at(i)) <= gap * size(at(i + 1)))
+    joined = lambda before, c: ink(before) & (low(c) - high(before) <= gap * size(c))
+    rows = rows.withColumn("_k", F.transform("a", lambda c, i: F.when(~F.coalesce(ink(c), F.lit(False)), 0).when((i > 0) & F.coalesce(joined(F.get("a", i - 1), c), F.lit(False)), 2).otherwise(1)))
     places = F.when(F.size("a") > 0, F.sequence(F.lit(1), F.size("a"))).otherwise(F.array().cast("array<int>"))
-    begins = F.filter(places, lambda i: ink(at(i)) & ((i == 1) | ~F.coalesce(joined(i - 1), F.lit(False))))
-    ends = F.filter(places, lambda i: ink(at(i)) & ~F.coalesce(joined(i), F.lit(False)))
+    begins = F.filter(places, lambda i: F.get("_k", i - 1) == 1)
+    ends = F.filter(places, lambda i: (F.get("_k", i - 1) > 0) & (F.coalesce(F.get("_k", i), F.lit(0)) < 2))
     found = rows.withColumns({"_b": begins, "_e": ends}).select(*KEYS, "block", "line", F.posexplode(F.zip_with("_b", "_e", lambda b, e: F.slice("a", b, e - b + 1))).alias("word", "w"))
     edge = lambda f, n: f(F.transform("w", lambda c: c[n]))
     return found.select(*KEYS, "block", "line", "word", F.array_join(F.transform("w", lambda c: c["c"]), "").alias("text"), edge(F.array_min, "x0").alias("x0"), edge(F.array_min, "y0").alias("y0"), edge(F.array_max, "x1").alias("x1"), edge(F.array_max, "y1").alias("y1"))

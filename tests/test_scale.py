@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sheetwise.config import Config
 from sheetwise.operators import matching, raster, tables
 from sheetwise.plans import queries
-from sheetwise.sources import fixtures
+from sheetwise.sources import fixtures, records
 
 CONFIG = Config()
 DIR = "/root/testdata/sf0.001"
@@ -50,3 +50,14 @@ def test_residual_and_sizes_read_little(spark, monkeypatch):
     assert kept[:2] == [["pair_id", "page", "run_idx", "norm"]] * 2 and len(kept) == 4
     p = queries.Pages(spark, DIR)
     assert "part.parquet" not in str(p.sizes.inputFiles()) and sorted(p.sizes.collect()) == sorted(fixtures.page_sizes(p.ref).collect())
+
+
+def test_documents_gather_runs_not_characters(spark):
+    """One gathering by page, of flat runs; maps of pages are hashed, so lines with their characters are never sorted."""
+    runs = spark.createDataFrame([("A", 1, k, k % 2, k // 2, f"T{k} x", 9.0 * k, 0.0, 9.0 * k + 8, 9.0, 1.0, 0.0) for k in range(6)], f"{KEYS}, run_idx int, block long, line int, text string, x0 double, y0 double, x1 double, y1 double, dir_x double, dir_y double")
+    for df in (records.nested(runs), records.character_documents(runs, F.col("line") == 1)):
+        assert plan(df).count("ObjectHashAggregate") == 2 and "array<struct<c:" not in str(df._jdf.queryExecution().optimizedPlan().children().head().schema().simpleString())
+    maps = runs.select("pair_id", "page", *(F.lit(v).alias(c) for c, v in zip(("m00", "m01", "m02", "m10", "m11", "m12"), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), strict=True))).distinct()
+    found = records.words(records.character_documents(runs), maps)
+    assert "ShuffledHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
+    assert sorted(r["text"] for r in found.collect()) == sorted([f"T{k}" for k in range(6)] + ["x"] * 6)
