@@ -4,7 +4,7 @@
 from pyspark.sql import functions as F
 
 from sheetwise.config import Config
-from sheetwise.operators import matching, raster, tables
+from sheetwise.operators import clusters, matching, raster, tables
 from sheetwise.plans import queries
 from sheetwise.sources import fixtures, records
 
@@ -61,3 +61,13 @@ def test_documents_gather_runs_not_characters(spark):
     found = records.words(records.character_documents(runs), maps)
     assert "ShuffledHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
     assert sorted(r["text"] for r in found.collect()) == sorted([f"T{k}" for k in range(6)] + ["x"] * 6)
+
+
+def test_components_of_many_pages_at_once(spark):
+    """Equal numbers on different pages are different runs; a page costs no call of its own."""
+    runs = spark.createDataFrame([("A", p, i) for p in (1, 2) for i in (-3, 0, 1, 2)] + [("B", 1, 7)], f"{KEYS}, run_idx int")
+    edges = spark.createDataFrame([("A", 1, -3, 2), ("A", 1, 1, 2), ("A", 2, 0, 1)], f"{KEYS}, i int, j int")
+    found = clusters.components(runs, edges)
+    assert "FlatMapGroupsInPandas" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [("A", 1, -3, -3), ("A", 1, 0, 0), ("A", 1, 1, -3), ("A", 1, 2, -3), ("A", 2, -3, -3), ("A", 2, 0, 0), ("A", 2, 1, 0), ("A", 2, 2, 2), ("B", 1, 7, 7)]
+    assert clusters.components(runs.limit(0), edges.limit(0)).count() == 0
