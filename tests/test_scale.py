@@ -4,7 +4,7 @@
 from pyspark.sql import functions as F
 
 from sheetwise.config import Config
-from sheetwise.operators import clusters, matching, raster, tables
+from sheetwise.operators import clusters, lattice, matching, raster, tables
 from sheetwise.plans import queries
 from sheetwise.sources import fixtures, records
 
@@ -71,3 +71,21 @@ def test_components_of_many_pages_at_once(spark):
     assert "FlatMapGroupsInPandas" not in plan(found)
     assert sorted(map(tuple, found.collect())) == [("A", 1, -3, -3), ("A", 1, 0, 0), ("A", 1, 1, -3), ("A", 1, 2, -3), ("A", 2, -3, -3), ("A", 2, 0, 0), ("A", 2, 1, 0), ("A", 2, 2, 2), ("B", 1, 7, 7)]
     assert clusters.components(runs.limit(0), edges.limit(0)).count() == 0
+
+
+def test_ruled_tables_of_many_pages_at_once(spark):
+    """The same corners on two page sides are different tables; a cell alone is none."""
+    corners = lambda a, d: [(a, d), (a, d + 1), (a + 1, d), (a + 1, d + 1)]
+    rows = [("A", 1, s, k, 10.0 * d, 10.0 * a, corners(a, d)) for s in ("ref", "cand") for k, (a, d) in enumerate([(1, 1), (1, 2), (5, 1), (5, 2), (9, 9)])] + [("A", 2, "ref", 0, 0.0, 0.0, corners(1, 1))]
+    cells = spark.createDataFrame(rows, f"{KEYS}, side string, cell int, x0 double, y0 double, corners array<struct<across:int,down:int>>")
+    found = lattice.tables_of(cells)
+    assert "FlatMapGroupsInPandas" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [("A", 1, s, k, k // 2) for s in ("cand", "ref") for k in range(4)]
+    assert lattice.tables_of(cells.limit(0)).count() == 0
+
+
+def test_words_are_normalised_once(spark):
+    words = spark.createDataFrame([("A", 1, "ref", 0, "Q.TY"), ("A", 1, "ref", 1, "Items")], f"{KEYS}, side string, word_idx int, text string")
+    found = tables.header_words(words, CONFIG)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [r["text"] for r in found.collect()] == ["Items"]
