@@ -89,3 +89,28 @@ def test_words_are_normalised_once(spark):
     found = tables.header_words(words, CONFIG)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
     assert [r["text"] for r in found.collect()] == ["Items"]
+
+
+def test_what_exact_matching_leaves_without_joins(spark):
+    side = lambda rows: spark.createDataFrame(rows, f"{KEYS}, run_idx int, norm string, text string")
+    ref = side([("A", 1, k, n, f"r{k}") for k, n in enumerate(["x", "x", "x", "y", None, "z"])] + [("A", 2, 0, "x", "q")])
+    cand = side([("A", 1, k, n, f"c{k}") for k, n in enumerate(["z", "x", None, "w", "z"])] + [("B", 2, 0, "x", "q")])
+    exact = matching.residual_exact(ref, cand)
+    for ours, theirs in zip(matching.residual_unmatched(ref, cand), (matching.unmatched(ref, exact, "ref"), matching.unmatched(cand, exact, "cand")), strict=True):
+        assert "Join" not in plan(ours)
+        assert sorted(map(repr, ours.collect())) == sorted(map(repr, theirs.collect()))
+
+
+def test_block_zones_without_join(spark):
+    runs = spark.createDataFrame([("A", 1, k, k // 2, f"t{k}", 9.0 * k, 0.0, 9.0 * k + 8, 9.0) for k in range(4)], f"{KEYS}, run_idx int, block long, norm string, x0 double, y0 double, x1 double, y1 double")
+    found = queries._block_zones(runs)
+    assert "Join" not in plan(found)
+    assert sorted((r["cluster"], r["text"]) for r in found.collect()) == [(0, "t0 t1"), (2, "t2 t3")]
+
+
+def test_costs_of_unmatched_runs_only(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(queries, "settled", lambda df: df)
+    monkeypatch.setattr(matching, "costs", lambda ref, cand, config, costs=matching.costs: read.append(ref) or costs(ref, cand, config))
+    queries.missing_groups(spark, DIR)
+    assert 0 < read[0].count() < queries.Pages(spark, DIR).ref.count() / 2
