@@ -4,7 +4,7 @@
 from pyspark.sql import functions as F
 
 from sheetwise.config import Config
-from sheetwise.operators import clusters, lattice, matching, raster, tables
+from sheetwise.operators import clusters, defects, lattice, matching, raster, report, tables
 from sheetwise.plans import queries
 from sheetwise.sources import fixtures, records
 
@@ -114,3 +114,17 @@ def test_costs_of_unmatched_runs_only(spark, monkeypatch):
     monkeypatch.setattr(matching, "costs", lambda ref, cand, config, costs=matching.costs: read.append(ref) or costs(ref, cand, config))
     queries.missing_groups(spark, DIR)
     assert 0 < read[0].count() < queries.Pages(spark, DIR).ref.count() / 2
+
+
+def test_few_rows_start_no_python(spark):
+    for df in (defects.templates(spark, CONFIG), report.weights(spark), report.counts_by_class(spark.range(1).select(F.lit("missing_text").alias("class")))):
+        assert "ExistingRDD" not in plan(df)
+    assert {r["category"]: r["weight"] for r in report.weights(spark).collect()} == report.CATEGORY_WEIGHTS
+
+
+def test_categories_read_one_text(spark):
+    columns = ", ".join(f"CAST(NULL AS string) AS {c}" for c in ("message", "ref_text", "zone"))
+    rows = spark.sql(f"SELECT 'A' AS pair_id, 1 AS page, 'missing_text' AS class, 'Rev 5' AS cand_text, {columns}, array(600D, 9D, 700D, 19D) AS cand_box, CAST(NULL AS array<double>) AS ref_box FROM range(1)")
+    found = report.categorised(rows, spark.createDataFrame([("A", 1, 800.0, 600.0)], f"{KEYS}, width double, height double"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("concat_ws(") <= 1
+    assert [r["category"] for r in found.collect()] == ["Revision History"]
