@@ -5,8 +5,10 @@ where windows begin follows from the words alone: in every stretch of WINDOW shi
 window wherever it stands, in the middle of a line too.
 
 Bands of MinHash values are tuned for recall at the similarity threshold. First, band keys alone are counted over all texts. Keys that repeat are put into a
-bit map of bounded size, and in a second pass only units with a key in it are written (a wrong hit costs a row, not a result). A document counts once for each key,
-so that units of one text that overlap don't count as repeats. Equal units become one class; classes that share a band key are compared, by exact Jaccard over 32-bit hashes of shingles.
+bit map of bounded size, at two places each, and in a second pass only units with a key in it are written, and units that such a one can bring into its group within its text
+(so a wrong hit costs a row, and neither adds nor changes a result). A document counts once for each key, so that units of one text that overlap don't count as repeats. Equal units become one class; classes that share a band key are compared, by exact Jaccard over 32-bit hashes of shingles.
+What is sent to the lists is a class and a mark of 64 bits, not its shingles. A window's mark has a bit for each shingle: sets that agree in all but D shingles differ in 2 D bits at most, so marks that differ in more rule a pair out and lose none.
+A paragraph's mark has its number of shingles, and whether an even or odd number of them fall to each bit, which bounds how far two differ in the same way. Shingles are sent only for the pairs that are left.
 Paragraphs in band lists of any length are compared by ``setjoin``. A band list of more than LIGHT windows isn't paired: two sets of PARAGRAPH shingles reach the threshold exactly if they agree in all but
 two. So its classes are listed by pairs of six buckets of their shingles, of which similar ones share a pair, and what is in a long list again, under each of its subsets without two shingles: any two classes
 with one subset in common are linked. Components of links are groups of repeats; each keeps its first occurrence, by (key, position), and the spans of the others are removed.
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -149,81 +151,227 @@ def band_keys(sets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _units(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable]]:
-    """For windows, then for paragraphs: (text, first word, words, band keys, what gives classes and 32-bit sets of some of them)."""
+def marks(sets: np.ndarray) -> np.ndarray:
+    """64 bits for each window, one (maybe the same) for each of its shingles."""
+    return np.bitwise_or.reduce(np.uint64(1) << (mix(sets) & np.uint64(63)), axis=1)
+
+
+def near_marks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which windows can share COMMON shingles: each one that is in one of them only is a bit at most."""
+    return np.bitwise_count(a ^ b) <= 2 * (PARAGRAPH - COMMON)
+
+
+def line_marks(sets: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """64 bits for each paragraph: its number of different shingles (16 bits, the highest number for more), and of 48 bits those to which an odd number of them fall."""
+    odd = np.append(np.uint64(0), np.bitwise_xor.accumulate(np.uint64(1) << (np.uint64(16) + mix(sets.astype(np.uint64)) % np.uint64(48))))
+    ends = np.cumsum(count)
+    return (odd[ends] ^ odd[ends - count]) | np.minimum(count, 0xFFFF).astype(np.uint64)
+
+
+def near_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which paragraphs can be similar: by their numbers of shingles, and as each shingle that is in one of them only changes one bit."""
+    m, n = ((x & np.uint64(0xFFFF)).astype(np.int64) for x in (a, b))
+    most = np.where(np.maximum(m, n) < 0xFFFF, (1 - SIMILARITY) / (1 + SIMILARITY) * (m + n) + 1e-6, 48)
+    return (np.minimum(m, n) >= SIMILARITY * np.maximum(m, n) - 1e-6) & (np.bitwise_count((a ^ b) >> np.uint64(16)) <= most)
+
+
+def _in_text(bands: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The band keys of units, each mixed with the text that has it."""
+    return mix(bands.ravel() + mix(np.repeat(doc, BANDS).astype(np.uint64) + np.uint64(1)))
+
+
+def joined_by(hit: np.ndarray, bands: np.ndarray, doc: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Which units are hit, or may be similar to one of their own text that is, directly or by others: those that share a band key there and are ``near`` (numbers of units; in lists of over LIGHT all count as near)."""
+    out = hit.copy()
+    if out.all() or not out.any():
+        return out
+    keys = _in_text(bands, doc)
+    order = np.argsort(keys, kind="stable")
+    begin = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+    size = np.diff(np.append(begin, len(order)))
+    unit, first = order // BANDS, np.repeat(begin, size)
+    left = first + np.repeat(size, size) - np.arange(len(order))  # units of a list from each one on
+    many = np.repeat(size > LIGHT, size)
+    links = [(unit[many], unit[first[many]])]
+    left[many] = 0
+    for d in range(1, int(left.max(initial=1))):
+        at = np.flatnonzero(left > d)
+        a, b = unit[at], unit[at + d]
+        some = ~(hit[a] & hit[b]) & (a != b)
+        a, b = a[some], b[some]
+        some = near(a, b)
+        links.append((a[some], b[some]))
+    a, b = (np.concatenate(x) for x in zip(*links))
+    while len(a):
+        apart = out[a] != out[b]
+        if not apart.any():
+            break
+        out[a[apart]] = out[b[apart]] = True
+        a, b = a[~apart], b[~apart]
+    return out
+
+
+def _units(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable, Callable]]:
+    """For windows, then for paragraphs: (text, first word, words, band keys, what gives classes, 32-bit sets, their sizes and marks of some of them, what tells which two can be similar)."""
     w, shingles = shingled(t.column("text"))
     doc, begin, sets = paragraphs(w, shingles)
     sets = counted(sets)
 
-    def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         classes = np.zeros(len(at), dtype=np.uint64)
         for k in range(PARAGRAPH):
             classes = mix(classes + sets[at, k])
-        return (classes & ~np.uint64(1)).view(np.int64), sets[at].astype(np.uint32).ravel(), np.full(len(at), PARAGRAPH)
+        return (classes & ~np.uint64(1)).view(np.int64), sets[at].astype(np.uint32).ravel(), np.full(len(at), PARAGRAPH), marks(sets[at]).view(np.int64)
 
-    yield doc, begin, np.full(len(doc), PARAGRAPH + SHINGLE - 1), band_keys(sets), windows
+    yield doc, begin, np.full(len(doc), PARAGRAPH + SHINGLE - 1), band_keys(sets), windows, lambda a, b: near_marks(marks(sets[a]), marks(sets[b]))
     doc, begin, size, cut = lines(w)
     values, count = line_shingles(shingles, cut, size)
 
-    def whole(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def whole(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         some, n = distinct(*line_shingles(shingles, cut[at], size[at]))
-        return set_classes(some, n) | 1, short(some, n), n
+        flat = short(some, n)
+        return set_classes(some, n) | 1, flat, n, line_marks(flat, n).view(np.int64)
+
+    yield doc, begin, size, line_bands(values >> np.uint64(32), count), whole, lambda a, b: np.ones(len(a), dtype=bool)
+
 
-    yield doc, begin, size, line_bands(values >> np.uint64(32), count), whole
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two numbers of a band key that the bit map holds."""
+    return keys, keys >> np.uint64(32)
+
+
+def _lists_of(values: np.ndarray, count: np.ndarray, null: np.ndarray) -> pa.ListArray:
+    """Lists of so many values, one after another; those of null are null."""
+    count = np.where(null, 0, count)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32(), mask=np.append(null, False)), pa.array(values))
 
 
 def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, begin, words, class, shingles) of all units with a band key that another document seems to have; classes of windows are even, of paragraphs odd; shingles are null for most of equal ones."""
+    """(key, begin, words, class, mark, posts, shingles) of all units with a band key that another document seems to have, and of those that such a unit can bring in within its text; classes of windows are even, of paragraphs odd. Mark, posts and shingles are null for most of equal ones.
+
+    Posts are the band keys in which a unit can meet another one that is written: those that another document seems to have, or another unit of its block has."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in gathered(batches, BLOCK):
-            for doc, _, _, bands, _ in _units(t):
-                once = np.unique(mix(bands.ravel() + mix(np.repeat(doc, BANDS).astype(np.uint64) + np.uint64(1))), return_index=True)[1]
+            for doc, _, _, bands, _, _ in _units(t):
+                once = np.unique(_in_text(bands, doc), return_index=True)[1]
                 yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()[once].view(np.int64))], names=["key"])
 
     repeated = written(rows.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
-    sent = df.sparkSession.sparkContext.broadcast(bit_map(repeated))
+    sent = df.sparkSession.sparkContext.broadcast(bit_map(repeated.select(F.explode(F.array("key", F.shiftrightunsigned("key", 32))).alias("key"))))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in gathered(batches, BLOCK):
-            for doc, begin, size, bands, of in _units(t):
-                at = np.flatnonzero(hits(sent.value, bands).any(axis=1))
+            for doc, begin, size, bands, of, near in _units(t):
+                hit = np.logical_and(*(hits(sent.value, x) for x in _places(bands)))
+                at = np.flatnonzero(joined_by(hit.any(axis=1), bands, doc, near))
                 if len(at):
-                    classes, flat, count = of(at)
-                    lone = np.zeros(len(at), dtype=bool)  # of equal units of a block, one carries the shingles
-                    lone[np.unique(classes, return_index=True)[1]] = True
-                    shingles = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(flat.view(np.int32)))
-                    shingles = pc.if_else(pa.array(lone), shingles, pa.nulls(len(at), shingles.type))
-                    yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks().take(pa.array(doc[at])), pa.array(begin[at].astype(np.int32)), pa.array(size[at].astype(np.int32)), pa.array(classes), shingles], names=["key", "begin", "words", "class", "shingles"])
+                    classes, flat, count, mark = of(at)
+                    copy = np.ones(len(at), dtype=bool)  # of equal units of a block, one carries the shingles
+                    copy[np.unique(classes, return_index=True)[1]] = False
+                    bands, hit = bands[at], hit[at]
+                    _, number, times = np.unique(bands, return_inverse=True, return_counts=True)
+                    post = (hit | (times[number.reshape(bands.shape)] > 1)) & ~copy[:, None]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            t.column("key").combine_chunks().take(pa.array(doc[at])),
+                            pa.array(begin[at].astype(np.int32)),
+                            pa.array(size[at].astype(np.int32)),
+                            pa.array(classes),
+                            pa.array(mark, mask=copy),
+                            _lists_of(bands[post].view(np.int64), post.sum(axis=1), copy),
+                            _lists_of(flat[np.repeat(~copy, count)].view(np.int32), count, copy),
+                        ],
+                        names=["key", "begin", "words", "class", "mark", "posts", "shingles"],
+                    )
+
+    return rows.mapInArrow(found, "key long, begin int, words int, class long, mark long, posts array<long>, shingles array<int>")
+
+
+def _met(rows: DataFrame, light: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """rows (class, mark, post), equal ones allowed -> (post, u, v): the pairs u < v of a list of at most ``light`` classes whose marks are ``near``, and (post, u, null) for each class of a longer list (some more than once).
+
+    Lists come one after another, in order; only one that may go on in the next batch, and is short so far, is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["post", "class", "mark"]
+        held = {k: np.zeros(0, np.int64) for k in names}
+        longer = None  # the post of a longer list that may go on
+        for batch in chain(batches, [None]):
+            now = held if batch is None else {k: np.concatenate((held[k], batch.column(i).to_numpy())) for i, k in enumerate(names)}
+            post, u = now["post"], now["class"]
+            if not len(post):
+                continue
+            new = np.append(True, (post[1:] != post[:-1]) | (u[1:] != u[:-1]))
+            post, u, mark = post[new], u[new], now["mark"][new]
+            begin = np.flatnonzero(np.append(True, post[1:] != post[:-1]))
+            size = np.diff(np.append(begin, len(post)))
+            long_ = (size > light) | (post[begin] == longer if longer is not None else False)
+            if batch is not None and not long_[-1]:
+                held = {"post": post[begin[-1] :], "class": u[begin[-1] :], "mark": mark[begin[-1] :]}
+                post, u, mark, begin, size, long_ = post[: begin[-1]], u[: begin[-1]], mark[: begin[-1]], begin[:-1], size[:-1], long_[:-1]
+                longer = None
+            else:
+                held, longer = {k: np.zeros(0, np.int64) for k in names}, post[-1]
+            left = np.repeat(np.where(long_, 0, begin + size), size) - np.arange(len(post))  # classes of a short list from each one on
+            alone = np.flatnonzero(np.repeat(long_, size))
+            yield pa.RecordBatch.from_arrays([pa.array(post[alone]), pa.array(u[alone]), pa.nulls(len(alone), pa.int64())], names=["post", "u", "v"])
+            for d in range(1, int(size[~long_].max(initial=1))):
+                at = np.flatnonzero(left > d)
+                at = at[near(mark[at].view(np.uint64), mark[at + d].view(np.uint64))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (post[at], u[at], u[at + d])], names=["post", "u", "v"])
+        release_memory()
+
+    return rows.select("post", "class", "mark").repartition("post").sortWithinPartitions("post", "class").mapInArrow(run, "post long, u long, v long")
 
-    return rows.mapInArrow(found, "key long, begin int, words int, class long, shingles array<int>")
 
+def _stars(rows: DataFrame) -> DataFrame:
+    """rows (class, post) -> (u, v): the least class of each list, and each other one."""
 
-def _listed(rows: DataFrame, light: int, label: str) -> tuple[DataFrame, DataFrame]:
-    """rows (class, shingles, post) -> (u, v) of similar classes in lists of at most ``light``, and the classes of longer lists."""
-    sizes = rows.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
-    listed = written(rows.join(sizes, "post"), label)
-    lists = listed.where(F.col("n") <= light).groupBy("post").agg(F.collect_list(F.struct("class", "shingles")).alias("list"))
-    pairs = lists.select("list", F.explode("list").alias("u")).select("u", F.explode(F.filter("list", lambda v: v["class"] > F.col("u.class"))).alias("v"))
-    near = pairs.where(F.size(F.array_intersect("u.shingles", "v.shingles")) >= COMMON).select(F.col("u.class").alias("u"), F.col("v.class").alias("v"))
-    return near, written(listed.where(F.col("n") > light).select("class", "shingles").dropDuplicates(["class"]), f"{label}-long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = least = None  # post of the list that may go on, its least class
+        for batch in batches:
+            post, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if len(post):
+                begin = np.flatnonzero(np.append(True, post[1:] != post[:-1]))
+                first = v[begin]
+                if post[0] == last:
+                    first[0] = least
+                last, least = post[-1], first[-1]
+                u = np.repeat(first, np.diff(np.append(begin, len(post))))
+                other = np.flatnonzero(u != v)
+                yield pa.RecordBatch.from_arrays([pa.array(u[other]), pa.array(v[other])], names=["u", "v"])
+        release_memory()
 
+    return rows.select("post", "class").repartition("post").sortWithinPartitions("post", "class").mapInArrow(run, "u long, v long")
 
-def _posted(classes: DataFrame, keys, with_shingles: bool = True) -> DataFrame:
-    """A row (class, shingles, post) for each of the keys (matrix of numbers) that ``keys`` makes of each class's shingles."""
+
+def _of(classes: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """(class, shingles) of ids (id), once each, and of a few other classes: what is not in a bit map of them isn't sent."""
+    sent = classes.sparkSession.sparkContext.broadcast(bit_map(ids.select(F.shiftrightunsigned("id", 1).alias("key"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(hits(sent.value, batch.column(0).to_numpy().view(np.uint64) >> np.uint64(1))))
+        release_memory()
+
+    return written(classes.select("class", "shingles").mapInArrow(run, "class long, shingles array<int>").dropDuplicates(["class"]), label)
+
+
+def _posted(classes: DataFrame, keys) -> DataFrame:
+    """A row (class, mark, post) for each of the keys (matrix of numbers) that ``keys`` makes of each class's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 2000):
                 batch = whole.slice(a, 2000)
-                posts = keys(batch.column(1).flatten().to_numpy().view(np.uint32).astype(np.uint64).reshape(-1, PARAGRAPH))
-                at = pa.array(np.repeat(np.arange(batch.num_rows), posts.shape[1]))
-                columns = [batch.column(0).take(at), *([batch.column(1).take(at)] if with_shingles else []), pa.array(posts.ravel().view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["class", *(["shingles"] if with_shingles else []), "post"])
+                sets = batch.column(1).flatten().to_numpy().view(np.uint32).astype(np.uint64).reshape(-1, PARAGRAPH)
+                posts = keys(sets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), posts.shape[1]))), pa.array(np.repeat(marks(sets).view(np.int64), posts.shape[1])), pa.array(posts.ravel().view(np.int64))], names=["class", "mark", "post"])
         release_memory()
 
-    return classes.select("class", "shingles").mapInArrow(run, f"class long, {'shingles array<int>, ' if with_shingles else ''}post long")
+    return classes.select("class", "shingles").mapInArrow(run, "class long, mark long, post long")
 
 
 def bucket_keys(sets: np.ndarray) -> np.ndarray:
@@ -241,42 +389,40 @@ def subset_keys(sets: np.ndarray) -> np.ndarray:
     return mixed.sum(axis=1, dtype=np.uint64)[:, None] - mixed[:, out].sum(axis=2, dtype=np.uint64)
 
 
-def links(classes: DataFrame, light: int = LIGHT) -> DataFrame:
-    """classes (class, shingles) -> (u, v): classes of a Jaccard similarity of SIMILARITY or more, enough of them to connect what meets in a band.
+def _ids(met: DataFrame) -> DataFrame:
+    """Classes of a pair or of a longer list."""
+    return met.select("u").unionAll(met.where("v is not null").select("v")).withColumnRenamed("u", "id").distinct()
 
-    Classes of long band lists are listed again by pairs of buckets, which anything similar agrees in; those of lists that are still long, by subsets."""
-    near, long_ = _listed(_posted(classes, band_keys), light, "bands")
-    closer, longer = _listed(_posted(long_, bucket_keys), light, "buckets")
-    under = written(_posted(longer, subset_keys, with_shingles=False), "subsets")
-    least = under.groupBy("post").agg(F.min("class").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = under.join(least, "post").where("u <> class").select("u", F.col("class").alias("v"))
-    return near.unionAll(closer).unionAll(stars).distinct()
 
+def links(classes: DataFrame, light: int = LIGHT, posted: DataFrame | None = None) -> DataFrame:
+    """classes (class, shingles), equal ones allowed -> (u, v), some more than once: classes of a Jaccard similarity of SIMILARITY or more, enough of them to connect what meets in a band. posted: (class, mark, post) by bands, if that is known.
 
-def line_groups(classes: DataFrame) -> DataFrame:
-    """classes (class, shingles) of paragraphs -> (node, component) of those that are connected by a similarity of SIMILARITY or more, among what meets in a band."""
+    Classes of long band lists are listed again by pairs of buckets, which anything similar agrees in; those of lists that are still long, by subsets."""
+    met = written(_met(_posted(classes, band_keys) if posted is None else posted, light, near_marks).select("u", "v").distinct(), "bands-met")
+    sets = _of(classes, _ids(met), "sets")
+    of = lambda met: sets.join(met.where("v is null").select(F.col("u").alias("class")), "class", "left_semi")
+    again = written(_met(_posted(of(met), bucket_keys), light, near_marks).select("u", "v").distinct(), "buckets-met")
+    pairs = met.unionAll(again).where("v is not null").distinct()
+    both = pairs.join(sets.select(F.col("class").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("class").alias("v"), F.col("shingles").alias("b")), "v")
+    near = both.where(F.size(F.array_intersect("a", "b")) >= COMMON).select("u", "v")
+    return near.unionAll(_stars(_posted(of(again), subset_keys)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(a, 2000) for a in range(0, whole.num_rows, 2000)):
-                sets = batch.column(1)
-                posts = line_bands(sets.flatten().to_numpy().view(np.uint32).astype(np.uint64), sets.value_lengths().to_numpy().astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS))), pa.array(posts.ravel().view(np.int64))], names=["id", "post"])
-        release_memory()
 
-    posted = classes.select("class", "shingles").mapInArrow(run, "id long, post long")
-    sizes = posted.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
-    listed = written(posted.join(sizes, "post"), "line-lists")
-    members = listed.where(F.col("n") <= setjoin.LIGHT).groupBy("post").agg(F.collect_list("id").alias("list"))
-    pairs = members.select("list", F.explode("list").alias("u")).select("u", F.explode(F.filter("list", lambda v: v > F.col("u"))).alias("v")).distinct()
-    return setjoin.linked(pairs, listed.where(F.col("n") > setjoin.LIGHT), classes.select(F.col("class").alias("id"), "shingles"), SIMILARITY)
+def line_groups(classes: DataFrame, posted: DataFrame) -> DataFrame:
+    """classes (class, shingles) of paragraphs, equal ones allowed, and posted (class, mark, post) by bands -> (node, component) of those that are connected by a similarity of SIMILARITY or more, among what meets in a band."""
+    met = written(_met(posted, setjoin.LIGHT, near_lines).distinct(), "line-lists")
+    heavy = met.where("v is null").select("post", F.col("u").alias("id"))
+    heavy = written(heavy.join(heavy.groupBy("post").agg(F.count("*").alias("n")), "post"), "line-lists-long")
+    sets = _of(classes, _ids(met), "line-sets")
+    return setjoin.linked(met.where("v is not null").select("u", "v").distinct(), heavy, sets.withColumnRenamed("class", "id"), SIMILARITY)
 
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each unit that other documents have too: key, begin and end (word numbers), component, first (does this occurrence stay)."""
     found = written(candidates(df, key, text), "units")
-    classes = written(found.where("shingles is not null").groupBy("class").agg(F.first("shingles").alias("shingles")), "unit-classes")
-    groups = connected_components(links(classes.where("class & 1 = 0"))).unionAll(line_groups(classes.where("class & 1 = 1"))).withColumnRenamed("node", "class")
+    windows, whole = (found.where(f"class & 1 = {k} AND mark is not null") for k in (0, 1))
+    posted = lambda units: units.select("class", "mark", F.explode("posts").alias("post"))
+    groups = connected_components(links(windows, posted=posted(windows))).unionAll(line_groups(whole, posted(whole))).withColumnRenamed("node", "class")
     named = found.select("key", "begin", "words", "class").join(groups, "class", "left").select("key", "begin", "words", F.coalesce("component", "class").alias("component"))
     named = written(named, "named")
     # A row for each component, written, so that the rows of a very common one can be dealt to many tasks in the join.
@@ -288,24 +434,28 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def merged(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """repeats() by document: key, n_paragraphs, spans and removed (word numbers from, to; overlapping ones joined), removed_words."""
 
-    def join(spans: list) -> list[dict]:
-        out: list[dict] = []
-        for begin, end in sorted(spans):
-            if out and begin <= out[-1]["end"]:
-                out[-1]["end"] = max(out[-1]["end"], end)
-            else:
-                out.append({"begin": begin, "end": end})
-        return out
+    span = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
 
-    span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    def joined(row: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> pa.ListArray:
+        """Spans of n rows, overlapping ones joined (by row, in order)."""
+        order = np.lexsort((begin, row))
+        row, begin, end = row[order], begin[order], end[order]
+        reach = np.maximum.accumulate(end + (row << 32)) if len(row) else row  # of a row's spans so far: those of earlier rows lie below
+        new = np.append(True, begin[1:] + (row[1:] << 32) > reach[:-1])[: len(row)]
+        at = np.flatnonzero(new)
+        ends = (reach - (row << 32))[np.append(at[1:], len(row))[: len(at)] - 1]
+        parts = pa.StructArray.from_arrays([pa.array(begin[at].astype(np.int32)), pa.array(ends.astype(np.int32))], fields=list(span))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(n + 1)), pa.int32()), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1).to_pylist()
-            every = [join([(x["begin"], x["end"]) for x in a]) for a in lists]
-            gone = [join([(x["begin"], x["end"]) for x in a if not x["first"]]) for a in lists]
-            words = [sum(x["end"] - x["begin"] for x in a) for a in gone]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(a) for a in lists], pa.int32()), pa.array(every, span), pa.array(gone, span), pa.array(words, pa.int64())], names=[key, "n_paragraphs", "spans", "removed", "removed_words"])
+            n, lists, flat = batch.num_rows, batch.column(1), batch.column(1).flatten()
+            row = np.repeat(np.arange(n, dtype=np.int64), lists.value_lengths().to_numpy())
+            begin, end = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            gone = ~flat.field(2).to_numpy(zero_copy_only=False)
+            removed = joined(row[gone], begin[gone], end[gone], n)
+            words = np.bincount(np.repeat(np.arange(n), removed.value_lengths().to_numpy()), weights=pc.subtract(removed.flatten().field(1), removed.flatten().field(0)).to_numpy(), minlength=n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists.value_lengths(), joined(row, begin, end, n), removed, pa.array(words.astype(np.int64))], names=[key, "n_paragraphs", "spans", "removed", "removed_words"])
 
     spans = "array<struct<begin:int,end:int>>"
     by_doc = df.groupBy(key).agg(F.collect_list(F.struct("begin", "end", "first")).alias("list"))

@@ -153,6 +153,85 @@ def test_substrings_equal_brute_force(spark):
     assert {60, 30, 24} <= lengths
 
 
+def shuffled_mb(spark, run):
+    """MB that run() writes to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) / 1e6
+
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = total()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return total() - before
+
+
+def test_lists_are_sent_without_shingles(spark):
+    """Unlike windows that meet in a band are told apart by marks: a post costs some 30 bytes of a shuffle, not 100 and more with the shingles."""
+    rng = np.random.default_rng(3)
+    sets = np.sort(rng.integers(0, 400, (6000, 20)) + np.arange(20) * 400, axis=1)  # few of a place's 400 shingles: bands meet by chance
+    df = spark.createDataFrame([(2 * i, [int(x) for x in s]) for i, s in enumerate(sets)], "class long, shingles array<int>")
+    meets = df.select("class", "shingles")
+    meets.write.parquet(path := fresh_path(spark, "test-classes"))
+    classes = spark.read.parquet(path)
+    assert shuffled_mb(spark, lambda: substrings.links(classes).count()) < 6000 * substrings.BANDS * 50 / 1e6
+
+
+def test_met_equals_brute_force(spark):
+    """Lists of one class to hundreds, with equal rows, over batches of seven rows: all near pairs of short lists, all classes of longer ones; stars connect each list."""
+    rng = random.Random(8)
+    rows = [(c, c % 64, p) for p, n in enumerate([1, 2, 5, 24, 25, 26, 60, 300, 3, 7, 24]) for c in rng.sample(range(1000), n) for _ in range(rng.choice([1, 1, 3]))]
+    lists = collections.defaultdict(set)
+    for c, m, p in rows:
+        lists[p].add(c)
+    rng.shuffle(rows)
+    near = lambda a, b: np.abs(a.astype(np.int64) - b.astype(np.int64)) < 9
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows, "class long, mark long, post long")
+        got = [tuple(r) for r in substrings._met(df, 24, near).collect()]
+        stars = [tuple(r) for r in substrings._stars(df).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs = [x for x in got if x[2] is not None]
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == {(p, a, b) for p, x in lists.items() if len(x) <= 24 for a, b in itertools.combinations(sorted(x), 2) if abs(a % 64 - b % 64) < 9}
+    assert {x[:2] for x in got if x[2] is None} == {(p, c) for p, x in lists.items() if len(x) > 24 for c in x}
+    assert set(stars) == {(min(x), c) for x in lists.values() for c in x if c != min(x)}
+
+
+def test_marks_lose_no_similar_pair():
+    """Pairs at the threshold and just above, windows and paragraphs: none is ruled out; unlike ones mostly are."""
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 1 << 32, (4000, 20)).astype(np.uint64)
+    b = a.copy()
+    b[:, :2] = rng.integers(0, 1 << 32, (4000, 2))
+    assert substrings.near_marks(substrings.marks(a), substrings.marks(b)).all()
+    assert substrings.near_marks(substrings.marks(a), substrings.marks(a[::-1])).mean() < 0.01
+    for n, m, common in ((20, 20, 18), (40, 36, 34), (60, 75, 60), (100, 100, 89), (70_000, 70_000, 63_000), (60_000, 70_000, 60_000)):
+        assert common >= 0.8 * (n + m - common)
+        for _ in range(3):
+            x = rng.choice(1 << 32, n + m - common, replace=False).astype(np.uint32) if n < 1000 else np.arange(n + m - common, dtype=np.uint32)
+            u, v = x[:n], x[n - common :]
+            assert substrings.near_lines(*(substrings.line_marks(y, np.array([len(y)])) for y in (u, v))).all()
+
+
+def test_substrings_of_one_text_that_others_bring_in(spark):
+    """Lines of one text that drift word by word from a line that another text has: the last ones share no band key with that text, but belong to the group as brute force has it."""
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    line = [word() for _ in range(70)]
+    drift = [line]
+    for k in range(16):
+        drift.append([word() if j == 2 + 4 * k else x for j, x in enumerate(drift[-1])])
+    rows = ["\n".join(" ".join(x) for x in [line, [word() for _ in range(40)]]), "\n".join(" ".join(x) for x in drift[1:]), " ".join(word() for _ in range(90))]
+    got = {(r["doc_id"], r["begin"], r["end"]): r["component"] for r in substrings.repeats(frame(spark, rows)).collect()}
+    whole = [(0, 0, 70)] + [(1, 70 * k, 70 * k + 70) for k in range(16)]
+    assert len({got.get(x) for x in whole}) == 1 and None not in {got.get(x) for x in whole}
+
+
 def test_a_small_source_has_small_blocks(spark):
     """Three words beside a million: the schedule stays small, and what is taken equals a walk over the slots."""
     df = spark.createDataFrame([(0, "a b c", "x", "tiny", 0)] + [(i, "w " * 4000, "x", "big", 0) for i in range(1, 251)], DOCS)
