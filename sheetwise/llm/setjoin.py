@@ -153,9 +153,10 @@ def _apart(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return labelled.join(several, "post")
 
 
-def linked(pairs: DataFrame, heavy: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) of sets that are connected by similar pairs: pairs (u, v), and any two sets of a list of heavy (post, id, n). sets: id, shingles."""
+def linked(pairs: DataFrame, heavy: DataFrame, sets: DataFrame, similarity: float, heavy_sets: DataFrame | None = None) -> DataFrame:
+    """(node, component) of sets that are connected by similar pairs: pairs (u, v), and any two sets of a list of heavy (post, id, n). sets: id, shingles; heavy_sets: those of heavy, where these are few beside all sets, as they are sent several times."""
     found, groups = [_similar(pairs, sets, similarity)], None
+    sets = sets if heavy_sets is None else heavy_sets
     for k in range(LINKING + 1):
         now = heavy.withColumn("component", F.col("id")) if groups is None else written(_apart(heavy, groups), "apart")
         if k < LINKING:

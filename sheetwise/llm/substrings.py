@@ -414,7 +414,8 @@ def line_groups(classes: DataFrame, posted: DataFrame) -> DataFrame:
     heavy = met.where("v is null").select("post", F.col("u").alias("id"))
     heavy = written(heavy.join(heavy.groupBy("post").agg(F.count("*").alias("n")), "post"), "line-lists-long")
     sets = _of(classes, _ids(met), "line-sets")
-    return setjoin.linked(met.where("v is not null").select("u", "v").distinct(), heavy, sets.withColumnRenamed("class", "id"), SIMILARITY)
+    long_ = _of(sets, heavy.select("id").distinct(), "line-sets-long")
+    return setjoin.linked(met.where("v is not null").select("u", "v").distinct(), heavy, sets.withColumnRenamed("class", "id"), SIMILARITY, long_.withColumnRenamed("class", "id"))
 
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
