@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-#: Tables of the scratch blocks that are open, the innermost last.
-_scratch: list[list[str]] = []
+#: Tables and broadcasts of the scratch blocks that are open, the innermost last.
+_scratch: list[list[str | Broadcast]] = []
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -56,6 +57,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent_out(spark: SparkSession, value: object) -> Broadcast:
+    """value as a broadcast, which the scratch block that is open takes back at its end."""
+    out = spark.sparkContext.broadcast(value)
+    if _scratch:
+        _scratch[-1].append(out)
+    release_memory()
+    return out
+
+
 class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -74,13 +84,16 @@ class Scratch:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Scratch]:
-    """Everything that is written within the block is deleted at its end, but for kept() results: a query leaves its result in the shared folder, not its intermediate tables."""
+    """Everything that is written or sent_out within the block is deleted at its end, but for kept() results: a query leaves its result in the shared folder, not its intermediate tables. A result that is not kept() must not read either."""
     _scratch.append([])
     try:
         yield Scratch(spark)
     finally:
-        for path in _scratch.pop():
-            drop_written(path, spark)
+        for made in _scratch.pop():
+            if isinstance(made, str):
+                drop_written(made, spark)
+            else:
+                made.destroy()
 
 
 def word_array(text: Column) -> Column:

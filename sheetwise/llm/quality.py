@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, gathered, held_out, labelled_sample, table
+from .common import Words, gathered, held_out, labelled_sample, release_memory, sent_out, table
 
 #: Hashed columns; length of a feature's vector; labelled rows to learn from at most; passes over them; rows in a step.
 BUCKETS, FACTORS, SAMPLE, EPOCHS, STEP = 1 << 14, 8, 6_000, 12, 64
@@ -135,17 +135,19 @@ def fit(documents: DataFrame, labels: DataFrame, fold: int = 3, bound: int = SAM
             yield from pa.table({"doc_id": t.column("doc_id"), "label": t.column("_label"), "columns": lists(column, pa.int32()), "values": lists(value, pa.float32()), "dense": pa.array(list(dense), pa.list_(pa.float64()))}).to_batches()
 
     found = rows.mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, label int, columns array<int>, values array<float>, dense array<double>").toArrow().sort_by("doc_id")
-    column = [np.asarray(x, dtype=np.int64) for x in found.column("columns").to_pylist()]
-    value = [np.asarray(x, dtype=np.float64) for x in found.column("values").to_pylist()]
-    dense = np.array(found.column("dense").to_pylist(), dtype=np.float64).reshape(-1, DENSE)
-    row = np.repeat(np.arange(len(column)), [len(c) for c in column])
-    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return train(found.column("label").to_numpy().astype(np.float64), row, join(column, np.int64), join(value, np.float64), dense)
+    # Numbers stay in Arrow's buffers: as Python objects they take ten times the memory, which the driver doesn't give back.
+    lists = {k: found.column(k).combine_chunks() for k in ("columns", "values", "dense")}
+    column, value, dense = (x.flatten().to_numpy() for x in lists.values())
+    row = np.repeat(np.arange(found.num_rows), lists["columns"].value_lengths().to_numpy(zero_copy_only=False))
+    machine = train(found.column("label").to_numpy().astype(np.float64), row, column, value, dense.reshape(-1, DENSE))
+    del found, lists, row, column, value, dense
+    release_memory()
+    return machine
 
 
 def scored(df: DataFrame, machine: Machine) -> DataFrame:
     """df with ``quality_score`` (double) for each row; its columns pass unread but for text and n_chars."""
-    sent = df.sparkSession.sparkContext.broadcast(machine)
+    sent = sent_out(df.sparkSession, machine)
     names = [c for c in df.columns if c != "quality_score"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
 

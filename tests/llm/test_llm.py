@@ -4,8 +4,10 @@ import collections
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -430,6 +432,32 @@ def test_quality(spark):
     assert all(r["quality_score"] == 0.5 for r in quality.scored(df, empty).collect())
 
 
+def test_quality_learns_without_python_numbers(spark, monkeypatch):
+    """The driver holds the examples as numbers of an array: 2,000 texts of 150 words each take a few MB."""
+    rng = random.Random(9)
+    rows = [" ".join(f"w{rng.randrange(5000)}" for _ in range(150)) + " $" * (i % 2) for i in range(4000)]
+    told = {}
+    monkeypatch.setattr(quality, "train", lambda *x: told.update(zip(("labels", "row", "column", "value", "dense"), x, strict=True)))
+    tracemalloc.start()
+    try:
+        quality.fit(frame(spark, rows), labels(spark, rows))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    chosen = [i for i in range(4000) if i % 4 and zlib.crc32(str(i).encode()) % 3 != 1]
+    row, column, value, dense = quality.features(pa.table({"text": [rows[i] for i in chosen], "n_chars": [len(rows[i]) for i in chosen]}))
+    assert told["labels"].tolist() == [i % 2 == 0 for i in chosen] and np.array_equal(told["row"], row) and np.array_equal(told["column"], column)
+    assert np.array_equal(told["value"], value.astype(np.float32)) and np.array_equal(told["dense"], dense)
+    assert len(row) > 250_000 and peak < 24 * len(row)
+
+
+def test_broadcasts_go_with_the_block(spark):
+    held = lambda: sum(x.is_file() for x in pathlib.Path(spark.sparkContext._temp_dir).iterdir())
+    before = held()
+    kept = neartext.deduplicated(frame(spark, texts(40, 8, (60, 90))))
+    assert held() == before and kept.count() > 30
+
+
 def test_line_dedup(spark):
     rng = random.Random(6)
     rows = ["\n".join(rng.choice("abcdef") for _ in range(rng.randint(0, 9))) for _ in range(80)] + ["x\n\n\n\n\n\ny", None, "", "a\nb", "p\nq\nr\np\nq\nr", "p\nq\nr"]
