@@ -8,6 +8,8 @@ So no link between components is lost, whatever the length of lists.
 
 Sets are compared by 32-bit hashes of their elements, kept different within a set: two different elements of a pair are taken for one in some ten thousandth of the pairs of 500 elements.
 
+Sets weigh by their elements (LONG of them weigh as one set), and chunks are filled by weight, so a list of long texts has more chunks, not larger ones; overlaps are added up over ranges of hashes, HELD elements at a time.
+
 Defined cases: a set that comes twice is compared twice; a list of one set links nothing; an empty set is similar to none; tables without rows give no components.
 """
 
@@ -25,8 +27,8 @@ from .components import connected_components
 
 #: Sets in a list that is compared pair by pair, in a chunk, rounds of chosen lists within chunks, sets outside of a list's largest component that are paired with the others.
 LIGHT, CHUNK, LINKING, FEW = 10, 512, 2, 16
-#: Columns of a matrix of overlaps that are held at once.
-COLUMNS = 4096
+#: Columns of a matrix of overlaps, and elements of its sets, that are held at once; elements of a set that weighs as one.
+COLUMNS, HELD, LONG = 4096, 1 << 19, 1000
 
 
 def distinct(hashes: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +70,19 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def overlaps(flat: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Shared elements of each set of left with each of right (numbers of sets; flat: all sets, one after another)."""
-    owner = np.repeat(np.arange(len(size)), size)
+    parts = -(-len(flat) // HELD)
+    if parts <= 1:
+        return _overlaps(flat, np.repeat(np.arange(len(size), dtype=np.int32), size), len(size), left, right)
+    owner, part = np.repeat(np.arange(len(size), dtype=np.int32), size), (mix(flat.view(np.uint32)) % np.uint64(parts)).astype(np.int32)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for k in range(parts):
+        mine = np.flatnonzero(part == k)
+        out += _overlaps(flat[mine], owner[mine], len(size), left, right)
+    return out
+
+
+def _overlaps(flat: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """overlaps() of elements with the numbers of their sets, of n sets."""
     _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
     keep = times[column] > 1  # others are in one set
     column, owner = column[keep], owner[keep]
@@ -78,7 +92,7 @@ def overlaps(flat: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.nda
     out = np.zeros((len(left), len(right)), dtype=np.float32)
     for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         i, j = np.searchsorted(column, [a, a + COLUMNS])
-        matrix = np.zeros((len(size), COLUMNS), dtype=np.float32)
+        matrix = np.zeros((n, COLUMNS), dtype=np.float32)
         matrix[owner[i:j], column[i:j] - a] = 1
         out += matrix[left] @ matrix[right].T
     return out
@@ -131,7 +145,7 @@ def _within(lists: DataFrame, sets: DataFrame, similarity: float, salt: int) ->
 
 def _across(lists: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links between any two sets of a list that are of different components. A list's sets are put into chunks in the order of components, each chunk of one component where that has CHUNK sets or more; chunks of one and the same component don't meet."""
-    parts = lists.groupBy("post", "component").agg(F.count("*").alias("m"))
+    parts = lists.groupBy("post", "component").agg(F.sum("weight").alias("m"))
     before = Window.partitionBy("post").orderBy(F.desc("m"), "component").rowsBetween(Window.unboundedPreceding, -1)
     # Large components have chunks of their own, numbered one after another; the small ones of a list share the chunks after these.
     parts = parts.withColumn("own", F.when(F.col("m") >= CHUNK, F.ceil(F.col("m") / CHUNK)).otherwise(0)).withColumn("small", F.when(F.col("m") < CHUNK, F.col("m")).otherwise(0))
@@ -147,16 +161,17 @@ def _across(lists: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _apart(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """(post, id, n, component) of the lists that have sets of more than one component."""
-    labelled = lists.join(groups, lists["id"] == groups["node"], "left").select("post", "id", "n", F.coalesce("component", "id").alias("component"))
+    """(post, id, n, weight, component) of the lists that have sets of more than one component."""
+    labelled = lists.join(groups, lists["id"] == groups["node"], "left").select("post", "id", "n", "weight", F.coalesce("component", "id").alias("component"))
     several = labelled.groupBy("post").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("post")
     return labelled.join(several, "post")
 
 
 def linked(pairs: DataFrame, heavy: DataFrame, sets: DataFrame, similarity: float, heavy_sets: DataFrame | None = None) -> DataFrame:
-    """(node, component) of sets that are connected by similar pairs: pairs (u, v), and any two sets of a list of heavy (post, id, n). sets: id, shingles; heavy_sets: those of heavy, where these are few beside all sets, as they are sent several times."""
+    """(node, component) of sets that are connected by similar pairs: pairs (u, v), and any two sets of a list of heavy (post, id, n, and weight unless that is 1; n: the list's weight). sets: id, shingles; heavy_sets: those of heavy, where these are few beside all sets, as they are sent several times."""
     found, groups = [_similar(pairs, sets, similarity)], None
     sets = sets if heavy_sets is None else heavy_sets
+    heavy = heavy if "weight" in heavy.columns else heavy.withColumn("weight", F.lit(1))
     for k in range(LINKING + 1):
         now = heavy.withColumn("component", F.col("id")) if groups is None else written(_apart(heavy, groups), "apart")
         if k < LINKING:
